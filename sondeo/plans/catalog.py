@@ -60,3 +60,7 @@ FROM g GROUP BY name""",
 def likert_positive_by_sex(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = alumni.alumni_table(spark, sf_dir)
     return round6(it.percent_positive_wide(df, LIKERT_NUM, "sexo", alumni.SEX_LEVELS))
+
+
+# Query families live in their own modules; importing them registers them.
+from . import q_alumni  # noqa: E402,F401
