@@ -14,7 +14,7 @@ from .recode import ColumnOrName, _c
 def parse_dmy(c: ColumnOrName) -> Column:
     """Day-month-year text with any of ``/ - . space`` separators -> DATE; bad -> NULL."""
     norm = F.regexp_replace(F.trim(_c(c)), r"[-. ]+", "/")
-    return F.try_to_date(norm, F.lit("d/M/yyyy"))
+    return F.try_to_date(norm, "d/M/yyyy")
 
 
 def _ref(ref: str | Column) -> Column:

@@ -63,7 +63,7 @@ def first_per_key(df: DataFrame, key: str | Sequence[str], order: str) -> DataFr
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in keys]
     agg = df.groupBy(*[col(k) for k in keys]).agg(F.min_by(F.struct(*[col(c) for c in rest]), col(order)).alias("__r"))
-    return agg.select(*[col(k) for k in keys], *[col(f"__r.{c}").alias(c) for c in rest]).select(*df.columns)
+    return agg.select(*[col(k) for k in keys], *[F.col("__r").getField(c).alias(c) for c in rest]).select(*df.columns)
 
 
 def membership_flag(
