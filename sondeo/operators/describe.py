@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, key_order
+from .linkage import join_null_safe
 
 _G = "__g"
 
@@ -20,8 +21,7 @@ def _groups(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    cond = [left[k].eqNullSafe(right[k]) for k in keys]
-    return left.join(right, cond).drop(*[right[k] for k in keys])
+    return join_null_safe(left, right, keys)
 
 
 def summary_numeric(df: DataFrame, value: str, by: Sequence[str] = (), approx: bool = False) -> DataFrame:

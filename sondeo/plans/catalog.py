@@ -65,3 +65,4 @@ def likert_positive_by_sex(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Query families live in their own modules; importing them registers them.
 from . import q_alumni  # noqa: E402,F401
 from . import q_attrition  # noqa: E402,F401
+from . import q_stats  # noqa: E402,F401

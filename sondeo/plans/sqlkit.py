@@ -58,3 +58,28 @@ def likert_long(source: str = "alumni", extra: Sequence[str] = ()) -> str:
     ex = "".join(f"{e}, " for e in extra)
     parts = [f"SELECT respondent_id, {ex}'{n}_num' AS name, {n}_num AS value FROM {source}" for n in ALUMNI_LIKERT_ITEMS]
     return "\nUNION ALL ".join(parts)
+
+
+def items_cte() -> str:
+    """``items`` view matching :func:`sondeo.plans.psychometrics.item_matrix`."""
+    from ..config import SIMILARITY_FREQUENCY_LABELS
+    from . import psychometrics as ps
+
+    labels, codes = [], []
+    for i in range(1, 9):
+        cases = " ".join(
+            f"WHEN {k} THEN CASE WHEN respondent_id % 2 = 0 THEN '{sim}' ELSE '{frq}' END"
+            for k, (sim, frq) in SIMILARITY_FREQUENCY_LABELS.items()
+        )
+        labels.append(f"CASE q{i} {cases} END AS p{i}")
+    for i, name in enumerate(ps.ITEMS, start=1):
+        cases = " ".join(
+            f"WHEN p{i} IN ({', '.join(chr(39) + x + chr(39) for x in labs)}) THEN {k}" for k, labs in SIMILARITY_FREQUENCY_LABELS.items()
+        )
+        expr = f"CASE {cases} END"
+        if name in ps.REVERSED:
+            expr = f"5 - {expr}"
+        codes.append(f"{expr} AS {name}")
+    return f"""{survey_cte()},
+exported_items AS (SELECT respondent_id, estado, sexo, {', '.join(labels)} FROM survey),
+items AS (SELECT respondent_id, estado, sexo, {', '.join(codes)} FROM exported_items)"""
