@@ -46,27 +46,38 @@ def score_array(scales: dict[str, list[str]], dim: str, score: str, suffix: str
     return F.array(*[F.struct(F.lit(f"{d}{suffix}").alias(dim), row_sum(items).alias(score)) for d, items in scales.items()])
 
 
+def endlines(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The two endline tables: customers ordering on or after 2001-05-01, and
+    urgent orders of 2001 (the second endline file)."""
+    o = load(spark, sf_dir, "orders", ["o_custkey", "o_orderdate", "o_orderpriority"])
+    end1 = o.where(F.col("o_orderdate") >= F.lit("2001-05-01").cast("timestamp"))
+    end2 = o.where((F.col("o_orderpriority") == "1-URGENT") & (F.year("o_orderdate") == 2001))
+    return [end1, end2]
+
+
 def adolescents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Baseline adolescents: cleaned covariates and skill items (A4).
+    """Baseline adolescents: cleaned covariates, skill items and completion (A4).
 
     Items q1..q8 become liderazgo1..4 / empatia1..4; sentinels become NULL
     (age 99, socio-economic level 0); ``trabajo`` and ``modelo_seguir`` are
-    derived fixture covariates; first record per id wins.
+    derived fixture covariates; ``status`` is 1 when the respondent's
+    customer appears in an endline (J3); first record per id wins.
     """
     b = fixtures.survey_base(spark, sf_dir)
     items = {f"liderazgo{i}": F.col(f"q{i}") for i in range(1, 5)}
     items.update({f"empatia{i - 4}": F.col(f"q{i}") for i in range(5, 9)})
     df = b.select(
         F.col("respondent_id").alias("id"),
+        "customer_id",
         rc.recode("sexo", SEX_LABELS).alias("sexo"),
         rc.null_if("edad", (F.col("edad") == 99) | (F.col("edad") < 10)).alias("edad"),
         "estado", "wave", "fecha",
         F.col("estatus").alias("trabajo"),
         rc.contains_yes_no("componente_03", "URGENT").alias("modelo_seguir"),
         rc.null_if("socioeco", F.col("socioeco") == 0).alias("socioeco"),
-        "status",
         *[v.alias(k) for k, v in items.items()],
     )
+    df = membership_flag(df, "customer_id", endlines(spark, sf_dir), "o_custkey", "status")
     return first_per_key(df, "id", "id")
 
 
@@ -123,14 +134,7 @@ def linked_wide_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completion(spark: SparkSession, sf_dir: str, labels: bool = False) -> DataFrame:
-    """Baseline customers flagged by presence in either endline.
-
-    Endline 1: customers ordering on or after 2001-05-01; endline 2: urgent
-    orders of 2001.
-    """
+    """Baseline customers flagged by presence in either endline."""
     cust = load(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
-    o = load(spark, sf_dir, "orders", ["o_custkey", "o_orderdate", "o_orderpriority"])
-    end1 = o.where(F.col("o_orderdate") >= F.lit("2001-05-01").cast("timestamp"))
-    end2 = o.where((F.col("o_orderpriority") == "1-URGENT") & (F.year("o_orderdate") == 2001))
     yes, no = (STATUS_LABELS if labels else (1, 0))
-    return membership_flag(cust, "c_custkey", [end1, end2], "o_custkey", "status", yes, no)
+    return membership_flag(cust, "c_custkey", endlines(spark, sf_dir), "o_custkey", "status", yes, no)

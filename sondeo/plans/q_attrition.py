@@ -15,11 +15,15 @@ from . import attrition
 from .catalog import register, round6
 from .sqlkit import r6, survey_cte
 
-ADOL_SQL = f"""{survey_cte()},
-adol AS (SELECT respondent_id AS id, CASE sexo WHEN 'M' THEN 'Mujer' WHEN 'H' THEN 'Hombre' END AS sexo,
+ENDLINE_SQL = """endline AS (SELECT o_custkey AS cid FROM orders WHERE o_orderdate >= TIMESTAMP '2001-05-01'
+  UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 2001)"""
+
+ADOL_SQL = f"""{survey_cte()}, {ENDLINE_SQL},
+adol AS (SELECT respondent_id AS id, customer_id, CASE sexo WHEN 'M' THEN 'Mujer' WHEN 'H' THEN 'Hombre' END AS sexo,
    CASE WHEN edad = 99 OR edad < 10 THEN NULL ELSE edad END AS edad, estado, wave, fecha, estatus AS trabajo,
    CASE WHEN contains(componente_03, 'URGENT') THEN 'Sí' WHEN NOT contains(componente_03, 'URGENT') THEN 'No' END AS modelo_seguir,
-   CASE WHEN socioeco = 0 THEN NULL ELSE socioeco END AS socioeco, status,
+   CASE WHEN socioeco = 0 THEN NULL ELSE socioeco END AS socioeco,
+   CASE WHEN customer_id IN (SELECT cid FROM endline) THEN 1 ELSE 0 END AS status,
    q1 AS liderazgo1, q2 AS liderazgo2, q3 AS liderazgo3, q4 AS liderazgo4,
    q5 AS empatia1, q6 AS empatia2, q7 AS empatia3, q8 AS empatia4 FROM survey),
 adol_w AS (SELECT *, coalesce(liderazgo1, 0) + coalesce(liderazgo2, 0) + coalesce(liderazgo3, 0) + coalesce(liderazgo4, 0) AS liderazgo,
