@@ -116,3 +116,48 @@ def glm_pooled_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = union_by_name(waves)
     fit = glm.fit_glm(pooled, ModelSpec("status", BASE_TERMS).add_terms("periodo"))
     return round6(glm.tidy(spark, fit))
+
+
+# --------------------------------------------------------------------- IRT (rows-only checks)
+
+from ..models import irt  # noqa: E402
+from ..operators.plotdata import kde  # noqa: E402
+from . import psychometrics as ps  # noqa: E402
+
+
+def _irt_fits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    m = ps.item_matrix(spark, sf_dir)
+    return m, {s: irt.fit_gpcm(m, its) for s, its in ps.scale_map().items()}
+
+
+@register("irt_items")
+def irt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GPCM item parameters per scale: slope a1 and thresholds b1..b3 (K6, K8)."""
+    _, fits = _irt_fits(spark, sf_dir)
+    return round6(irt.item_table(spark, fits))
+
+
+@register("irt_thresholds")
+def irt_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds in long form limited to (-4, 4) logits (K9)."""
+    _, fits = _irt_fits(spark, sf_dir)
+    return round6(irt.threshold_table(irt.item_table(spark, fits)))
+
+
+def _irt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, fits = _irt_fits(spark, sf_dir)
+    from ..operators.reshape import union_by_name
+
+    return union_by_name([irt.eap_scores(m, f, ["respondent_id"], "score").withColumn("scale", F.lit(s)) for s, f in fits.items()])
+
+
+@register("irt_scores")
+def irt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EAP person scores and their SEs for every respondent and scale (K7)."""
+    return round6(_irt_scores(spark, sf_dir))
+
+
+@register("irt_score_density")
+def irt_score_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density of IRT scores per scale within (-4, 4), 512 points (V2 on K7)."""
+    return round6(kde(_irt_scores(spark, sf_dir), "score", ["scale"], limits=(-4.0, 4.0), bin_width=1e-3))
