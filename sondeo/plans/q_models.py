@@ -161,3 +161,42 @@ def irt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def irt_score_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density of IRT scores per scale within (-4, 4), 512 points (V2 on K7)."""
     return round6(kde(_irt_scores(spark, sf_dir), "score", ["scale"], limits=(-4.0, 4.0), bin_width=1e-3))
+
+
+# --------------------------------------------------------------------- mixed models (rows-only checks)
+
+from ..models import glmm  # noqa: E402
+
+MIXED_SPEC = ModelSpec("status", BASE_TERMS).to_random("estado")
+
+
+@register("glmm_fixed")
+def glmm_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random intercept for state: fixed effects with Wald z."""
+    return round6(glmm.fixed_table(spark, glmm.fit_glmm(model_frame(spark, sf_dir), MIXED_SPEC)))
+
+
+@register("glmm_variance")
+def glmm_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance components, log-likelihood, AIC, BIC of the state random-intercept model;
+    pooled waves add a crossed period intercept (M9-M11, M13)."""
+    a = model_frame(spark, sf_dir).withColumnRenamed("wave", "periodo")
+    one = glmm.fit_glmm(a, MIXED_SPEC)
+    two = glmm.fit_glmm(a, MIXED_SPEC.add_random("periodo"))
+    from ..operators.reshape import union_by_name
+
+    return round6(union_by_name([glmm.variance_table(spark, one, "state"), glmm.variance_table(spark, two, "state_period")]))
+
+
+@register("glmm_compare")
+def glmm_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood-ratio comparison of nested mixed models on common rows."""
+    base = ModelSpec("status", ("sexo", "edad_c12", "socioeco", "liderazgo", "empatia"), ("estado",))
+    specs = {"base": base, "with_360": base.add_terms("liderazgo_360", "empatia_360"),
+             "global": base.add_terms("liderazgo_360", "empatia_360", "liderazgo_mentor", "empatia_mentor")}
+    data = glmm.common_rows(linked_model_frame(spark, sf_dir), list(specs.values())).persist()
+    try:
+        fits = {k: glmm.fit_glmm(data, s) for k, s in specs.items()}
+        return round6(glmm.lr_compare(spark, fits))
+    finally:
+        data.unpersist()
