@@ -15,13 +15,30 @@ def keyword_pattern(keywords: Sequence[str]) -> str:
     return "|".join(keywords)
 
 
+_REGEX_META = set(".^$*+?()[]{}|\\")
+
+
+def any_keyword(text: Column, keywords: Sequence[str]) -> Column:
+    """Does ``text`` contain any keyword? Literal keywords become an OR of
+    substring tests (a byte search on UTF-8, exact for literals); a keyword
+    with regex syntax keeps the regex alternation."""
+    if all(not (set(k) & _REGEX_META) for k in keywords):
+        cond = None
+        for k in keywords:
+            c = text.contains(k)
+            cond = c if cond is None else (cond | c)
+        return cond
+    return text.rlike(keyword_pattern(keywords))
+
+
 def code_text(c: ColumnOrName, keywords: Sequence[str]) -> Column:
     """0/1 code: does the lower-cased text contain any keyword (C11, X2)?
 
     A missing text is 0 (R ``grepl`` on NA is FALSE, N10). The whole text is
-    scanned by the JVM regex engine inside the generated code.
+    scanned JVM-side inside the generated code; ``lower(text)`` is shared
+    by all categories through subexpression elimination.
     """
-    return F.coalesce(F.lower(_c(c)).rlike(keyword_pattern(keywords)), F.lit(False)).cast("int")
+    return F.coalesce(any_keyword(F.lower(_c(c)), keywords), F.lit(False)).cast("int")
 
 
 def code_text_columns(c: ColumnOrName, categories: Mapping[str, Sequence[str]], suffix: str) -> dict[str, Column]:

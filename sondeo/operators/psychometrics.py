@@ -145,7 +145,7 @@ def itemstats(
             x = col(it).cast("double")
             aggs += [
                 F.count(x).alias(f"{s}__n{i}"),
-                F.count_distinct(x).alias(f"{s}__k{i}"),
+                F.size(F.collect_set(x)).alias(f"{s}__k{i}"),
                 F.avg(x).alias(f"{s}__m{i}"),
                 F.stddev_samp(x).alias(f"{s}__s{i}"),
                 F.corr(x, t).alias(f"{s}__tr{i}"),

@@ -10,6 +10,7 @@ from ..functions import recode as rc
 from ..functions import text as tx
 from ..operators.scoring import row_mean
 from ..sources import fixtures
+from .memo import shared_plan
 
 # The survey fixture's market segments stand in for occupational statuses.
 FIXTURE_STUDYING = ["BUILDING", "MACHINERY"]
@@ -44,5 +45,6 @@ def recode_export(df: DataFrame, studying=STUDYING_STATUSES) -> DataFrame:
     return out
 
 
+@shared_plan
 def alumni_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recode_export(export_frame(spark, sf_dir), FIXTURE_STUDYING)

@@ -15,6 +15,7 @@ from ..operators.linkage import first_per_key, membership_flag
 from ..operators.reshape import ITEM_NAME
 from ..operators.scoring import row_sum, standardize
 from ..sources import fixtures
+from .memo import shared_plan
 from ..sources.tables import load
 
 SKILL_PATTERN = r"^(liderazgo|empatia|decision|equipo)"
@@ -55,6 +56,7 @@ def endlines(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [end1, end2]
 
 
+@shared_plan
 def adolescents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline adolescents: cleaned covariates, skill items and completion (A4).
 
@@ -81,17 +83,20 @@ def adolescents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_per_key(df, "id", "id")
 
 
+@shared_plan
 def ratings_360(spark: SparkSession, sf_dir: str) -> DataFrame:
     """360 ratings with the mentor key repaired and cast."""
     r = fixtures.ratings_360(spark, sf_dir)
     return r.withColumn("id_mentor", tx.repair_mentor_key("id_mentor_raw").try_cast("bigint")).drop("id_mentor_raw")
 
 
+@shared_plan
 def mentors(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fixtures.mentors(spark, sf_dir)
     return m.withColumn("sexo_mentor", rc.collapse_value("sexo_mentor", "Otro (especifique)", "Otro"))
 
 
+@shared_plan
 def linked_long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adolescent x 360 x mentor long scores (J1): every adolescent dimension
     paired with every 360 and every mentor dimension.
@@ -125,6 +130,7 @@ def wide_scores(df: DataFrame, key_cols: Sequence[str], suffix: str = "", extra_
     return standardize(wide, list(named) + list(extra_z))
 
 
+@shared_plan
 def linked_wide_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mentor ⋈ 360 on id_mentor ⋈ adolescent on id, each side z-scored first."""
     a = wide_scores(adolescents(spark, sf_dir), ["id", "sexo", "estado", "status", "socioeco"], extra_z=["socioeco"])
@@ -133,6 +139,7 @@ def linked_wide_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(r, "id_mentor").join(a, "id")
 
 
+@shared_plan
 def completion(spark: SparkSession, sf_dir: str, labels: bool = False) -> DataFrame:
     """Baseline customers flagged by presence in either endline."""
     cust = load(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])

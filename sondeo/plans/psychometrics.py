@@ -10,6 +10,7 @@ from ..config import SIMILARITY_FREQUENCY_LABELS
 from ..functions import recode as rc
 from ..functions.selectors import item_names
 from ..sources import fixtures
+from .memo import shared_plan
 
 SCALES = [("liderazgo", 4), ("empatia", 4)]
 ITEMS = item_names(SCALES)
@@ -35,6 +36,7 @@ def export_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("respondent_id", "estado", "sexo", *[v.alias(k) for k, v in cols.items()])
 
 
+@shared_plan
 def item_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recoded (C3), renamed by position (P6/P15) and reverse-keyed (C4) item matrix."""
     e = export_frame(spark, sf_dir)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.memo import shared_plan
 from .tables import load
 
 # Item noise multipliers of the eight survey items (fixture constants).
@@ -29,6 +30,7 @@ def _item(mult: int) -> "F.Column":
     return F.least(F.lit(4), F.lit(1) + F.floor(raw / F.lit(1250000)).cast("int"))
 
 
+@shared_plan
 def survey_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order = one respondent (B1).
 
@@ -113,6 +115,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 BAD_DATE_TEXT = "31/31/2010"
 
 
+@shared_plan
 def birth_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(respondent_id, fecha_nac text d/m/yyyy), an impossible date every 37th order."""
     o = load(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
@@ -131,6 +134,7 @@ def birth_dates_sql() -> str:
 FROM orders"""
 
 
+@shared_plan
 def dated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with a day-level survey date, missing for every 997th event."""
     e = load(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
@@ -146,6 +150,7 @@ def dated_events_sql() -> str:
 FROM events"""
 
 
+@shared_plan
 def ratings_360(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 360 rating per order from its line items (A5).
 
@@ -182,6 +187,7 @@ def ratings_360_sql() -> str:
 FROM lineitem GROUP BY l_orderkey"""
 
 
+@shared_plan
 def mentors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mentor per supplier."""
     s = load(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])
@@ -209,6 +215,7 @@ def mentors_sql() -> str:
 FROM supplier"""
 
 
+@shared_plan
 def open_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open-text answers: whole documents with their language and source as groups."""
     return load(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
