@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import MUNICIPALITY_PATTERNS, NA_PATTERN
 from ..functions import recode as rc
 from ..functions import text as tx
 from ..operators.common import col
@@ -61,8 +62,10 @@ def adolescents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline adolescents: cleaned covariates, skill items and completion (A4).
 
     Items q1..q8 become liderazgo1..4 / empatia1..4; sentinels become NULL
-    (age 99, socio-economic level 0); ``trabajo`` and ``modelo_seguir`` are
-    derived fixture covariates; ``status`` is 1 when the respondent's
+    (age 99 or under 10, socio-economic level 0); the role-model answer is
+    reduced to Sí/No *before* refusals become NULL (so a refusal reads "No",
+    as in the original order of steps); the place text maps to a canonical
+    municipality by first matching pattern; ``status`` is 1 when the respondent's
     customer appears in an endline (J3); first record per id wins.
     """
     b = fixtures.survey_base(spark, sf_dir)
@@ -75,10 +78,12 @@ def adolescents(spark: SparkSession, sf_dir: str) -> DataFrame:
         rc.null_if("edad", (F.col("edad") == 99) | (F.col("edad") < 10)).alias("edad"),
         "estado", "wave", "fecha",
         F.col("estatus").alias("trabajo"),
-        rc.contains_yes_no("componente_03", "URGENT").alias("modelo_seguir"),
+        rc.contains_yes_no("modelo_seguir", "Sí").alias("modelo_seguir"),
+        rc.first_match(F.lower("municipio"), MUNICIPALITY_PATTERNS).alias("municipio"),
         rc.null_if("socioeco", F.col("socioeco") == 0).alias("socioeco"),
         *[v.alias(k) for k, v in items.items()],
     )
+    df = rc.refusals_to_null(df, NA_PATTERN)
     df = membership_flag(df, "customer_id", endlines(spark, sf_dir), "o_custkey", "status")
     return first_per_key(df, "id", "id")
 

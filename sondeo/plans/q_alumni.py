@@ -272,3 +272,22 @@ def period_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def period_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``count(periodo)`` (G6 without percent)."""
     return freq.count_by(alumni.alumni_table(spark, sf_dir), "periodo")
+
+
+_LEVEL_GROUPINGS = {k: v + ["nivel_actual_estudios"] for k, v in GROUPINGS.items()}
+
+
+@register("study_levels_by_grouping", f"""WITH {alumni_cte()},
+g AS (SELECT {_gs_label_sql()}, estado, sexo, periodo, nivel_actual_estudios, count(*) AS n_total FROM alumni
+      WHERE continua_estudiando = 1
+      GROUP BY GROUPING SETS ((nivel_actual_estudios), (estado, nivel_actual_estudios), (sexo, nivel_actual_estudios),
+                              (estado, sexo, nivel_actual_estudios), (periodo, nivel_actual_estudios)))
+SELECT *, {r6('n_total / sum(n_total) OVER (PARTITION BY "grouping", estado, sexo, periodo) * 100.0', 'pct')} FROM g""")
+def study_levels_by_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current study level among those studying, percent within each group of each
+    report grouping -- one grouping-sets pass (G9, G19, W2)."""
+    from ..operators.common import share_within
+
+    df = alumni.alumni_table(spark, sf_dir).where(F.col("continua_estudiando") == 1)
+    gs = grouped.grouping_sets_named(df, _LEVEL_GROUPINGS, {"n_total": F.count(F.lit(1))})
+    return round6(gs.withColumn("pct", share_within("n_total", ["grouping", "estado", "sexo", "periodo"])))

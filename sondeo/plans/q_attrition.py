@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import AGE_BREAKS
+from ..config import AGE_BREAKS, MUNICIPALITY_PATTERNS, NA_PATTERN
 from ..functions import dates as dt
 from ..functions import recode as rc
+from ..functions import text as tx
 from ..operators import freq, grouped, linkage
 from ..operators.scoring import standardize
 from ..sources import fixtures
@@ -15,13 +16,18 @@ from . import attrition
 from .catalog import register, round6
 from .sqlkit import r6, survey_cte
 
+MUNI_SQL = "CASE " + " ".join(
+    f"WHEN regexp_matches(lower(municipio), '{pat}') THEN '{lab}'" for pat, lab in MUNICIPALITY_PATTERNS) + " END"
+REFUSALS_SQL = ", ".join(f"'{v}'" for v in NA_PATTERN)
+
 ENDLINE_SQL = """endline AS (SELECT o_custkey AS cid FROM orders WHERE o_orderdate >= TIMESTAMP '2001-05-01'
   UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 2001)"""
 
 ADOL_SQL = f"""{survey_cte()}, {ENDLINE_SQL},
 adol AS (SELECT respondent_id AS id, customer_id, CASE sexo WHEN 'M' THEN 'Mujer' WHEN 'H' THEN 'Hombre' END AS sexo,
    CASE WHEN edad = 99 OR edad < 10 THEN NULL ELSE edad END AS edad, estado, wave, fecha, estatus AS trabajo,
-   CASE WHEN contains(componente_03, 'URGENT') THEN 'Sí' WHEN NOT contains(componente_03, 'URGENT') THEN 'No' END AS modelo_seguir,
+   CASE WHEN contains(modelo_seguir, 'Sí') THEN 'Sí' WHEN NOT contains(modelo_seguir, 'Sí') THEN 'No' END AS modelo_seguir,
+   {MUNI_SQL} AS municipio,
    CASE WHEN socioeco = 0 THEN NULL ELSE socioeco END AS socioeco,
    CASE WHEN customer_id IN (SELECT cid FROM endline) THEN 1 ELSE 0 END AS status,
    q1 AS liderazgo1, q2 AS liderazgo2, q3 AS liderazgo3, q4 AS liderazgo4,
@@ -174,3 +180,28 @@ def score_summary_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = a.select("edad", "status", attrition.score_array(attrition.scales_from_names(a.columns), "dim", "score").alias("_s")).select(
         "edad", "status", F.inline("_s"))
     return round6(grouped.mean_sd_by(long, ["edad", "dim", "status"], "score"))
+
+
+@register("attrition_clean", f"""WITH {survey_cte()}
+SELECT respondent_id AS id,
+  CASE WHEN edad BETWEEN 10 AND 30 THEN edad END AS edad,
+  CASE WHEN socioeco = 0 THEN NULL ELSE socioeco END AS socioeco,
+  CASE WHEN upper(substr(municipio, 1, 1)) || lower(substr(municipio, 2)) IN ({REFUSALS_SQL}) THEN NULL
+       ELSE upper(substr(municipio, 1, 1)) || lower(substr(municipio, 2)) END AS municipio_texto,
+  {MUNI_SQL} AS municipio,
+  CASE WHEN contains(modelo_seguir, 'Sí') THEN 'Sí' WHEN NOT contains(modelo_seguir, 'Sí') THEN 'No' END AS modelo_seguir
+FROM survey""")
+def attrition_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline cleaning chain per respondent: age range (F7), sentinel (C6),
+    sentence-cased place then exact refusals (C14, C7, D18), canonical place by
+    first matching pattern (C9), yes/no before refusals (C8, D3)."""
+    b = fixtures.survey_base(spark, sf_dir)
+    out = b.select(
+        F.col("respondent_id").alias("id"),
+        rc.keep_between("edad", 10, 30).alias("edad"),
+        rc.null_if("socioeco", F.col("socioeco") == 0).alias("socioeco"),
+        tx.sentence_case("municipio").alias("municipio_texto"),
+        rc.first_match(F.lower("municipio"), MUNICIPALITY_PATTERNS).alias("municipio"),
+        rc.contains_yes_no("modelo_seguir", "Sí").alias("modelo_seguir"),
+    )
+    return rc.refusals_to_null(out, NA_PATTERN)

@@ -263,3 +263,58 @@ def trend_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = df.groupBy("periodo").agg(*[F.avg(c).alias(c) for c in LIKERT_NUM])
     long = wide.unpivot(["periodo"], LIKERT_NUM, "pregunta", "promedio")
     return round6(long.withColumn("pregunta", _trend_label(F.col("pregunta"))))
+
+
+def _freq_sql() -> str:
+    parts = []
+    for c in LIKERT_NUM:
+        ps_ = ", ".join(r6(f"count(*) FILTER (WHERE {c} = {k}) / count({c})", f"p{k}") for k in (1, 2, 3, 4))
+        parts.append(f"SELECT '{c}' AS item, {ps_}, {r6(f'(count(*) - count({c})) / count(*)', 'miss')} FROM alumni")
+    return f"WITH {alumni_cte()}\n" + "\nUNION ALL ".join(parts)
+
+
+@register("alpha_response_freq", _freq_sql())
+def alpha_response_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response frequencies printed with alpha: share of each answer among answered, and missing share (K2)."""
+    df = alumni.alumni_table(spark, sf_dir)
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for i, c in enumerate(LIKERT_NUM):
+        aggs += [F.count(c).alias(f"a{i}")] + [F.count_if(F.col(c) == k).alias(f"c{i}_{k}") for k in (1, 2, 3, 4)]
+    wide = df.agg(*aggs)
+    from ..operators.common import stack_rows
+
+    entries = [(c, [(f"p{k}", F.col(f"c{i}_{k}") / F.col(f"a{i}")) for k in (1, 2, 3, 4)] + [("miss", (F.col("__n") - F.col(f"a{i}")) / F.col("__n"))])
+               for i, c in enumerate(LIKERT_NUM)]
+    return round6(stack_rows(wide, [], entries, "item"))
+
+
+@register("box_socio_by_status", f"""WITH {ADOL_SQL},
+l AS (SELECT status, CAST(socioeco AS DOUBLE) AS v FROM adol WHERE edad IS NOT NULL AND socioeco IS NOT NULL),
+q AS (SELECT status, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM l GROUP BY status),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT f.status, f.n, {r6('min(CASE WHEN v >= lo THEN v END)', 'whisker_low')}, {r6('f.q1', 'q1')}, {r6('f.median', 'median')},
+  {r6('f.q3', 'q3')}, {r6('max(CASE WHEN v <= hi THEN v END)', 'whisker_high')}, count(*) FILTER (WHERE v < lo OR v > hi) AS n_outliers
+FROM l JOIN f ON l.status = f.status GROUP BY f.status, f.n, f.q1, f.median, f.q3""")
+def box_socio_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box statistics of socio-economic level by outcome, respondents with a known age (V1)."""
+    a = attrition.adolescents(spark, sf_dir).where(F.col("edad").isNotNull())
+    return round6(pdz.box_stats(a, "socioeco", ["status"]))
+
+
+@register("distinct_profiles", f"""WITH {ADOL_SQL} SELECT DISTINCT estado, sexo, status FROM adol""")
+def distinct_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (state, sex, outcome) rows."""
+    return attrition.adolescents(spark, sf_dir).select("estado", "sexo", "status").distinct()
+
+
+@register("score_summary_by_place", f"""WITH {ADOL_SQL},
+l AS (SELECT a.municipio, l.dim, l.status, l.score FROM adol_long l JOIN adol a ON a.id = l.id)
+SELECT municipio, dim, status, {r6('avg(score)', 'score_mean')}, {r6('stddev_samp(score)', 'score_sd')} FROM l GROUP BY municipio, dim, status""")
+def score_summary_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and sd of scale scores by canonical municipality, dimension and outcome."""
+    from ..operators import grouped
+
+    a = attrition.adolescents(spark, sf_dir)
+    sc = attrition.scales_from_names(a.columns)
+    long = a.select("municipio", "status", attrition.score_array(sc, "dim", "score").alias("_s")).select("municipio", "status", F.inline("_s"))
+    return round6(grouped.mean_sd_by(long, ["municipio", "dim", "status"], "score"))

@@ -19,6 +19,12 @@ from pyspark.sql import functions as F
 from ..plans.memo import shared_plan
 from .tables import load
 
+# Free-text municipality answers and raw "role model" answers cycled over
+# customers / orders (fixture constants).
+PLACE_TEXTS = ["Ciudad Victoria", "santa catarina", "ECATEPEC", "La Presa", "Garcia", "García NL", "Fama",
+               "Chihuahua capital", "Prefiero no contestar", "Monterrey", "No contestó"]
+ROLE_MODEL_TEXTS = ["Sí, mi mamá", "No", "Prefiero no contestar", "Sí", "No contestó", "No sé"]
+
 # Item noise multipliers of the eight survey items (fixture constants).
 ITEM_MULTIPLIERS = [101, 211, 307, 401, 503, 601, 701, 809]
 REVERSED_ITEM = 5  # q5 is generated reverse-keyed
@@ -74,6 +80,8 @@ def survey_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         "componente_02": F.when(okey % 4 == 0, F.lit("comp B")),
         "componente_03": F.when(okey % 5 == 0, F.col("o_orderpriority")),
         "status": F.when(F.col("o_orderstatus") == "F", F.lit(1)).otherwise(F.lit(0)),
+        "municipio": F.element_at(F.array(*[F.lit(t) for t in PLACE_TEXTS]), (ckey % len(PLACE_TEXTS) + 1).cast("int")),
+        "modelo_seguir": F.when(okey % 13 != 7, F.element_at(F.array(*[F.lit(t) for t in ROLE_MODEL_TEXTS]), (okey % len(ROLE_MODEL_TEXTS) + 1).cast("int"))),
     }
     for i, m in enumerate(ITEM_MULTIPLIERS, start=1):
         val = _item(m)
@@ -104,6 +112,8 @@ def survey_base_sql() -> str:
  CASE WHEN o_orderkey % 4 = 0 THEN 'comp B' END AS componente_02,
  CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS componente_03,
  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS status,
+ [{', '.join(chr(39) + t + chr(39) for t in PLACE_TEXTS)}][o_custkey % {len(PLACE_TEXTS)} + 1] AS municipio,
+ CASE WHEN o_orderkey % 13 = 7 THEN NULL ELSE [{', '.join(chr(39) + t + chr(39) for t in ROLE_MODEL_TEXTS)}][o_orderkey % {len(ROLE_MODEL_TEXTS)} + 1] END AS modelo_seguir,
  {', '.join(items)}
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
