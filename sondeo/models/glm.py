@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import reliable_cache
 from .spec import ModelSpec
 from .stats import chi2_sf, normal_two_sided_p
 
@@ -58,7 +59,7 @@ class Design:
         data = (complete_rows(df, spec) if complete else df.select(*spec.variables)).persist()
         try:
             rf = RFormula(formula=spec.formula(), featuresCol="features", labelCol="label", stringIndexerOrderType="alphabetDesc")
-            self.frame = rf.fit(data).transform(data).select("features", "label").persist()
+            self.frame = reliable_cache(rf.fit(data).transform(data).select("features", "label"))
             self.n_rows = self.frame.count()
         finally:
             data.unpersist()

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import reliable_cache
 from .spec import ModelSpec
 from .stats import chi2_sf, normal_two_sided_p
 
@@ -122,7 +123,7 @@ class GlmmData:
                     self.names.append(nm)
                 cols.insert(0, vector_to_array("features").alias("x"))
             cols.insert(0, F.col(spec.response).cast("double").alias("y"))
-            self.frame = frame.select(*cols).persist()
+            self.frame = reliable_cache(frame.select(*cols))
             self.n = self.frame.count()
         finally:
             data.unpersist()

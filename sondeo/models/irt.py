@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reliable_cache
+
 
 @dataclass
 class GpcmFit:
@@ -137,7 +139,7 @@ def fit_gpcm(
     k, m = len(items), n_categories
     nodes, prior = quadrature(n_nodes)
     log_prior = np.log(prior)
-    pats = response_patterns(df, items, low).persist()
+    pats = reliable_cache(response_patterns(df, items, low))
     try:
         marg = pats.agg(*[F.sum(F.when(F.col(i) == c, F.col("n"))).alias(f"{i}__{c}") for i in items for c in range(m)], F.sum("n").alias("N")).first()
         n_resp = int(marg["N"])

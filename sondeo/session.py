@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC for date arithmetic, AQE for runtime
 # re-planning (coalescing, broadcast conversion from measured sizes, skew-join
@@ -17,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -72,3 +74,21 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return sc.getCheckpointDir() or path
+
+
+def reliable_cache(df: DataFrame) -> DataFrame:
+    """Cut lineage for iterative jobs: checkpoint to the shared checkpoint
+    folder (``spark.checkpoint.dir``), then cache the checkpointed frame.
+
+    The input is staged in the cache first so that computing and writing the
+    checkpoint evaluate the upstream plan once. An executor lost during the
+    iterations then costs a re-read of the checkpoint files, not a
+    recomputation of the joins and shuffles upstream.
+    """
+    checkpoint_dir(df.sparkSession)
+    staged = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cp = staged.checkpoint(eager=True)
+    finally:
+        staged.unpersist()
+    return cp.persist(StorageLevel.MEMORY_AND_DISK)
