@@ -1,17 +1,18 @@
 """Record linkage: latest / first record per key, completion flags, null-safe joins
 (F8, G23, G24, J1-J6, U2).
 
-Skew: every per-key operator here is an aggregate with map-side partial
-aggregation (a hot key collapses to one row per map task before the shuffle)
-followed, where rows must be kept, by a join back that AQE can broadcast or
-split as a skewed partition. No per-key window buffers a hot key in one task.
+Skew: every per-key operator here reduces map-side before its shuffle (partial
+aggregation, or a partial window group limit for first-row selection), so a
+hot key collapses to one row per map task; where rows must be kept, a join
+back to the per-key table follows, which AQE broadcasts from its measured size
+or splits as a skewed partition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col
@@ -56,14 +57,15 @@ def latest_per_key(df: DataFrame, key: str, ts: str, require_complete: bool = Tr
 def first_per_key(df: DataFrame, key: str | Sequence[str], order: str) -> DataFrame:
     """``distinct(key, .keep_all=TRUE)``: the first row per key in ``order``.
 
-    ``min_by`` over a struct of all columns is an aggregate, so a hot key is
-    reduced map-side; ``order`` must be an ingestion ordinal (``_row``) or
-    another total order -- plain ``dropDuplicates`` would be nondeterministic.
+    Written as ``row_number() == 1``; Spark plans it with a partial
+    ``WindowGroupLimit`` before the exchange, so every map task forwards at
+    most one row per key and a hot key is reduced map-side. ``order`` must be
+    an ingestion ordinal (``_row``) or another total order -- plain
+    ``dropDuplicates`` would be nondeterministic.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in df.columns if c not in keys]
-    agg = df.groupBy(*[col(k) for k in keys]).agg(F.min_by(F.struct(*[col(c) for c in rest]), col(order)).alias("__r"))
-    return agg.select(*[col(k) for k in keys], *[F.col("__r").getField(c).alias(c) for c in rest]).select(*df.columns)
+    w = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order).asc_nulls_last())
+    return df.withColumn("__rn", F.row_number().over(w)).where(col("__rn") == 1).drop("__rn")
 
 
 def membership_flag(

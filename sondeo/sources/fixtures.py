@@ -41,16 +41,18 @@ def survey_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order = one respondent (B1).
 
     orders -> customer -> nation -> region. nation/region are fixed-size
-    dimensions; Catalyst broadcasts them from their measured size, and the
-    orders-customer join is left to AQE (sort-merge at scale).
+    dimensions that Catalyst broadcasts from their measured size; the
+    orders-customer join is sized by AQE (sort-merge at scale).
     """
-    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], balance=True)
     c = load(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
     n = load(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
     r = load(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
-    cust = c.join(geo, c.c_nationkey == geo.n_nationkey).select("c_custkey", "c_mktsegment", "r_name")
-    j = o.join(cust, o.o_custkey == cust.c_custkey)
+    # Star order: fact x its dimension first, then the fixed-size dimensions.
+    # (Without table statistics Spark sizes a join as the product of its
+    # inputs, so pre-joining the dimensions would make them look larger than
+    # the fact table and steer the broadcast to the wrong side.)
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
 
     okey, ckey = F.col("o_orderkey"), F.col("o_custkey")
     cols = {
@@ -128,7 +130,7 @@ BAD_DATE_TEXT = "31/31/2010"
 @shared_plan
 def birth_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(respondent_id, fecha_nac text d/m/yyyy), an impossible date every 37th order."""
-    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"], balance=True)
     d = F.col("o_orderdate")
     txt = F.concat_ws("/", F.dayofmonth(d).cast("string"), F.month(d).cast("string"), (F.year(d) + 12).cast("string"))
     return o.select(
@@ -147,7 +149,7 @@ FROM orders"""
 @shared_plan
 def dated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with a day-level survey date, missing for every 997th event."""
-    e = load(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+    e = load(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"], balance=True)
     return e.select(
         "event_id", "user_id", "event_type", "value",
         F.when(F.col("event_id") % 997 != 0, F.date_trunc("day", F.col("ts"))).alias("fecha"),
@@ -164,17 +166,18 @@ FROM events"""
 def ratings_360(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 360 rating per order from its line items (A5).
 
-    ``id_mentor_raw`` is the first supplier of the order followed by free text
+    Item values use exact (integer) arithmetic only, so they do not depend on
+    summation order. ``id_mentor_raw`` is the first supplier of the order followed by free text
     that the key repair removes (J5). ``liderazgo`` is an un-numbered composite
     the lenient item split must drop (R4).
     """
-    li = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_quantity", "l_discount"])
+    li = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_quantity", "l_discount"], balance=True)
     agg = li.groupBy("l_orderkey").agg(
         F.min("l_suppkey").alias("s"),
         F.max("l_quantity").alias("mx"),
         F.min("l_quantity").alias("mn"),
         F.count(F.lit(1)).alias("nl"),
-        F.sum("l_discount").alias("sd"),
+        F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("sd"),
     )
     return agg.select(
         F.col("l_orderkey").alias("id"),
@@ -182,7 +185,7 @@ def ratings_360(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1) + F.col("mx").cast("bigint") % 4).alias("liderazgo1"),
         (F.lit(1) + F.col("nl") % 4).alias("liderazgo2"),
         (F.lit(1) + F.col("mn").cast("bigint") % 4).alias("empatia1"),
-        F.when(F.col("l_orderkey") % 17 != 0, F.lit(1) + F.floor(F.col("sd") * 100).cast("bigint") % 4).alias("empatia2"),
+        F.when(F.col("l_orderkey") % 17 != 0, F.lit(1) + F.col("sd") % 4).alias("empatia2"),
         (F.col("mx") + F.col("mn")).alias("liderazgo"),
     )
 
@@ -192,7 +195,7 @@ def ratings_360_sql() -> str:
  1 + CAST(max(l_quantity) AS BIGINT) % 4 AS liderazgo1,
  1 + count(*) % 4 AS liderazgo2,
  1 + CAST(min(l_quantity) AS BIGINT) % 4 AS empatia1,
- CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE 1 + CAST(floor(sum(l_discount) * 100) AS BIGINT) % 4 END AS empatia2,
+ CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE 1 + sum(CAST(round(l_discount * 100) AS BIGINT)) % 4 END AS empatia2,
  max(l_quantity) + min(l_quantity) AS liderazgo
 FROM lineitem GROUP BY l_orderkey"""
 
@@ -228,4 +231,4 @@ FROM supplier"""
 @shared_plan
 def open_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open-text answers: whole documents with their language and source as groups."""
-    return load(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    return load(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"], balance=True)

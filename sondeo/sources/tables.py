@@ -21,9 +21,20 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Read one table; ``columns`` prunes at the scan."""
+def load(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None, balance: bool = False) -> DataFrame:
+    """Read one table; ``columns`` prunes at the scan.
+
+    ``balance`` guards fact tables stored as very few splits (one row group
+    cannot be read by more than one task): when the planned scan has fewer
+    partitions than the cluster's default parallelism, rows are spread
+    round-robin so the per-row work before the first shuffle uses every core.
+    On large inputs the scan already has more splits and nothing is added.
+    """
     df = spark.read.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
+    if balance:
+        target = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            df = df.repartition(target)
     return df
