@@ -57,38 +57,51 @@ def _log_probs(slope: np.ndarray, d: np.ndarray, nodes: np.ndarray) -> np.ndarra
     return z - (zmax + np.log(np.exp(z - zmax).sum(axis=1, keepdims=True)))
 
 
-def response_patterns(df: DataFrame, items: Sequence[str], low: int = 1) -> DataFrame:
-    """Distinct response patterns (categories shifted to 0..m-1, NULL kept) with counts."""
-    return df.select(*[(F.col(i) - F.lit(low)).cast("int").alias(i) for i in items]).groupBy(*items).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _estep_fn(items: list[str], logp: np.ndarray, log_prior: np.ndarray):
-    k, m, q = logp.shape
-
+def response_patterns(df: DataFrame, scales: dict[str, Sequence[str]], low: int = 1) -> DataFrame:
+    """Distinct response patterns per scale (categories shifted to 0..m-1, NULL kept)
+    with counts: columns ``scale, i0..i{k-1}, n`` (shorter scales padded with NULL)."""
+    kmax = max(len(v) for v in scales.values())
+    parts = []
+    for name, items in scales.items():
+        cols = [(F.col(i) - F.lit(low)).cast("int").alias(f"i{j}") for j, i in enumerate(items)]
+        cols += [F.lit(None).cast("int").alias(f"i{j}") for j in range(len(items), kmax)]
+        parts.append(df.select(F.lit(name).alias("scale"), *cols))
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p)
+    return stacked.groupBy("scale", *[f"i{j}" for j in range(kmax)]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _estep_fn(logps: dict[str, np.ndarray], log_prior: np.ndarray):
     def run(batches):
         for pdf in batches:
-            x = pdf[items].to_numpy(dtype=float)
-            cnt = pdf["n"].to_numpy(dtype=float)
-            ll = np.zeros((len(pdf), q))
-            for i in range(k):
-                xi = x[:, i]
-                ok = ~np.isnan(xi)
-                ll[ok] += logp[i, xi[ok].astype(int), :]
-            lp = ll + log_prior[None, :]
-            mx = lp.max(axis=1, keepdims=True)
-            post = np.exp(lp - mx)
-            s = post.sum(axis=1, keepdims=True)
-            post /= s
-            loglik = float((cnt * (np.log(s[:, 0]) + mx[:, 0])).sum())
-            wpost = post * cnt[:, None]
-            r = np.zeros((k, m, q))
-            for i in range(k):
-                xi = x[:, i]
-                for c in range(m):
-                    sel = xi == c
-                    if sel.any():
-                        r[i, c] = wpost[sel].sum(axis=0)
-            yield pd.DataFrame({"ll": [loglik], "r": [r.ravel()]})
+            for scale, sub in pdf.groupby("scale", sort=False):
+                logp = logps.get(scale)
+                if logp is None:
+                    continue
+                k, m, q = logp.shape
+                x = sub[[f"i{j}" for j in range(k)]].to_numpy(dtype=float)
+                cnt = sub["n"].to_numpy(dtype=float)
+                ll = np.zeros((len(sub), q))
+                for i in range(k):
+                    xi = x[:, i]
+                    ok = ~np.isnan(xi)
+                    ll[ok] += logp[i, xi[ok].astype(int), :]
+                lp = ll + log_prior[None, :]
+                mx = lp.max(axis=1, keepdims=True)
+                post = np.exp(lp - mx)
+                s = post.sum(axis=1, keepdims=True)
+                post /= s
+                loglik = float((cnt * (np.log(s[:, 0]) + mx[:, 0])).sum())
+                wpost = post * cnt[:, None]
+                r = np.zeros((k, m, q))
+                for i in range(k):
+                    xi = x[:, i]
+                    for c in range(m):
+                        sel = xi == c
+                        if sel.any():
+                            r[i, c] = wpost[sel].sum(axis=0)
+                yield pd.DataFrame({"scale": [scale], "ll": [loglik], "r": [r.ravel()]})
 
     return run
 
@@ -125,50 +138,75 @@ def _mstep_item(r: np.ndarray, nodes: np.ndarray, a: float, d: np.ndarray, iters
     return float(par[0]), np.concatenate([[0.0], par[1:]])
 
 
-def fit_gpcm(
+def fit_gpcm_scales(
     df: DataFrame,
-    items: Sequence[str],
+    scales: dict[str, Sequence[str]],
     n_categories: int = 4,
     low: int = 1,
     n_nodes: int = 61,
     tol: float = 1e-4,
     max_iter: int = 500,
-) -> GpcmFit:
-    """EM fit of a GPCM to the item columns of ``df`` (K6)."""
-    items = list(items)
-    k, m = len(items), n_categories
+) -> dict[str, GpcmFit]:
+    """EM fits of one GPCM per scale (K6), all scales sharing each E-step pass.
+
+    Every cycle is one ``mapInPandas`` job over the cached pattern table of all
+    scales; a scale whose parameters moved less than ``tol`` is frozen, so each
+    result equals the scale's own fit.
+    """
+    scales = {k: list(v) for k, v in scales.items()}
+    m = n_categories
     nodes, prior = quadrature(n_nodes)
     log_prior = np.log(prior)
-    pats = reliable_cache(response_patterns(df, items, low))
+    pats = reliable_cache(response_patterns(df, scales, low))
     try:
-        marg = pats.agg(*[F.sum(F.when(F.col(i) == c, F.col("n"))).alias(f"{i}__{c}") for i in items for c in range(m)], F.sum("n").alias("N")).first()
-        n_resp = int(marg["N"])
-        slope = np.ones(k)
-        d = np.zeros((k, m))
-        for ii, it in enumerate(items):
-            counts = np.array([marg[f"{it}__{c}"] or 0 for c in range(m)], dtype=float)
-            if (counts == 0).any():
-                raise ValueError(f"item {it} has an empty category; merge categories before fitting")
-            d[ii] = np.log(counts / counts[0])
-        schema = "ll double, r array<double>"
-        loglik, converged, it_no = float("nan"), False, 0
-        for it_no in range(1, max_iter + 1):
-            logp = _log_probs(slope, d, nodes)
-            parts = pats.mapInPandas(_estep_fn(items, logp, log_prior), schema).collect()
-            loglik = sum(p["ll"] for p in parts)
-            r = np.sum([np.asarray(p["r"]) for p in parts], axis=0).reshape(k, m, n_nodes)
-            old = np.concatenate([slope, d.ravel()])
-            for ii in range(k):
-                slope[ii], d[ii] = _mstep_item(r[ii], nodes, slope[ii], d[ii])
-            new = np.concatenate([slope, d.ravel()])
-            if np.max(np.abs(new - old)) < tol:
-                converged = True
+        kmax = max(len(v) for v in scales.values())
+        marg_rows = pats.groupBy("scale").agg(
+            *[F.sum(F.when(F.col(f"i{j}") == c, F.col("n"))).alias(f"c{j}_{c}") for j in range(kmax) for c in range(m)],
+            F.sum("n").alias("N"),
+        ).collect()
+        marg = {r["scale"]: r for r in marg_rows}
+        state = {}
+        for name, items in scales.items():
+            k = len(items)
+            d = np.zeros((k, m))
+            for j, it in enumerate(items):
+                counts = np.array([marg[name][f"c{j}_{c}"] or 0 for c in range(m)], dtype=float)
+                if (counts == 0).any():
+                    raise ValueError(f"item {it} of scale {name} has an empty category; merge categories before fitting")
+                d[j] = np.log(counts / counts[0])
+            state[name] = {"slope": np.ones(k), "d": d, "ll": float("nan"), "it": 0, "done": False}
+        schema = "scale string, ll double, r array<double>"
+        for cycle in range(1, max_iter + 1):
+            active = [s_ for s_, st in state.items() if not st["done"]]
+            if not active:
                 break
-        return GpcmFit(items, slope.copy(), d.copy(), low, loglik, it_no, converged, n_resp)
+            logps = {s_: _log_probs(state[s_]["slope"], state[s_]["d"], nodes) for s_ in active}
+            parts = pats.mapInPandas(_estep_fn(logps, log_prior), schema).collect()
+            for s_ in active:
+                st = state[s_]
+                k = len(scales[s_])
+                mine = [p for p in parts if p["scale"] == s_]
+                st["ll"] = sum(p["ll"] for p in mine)
+                r = np.sum([np.asarray(p["r"]) for p in mine], axis=0).reshape(k, m, n_nodes)
+                old = np.concatenate([st["slope"], st["d"].ravel()])
+                for i in range(k):
+                    st["slope"][i], st["d"][i] = _mstep_item(r[i], nodes, st["slope"][i], st["d"][i])
+                st["it"] = cycle
+                if np.max(np.abs(np.concatenate([st["slope"], st["d"].ravel()]) - old)) < tol:
+                    st["done"] = True
+        return {
+            s_: GpcmFit(scales[s_], st["slope"].copy(), st["d"].copy(), low, st["ll"], st["it"], st["done"], int(marg[s_]["N"]))
+            for s_, st in state.items()
+        }
     finally:
         pats.unpersist()
 
 
+def fit_gpcm(df: DataFrame, items: Sequence[str], **kwargs) -> GpcmFit:
+    """EM fit of a GPCM to the item columns of ``df`` (K6)."""
+    return fit_gpcm_scales(df, {"_": list(items)}, **kwargs)["_"]
+
+
 def item_table(spark: SparkSession, fits: dict[str, GpcmFit]) -> DataFrame:
     """``coef(model, simplify=TRUE)$items`` without the fixed c column (K8)."""
     m = max(f.intercepts.shape[1] for f in fits.values())

@@ -17,7 +17,11 @@ _PLANS: dict[tuple, DataFrame] = {}
 def shared_plan(fn):
     @functools.wraps(fn)
     def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
-        key = (fn.__module__, fn.__qualname__, spark.sparkContext.applicationId, sf_dir, args, tuple(sorted(kwargs.items())))
+        try:
+            session = spark.sparkContext.applicationId
+        except Exception:  # Spark Connect has no SparkContext
+            session = id(spark)
+        key = (fn.__module__, fn.__qualname__, session, sf_dir, args, tuple(sorted(kwargs.items())))
         df = _PLANS.get(key)
         if df is None:
             df = fn(spark, sf_dir, *args, **kwargs)

@@ -127,7 +127,7 @@ from . import psychometrics as ps  # noqa: E402
 
 def _irt_fits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
     m = ps.item_matrix(spark, sf_dir)
-    return m, {s: irt.fit_gpcm(m, its) for s, its in ps.scale_map().items()}
+    return m, irt.fit_gpcm_scales(m, ps.scale_map())
 
 
 @register("irt_items")

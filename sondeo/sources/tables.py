@@ -34,7 +34,11 @@ def load(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | N
     if columns:
         df = df.select(*columns)
     if balance:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
+        try:
+            target = spark.sparkContext.defaultParallelism
+            planned = df.rdd.getNumPartitions()
+        except Exception:  # no RDD API (e.g. Spark Connect): keep the scan as planned
+            return df
+        if planned < target:
             df = df.repartition(target)
     return df
