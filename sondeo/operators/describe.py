@@ -21,6 +21,11 @@ def _groups(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach per-group statistics to rows. Whole-table statistics (the
+    literal key) become scalar subqueries -- merged into one aggregate job by
+    Catalyst -- instead of a join on a constant key."""
+    if list(keys) == [_G]:
+        return left.withColumns({c: right.select(col(c)).scalar() for c in right.columns if c != _G})
     return join_null_safe(left, right, keys)
 
 
