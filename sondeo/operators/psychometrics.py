@@ -34,9 +34,12 @@ def covariance_matrix(df: DataFrame, items: Sequence[str]) -> np.ndarray:
     return c
 
 
-def _alpha(c: np.ndarray) -> float:
+def _alpha(c: np.ndarray) -> float | None:
+    """Raw alpha of a covariance matrix; undefined (None) below two items."""
     k = c.shape[0]
-    return k / (k - 1) * (1 - np.trace(c) / c.sum())
+    if k < 2:
+        return None
+    return float(k / (k - 1) * (1 - np.trace(c) / c.sum()))
 
 
 def _cor(c: np.ndarray) -> np.ndarray:
@@ -67,7 +70,7 @@ def alpha_table(c: np.ndarray, keys: np.ndarray | None = None) -> dict[str, floa
     r = _cor(c)
     rbar = _avg_r(r)
     return {
-        "raw_alpha": float(_alpha(c)),
+        "raw_alpha": _alpha(c),
         "std_alpha": float(k * rbar / (1 + (k - 1) * rbar)),
         "average_r": float(rbar),
         "s_n": float(k * rbar / (1 - rbar)),
@@ -117,16 +120,26 @@ def itemstats(
     df: DataFrame,
     scales: Mapping[str, Sequence[str]],
     categories: Sequence[int] = (1, 2, 3, 4),
+    missing: str = "sum_available",
 ) -> dict[str, DataFrame]:
     """Classical item statistics of several scales (K3, ``mirt::itemstats``).
 
     One aggregate over the respondent table computes, for every scale, the
     pairwise covariances and correlations of its items, item-total and
-    item-rest correlations against the in-row total (sum of available items),
-    item counts and category counts. Returns ``overall``, ``items`` and
+    item-rest correlations against the in-row total, item counts and category
+    counts. ``missing="sum_available"`` totals the answered items of a row
+    (the saved scores); ``"complete"`` leaves the total missing unless every
+    item of the scale is answered. Returns ``overall``, ``items`` and
     ``proportions`` tables keyed by ``scale``.
     """
-    totals = {f"__t_{s}": row_sum(list(items)) for s, items in scales.items()}
+    if missing not in ("sum_available", "complete"):
+        raise ValueError("missing must be 'sum_available' or 'complete'")
+    totals = {}
+    for s, items in scales.items():
+        total = row_sum(list(items))
+        if missing == "complete":
+            total = F.when(F.greatest(*[col(i).isNull() for i in items]) == F.lit(False), total) if len(items) > 1 else F.when(col(items[0]).isNotNull(), total)
+        totals[f"__t_{s}"] = total
     base = df.withColumns(totals)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for s, items in scales.items():
@@ -165,13 +178,13 @@ def itemstats(
             if i != j:
                 r[i, j] = r[j, i] = row[f"{s}__r{i}_{j}"]
         off = np.array([r[i, j] for i in range(k) for j in range(i + 1, k)])
-        alpha = float(_alpha(c))
+        alpha = _alpha(c)
         sd_t = row[f"{s}__st"]
         overall.append({
             "scale": s, "n_complete": row[f"{s}__complete"], "n": n_rows,
             "mean_total": row[f"{s}__mt"], "sd_total": sd_t,
             "ave_r": float(off.mean()), "sd_r": float(off.std(ddof=1)) if off.size > 1 else None,
-            "alpha": alpha, "sem_alpha": float(sd_t * np.sqrt(1 - alpha)),
+            "alpha": alpha, "sem_alpha": float(sd_t * np.sqrt(1 - alpha)) if alpha is not None and sd_t is not None else None,
         })
         for i, it in enumerate(items):
             keep = [j for j in range(k) if j != i]
@@ -179,7 +192,7 @@ def itemstats(
                 "scale": s, "item": it, "n": row[f"{s}__n{i}"], "k": row[f"{s}__k{i}"],
                 "mean": row[f"{s}__m{i}"], "sd": row[f"{s}__s{i}"],
                 "total_r": row[f"{s}__tr{i}"], "total_r_if_rm": row[f"{s}__rr{i}"],
-                "alpha_if_rm": float(_alpha(c[np.ix_(keep, keep)])),
+                "alpha_if_rm": _alpha(c[np.ix_(keep, keep)]),
             })
             pr = {"scale": s, "item": it}
             counted = 0

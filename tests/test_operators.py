@@ -124,3 +124,12 @@ def test_describe_trimmed_and_mad(spark):
     r = __import__("sondeo.operators.describe", fromlist=["describe"]).describe(df, "v").first()
     assert abs(r.trimmed - np.mean(sorted(vals)[1:-1])) < 1e-12
     assert abs(r.mad - 1.4826 * np.median(np.abs(np.array(vals) - np.median(vals)))) < 1e-12
+
+
+def test_itemstats_complete_policy(spark):
+    df = spark.createDataFrame([(1, 2), (2, None), (3, 4), (4, 3), (2, 2)], "a int, b int")
+    avail = psychometrics.itemstats(spark, df, {"s": ["a", "b"]})["overall"].first()
+    comp = psychometrics.itemstats(spark, df, {"s": ["a", "b"]}, missing="complete")["overall"].first()
+    assert abs(avail.mean_total - np.mean([3, 2, 7, 7, 4])) < 1e-12
+    assert abs(comp.mean_total - np.mean([3, 7, 7, 4])) < 1e-12
+    assert comp.n_complete == 4
