@@ -98,11 +98,24 @@ class Design:
         se = [float(x) for x in s.coefficientStandardErrors]
         tv = [float(x) for x in s.tValues]
         pv = [float(x) for x in s.pValues]
+        # Deviances in one pass over the fitted means (the summary's lazy
+        # properties would each launch their own job). For a 0/1 response the
+        # saturated log-likelihood is 0, so deviance = -2 log L and the null
+        # model's fitted mean is the response mean.
+        mu = model.transform(frame).select("label", F.col("prediction").alias("mu"))
+        y = F.col("label")
+        ll = y * F.log(F.col("mu")) + (1 - y) * F.log(1 - F.col("mu"))
+        st = mu.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(ll).alias("ll")).first()
+        n, sy = int(st["n"]), float(st["sy"])
+        ybar = sy / n
+        null_dev = -2 * (sy * math.log(ybar) + (n - sy) * math.log(1 - ybar)) if 0 < sy < n else 0.0
+        dev = -2 * float(st["ll"])
+        rank = len(idx) + 1
         return GlmFit(
             spec=ModelSpec(self.spec.response, tuple(terms)), terms=["(Intercept)"] + [self.names[i] for i in idx],
             estimate=est, std_error=se[-1:] + se[:-1], statistic=tv[-1:] + tv[:-1], p_value=pv[-1:] + pv[:-1],
-            null_deviance=float(s.nullDeviance), deviance=float(s.deviance), df_null=int(s.residualDegreeOfFreedomNull),
-            df_residual=int(s.residualDegreeOfFreedom), aic=float(s.aic), n=int(s.numInstances), iterations=int(s.numIterations),
+            null_deviance=null_dev, deviance=dev, df_null=n - 1, df_residual=n - rank, aic=dev + 2 * rank, n=n,
+            iterations=int(s.numIterations),
         )
 
     def close(self) -> None:
