@@ -158,7 +158,6 @@ def itemstats(
             x = col(it).cast("double")
             aggs += [
                 F.count(x).alias(f"{s}__n{i}"),
-                F.size(F.collect_set(x)).alias(f"{s}__k{i}"),
                 F.avg(x).alias(f"{s}__m{i}"),
                 F.stddev_samp(x).alias(f"{s}__s{i}"),
                 F.corr(x, t).alias(f"{s}__tr{i}"),
@@ -167,6 +166,21 @@ def itemstats(
             for cat in categories:
                 aggs.append(F.count_if(x == cat).alias(f"{s}__p{i}_{cat}"))
     row = base.agg(*aggs).first().asDict()
+    # K (distinct answers per item) follows from the category counts when every
+    # answer is one of ``categories``; only items with other values need a
+    # set-valued aggregate, run separately so the main aggregate keeps its
+    # code-generated hash aggregation.
+    odd = []
+    for s, items in scales.items():
+        for i, it in enumerate(items):
+            counts = [row[f"{s}__p{i}_{cat}"] for cat in categories]
+            if sum(counts) == row[f"{s}__n{i}"]:
+                row[f"{s}__k{i}"] = sum(1 for c in counts if c > 0)
+            else:
+                odd.append((s, i, it))
+    if odd:
+        kset = base.agg(*[F.size(F.collect_set(col(it))).alias(f"{s}__k{i}") for s, i, it in odd]).first().asDict()
+        row.update(kset)
     n_rows = row["__rows"]
     overall, item_rows, prop_rows = [], [], []
     for s, items in scales.items():

@@ -133,3 +133,9 @@ def test_itemstats_complete_policy(spark):
     assert abs(avail.mean_total - np.mean([3, 2, 7, 7, 4])) < 1e-12
     assert abs(comp.mean_total - np.mean([3, 7, 7, 4])) < 1e-12
     assert comp.n_complete == 4
+
+
+def test_itemstats_category_count_with_unlisted_values(spark):
+    df = spark.createDataFrame([(1, 2), (5, 2), (3, 4), (4, 3)], "a int, b int")
+    items = {r.item: r.k for r in psychometrics.itemstats(spark, df, {"s": ["a", "b"]})["items"].collect()}
+    assert items == {"a": 4, "b": 3}
