@@ -81,17 +81,21 @@ def age_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("latest_record", f"""WITH e AS ({fixtures.dated_events_sql()}),
 s AS (SELECT user_id, max(fecha) AS mx, count(*) - count(fecha) AS nn FROM e GROUP BY user_id)
-SELECT e.* FROM e JOIN s ON e.user_id = s.user_id WHERE e.fecha = s.mx AND s.nn = 0""")
+SELECT e.* REPLACE (strftime(e.fecha, '%Y-%m-%d') AS fecha) FROM e JOIN s ON e.user_id = s.user_id WHERE e.fecha = s.mx AND s.nn = 0""")
 def latest_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest-dated record(s) per user, ties kept, users with a missing date dropped."""
-    return round6(linkage.latest_per_key(fixtures.dated_events(spark, sf_dir), "user_id", "fecha"))
+    """Latest-dated record(s) per user, ties kept, users with a missing date dropped.
+    The survey date is reported as ISO text."""
+    out = linkage.latest_per_key(fixtures.dated_events(spark, sf_dir), "user_id", "fecha")
+    return round6(out.withColumn("fecha", F.date_format("fecha", "yyyy-MM-dd")))
 
 
 @register("first_record", f"""WITH e AS ({fixtures.dated_events_sql()})
-SELECT * FROM e WHERE event_id IN (SELECT min(event_id) FROM e GROUP BY user_id)""")
+SELECT * REPLACE (strftime(fecha, '%Y-%m-%d') AS fecha) FROM e WHERE event_id IN (SELECT min(event_id) FROM e GROUP BY user_id)""")
 def first_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First record per user in ingestion order (``distinct(id, .keep_all=TRUE)``)."""
-    return round6(linkage.first_per_key(fixtures.dated_events(spark, sf_dir), "user_id", "event_id"))
+    """First record per user in ingestion order (``distinct(id, .keep_all=TRUE)``).
+    The survey date is reported as ISO text."""
+    out = linkage.first_per_key(fixtures.dated_events(spark, sf_dir), "user_id", "event_id")
+    return round6(out.withColumn("fecha", F.date_format("fecha", "yyyy-MM-dd")))
 
 
 @register("completion_flag", """WITH ids AS (
@@ -173,33 +177,34 @@ def score_summary_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("score_summary_by_age", f"""WITH {ADOL_SQL}
-SELECT edad, dim, status, {r6('avg(score)', 'score_mean')}, {r6('stddev_samp(score)', 'score_sd')} FROM adol_long GROUP BY edad, dim, status""")
+SELECT CAST(edad AS DOUBLE) AS edad, dim, status, {r6('avg(score)', 'score_mean')}, {r6('stddev_samp(score)', 'score_sd')} FROM adol_long GROUP BY edad, dim, status""")
 def score_summary_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and sd of scale scores by age, dimension and outcome."""
     a = attrition.adolescents(spark, sf_dir)
     long = a.select("edad", "status", attrition.score_array(attrition.scales_from_names(a.columns), "dim", "score").alias("_s")).select(
         "edad", "status", F.inline("_s"))
-    return round6(grouped.mean_sd_by(long, ["edad", "dim", "status"], "score"))
+    out = grouped.mean_sd_by(long, ["edad", "dim", "status"], "score")
+    return round6(out.withColumn("edad", F.col("edad").cast("double")))
 
 
 @register("attrition_clean", f"""WITH {survey_cte()}
 SELECT respondent_id AS id,
-  CASE WHEN edad BETWEEN 10 AND 30 THEN edad END AS edad,
-  CASE WHEN socioeco = 0 THEN NULL ELSE socioeco END AS socioeco,
+  CAST(CASE WHEN edad BETWEEN 10 AND 30 THEN edad END AS DOUBLE) AS edad,
+  CAST(CASE WHEN socioeco = 0 THEN NULL ELSE socioeco END AS DOUBLE) AS socioeco,
   CASE WHEN upper(substr(municipio, 1, 1)) || lower(substr(municipio, 2)) IN ({REFUSALS_SQL}) THEN NULL
        ELSE upper(substr(municipio, 1, 1)) || lower(substr(municipio, 2)) END AS municipio_texto,
   {MUNI_SQL} AS municipio,
   CASE WHEN contains(modelo_seguir, 'Sí') THEN 'Sí' WHEN NOT contains(modelo_seguir, 'Sí') THEN 'No' END AS modelo_seguir
 FROM survey""")
 def attrition_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Baseline cleaning chain per respondent: age range (F7), sentinel (C6),
+    """Baseline cleaning chain per respondent (numeric outputs as DOUBLE): age range (F7), sentinel (C6),
     sentence-cased place then exact refusals (C14, C7, D18), canonical place by
     first matching pattern (C9), yes/no before refusals (C8, D3)."""
     b = fixtures.survey_base(spark, sf_dir)
     out = b.select(
         F.col("respondent_id").alias("id"),
-        rc.keep_between("edad", 10, 30).alias("edad"),
-        rc.null_if("socioeco", F.col("socioeco") == 0).alias("socioeco"),
+        rc.keep_between("edad", 10, 30).cast("double").alias("edad"),
+        rc.null_if("socioeco", F.col("socioeco") == 0).cast("double").alias("socioeco"),
         tx.sentence_case("municipio").alias("municipio_texto"),
         rc.first_match(F.lower("municipio"), MUNICIPALITY_PATTERNS).alias("municipio"),
         rc.contains_yes_no("modelo_seguir", "Sí").alias("modelo_seguir"),

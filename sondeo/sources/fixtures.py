@@ -195,7 +195,7 @@ def ratings_360_sql() -> str:
  1 + CAST(max(l_quantity) AS BIGINT) % 4 AS liderazgo1,
  1 + count(*) % 4 AS liderazgo2,
  1 + CAST(min(l_quantity) AS BIGINT) % 4 AS empatia1,
- CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE 1 + sum(CAST(round(l_discount * 100) AS BIGINT)) % 4 END AS empatia2,
+ CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE 1 + CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) % 4 END AS empatia2,
  max(l_quantity) + min(l_quantity) AS liderazgo
 FROM lineitem GROUP BY l_orderkey"""
 
