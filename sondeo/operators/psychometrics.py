@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +24,53 @@ def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-def covariance_matrix(df: DataFrame, items: Sequence[str]) -> np.ndarray:
-    """Pairwise-complete sample covariance matrix of ``items`` (one aggregate job)."""
+WIDE_ITEMS = 24
+
+
+def _partial_moments(items: list[str], shift: np.ndarray):
+    """Per batch: pairwise counts, shifted sums and cross-products with NULL masks."""
+
+    def run(batches):
+        for pdf in batches:
+            x = pdf[items].to_numpy(dtype=float) - shift[None, :]
+            m = (~np.isnan(x)).astype(float)
+            x0 = np.where(m > 0, x, 0.0)
+            yield pd.DataFrame({"n": [(m.T @ m).ravel()], "a": [(x0.T @ m).ravel()], "s": [(x0.T @ x0).ravel()]})
+
+    return run
+
+
+def _covariance_wide(df: DataFrame, items: Sequence[str]) -> np.ndarray:
+    """Pairwise-complete covariances of many items from ``mapInPandas`` partial sums.
+
+    Two passes: column means (the shift that keeps the sums well conditioned),
+    then per-batch k x k counts, sums and cross-products, added on the driver.
+    """
+    items = list(items)
+    k = len(items)
+    means = df.agg(*[F.avg(col(i).cast("double")).alias(f"m{j}") for j, i in enumerate(items)]).first()
+    shift = np.array([means[f"m{j}"] or 0.0 for j in range(k)])
+    parts = df.select(*[col(i).cast("double").alias(i) for i in items]).mapInPandas(
+        _partial_moments(items, shift), "n array<double>, a array<double>, s array<double>").collect()
+    n = np.sum([np.asarray(p["n"]) for p in parts], axis=0).reshape(k, k)
+    a = np.sum([np.asarray(p["a"]) for p in parts], axis=0).reshape(k, k)
+    sxy = np.sum([np.asarray(p["s"]) for p in parts], axis=0).reshape(k, k)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = (sxy - a * a.T / n) / (n - 1)
+    cov[n < 2] = np.nan
+    return cov
+
+
+def covariance_matrix(df: DataFrame, items: Sequence[str], method: str = "auto") -> np.ndarray:
+    """Pairwise-complete sample covariance matrix of ``items``.
+
+    Up to ``WIDE_ITEMS`` items: one aggregate of ``covar_samp`` per pair.
+    Wider item sets (``method="partial_sums"``) use per-batch k x k partial sums,
+    keeping the plan small whatever k is.
+    """
     k = len(items)
+    if method == "partial_sums" or (method == "auto" and k > WIDE_ITEMS):
+        return _covariance_wide(df, items)
     row = df.agg(*[F.covar_samp(col(items[i]).cast("double"), col(items[j]).cast("double")).alias(f"c{i}_{j}") for i, j in _pairs(k)]).first()
     c = np.full((k, k), np.nan)
     for i, j in _pairs(k):

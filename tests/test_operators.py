@@ -139,3 +139,10 @@ def test_itemstats_category_count_with_unlisted_values(spark):
     df = spark.createDataFrame([(1, 2), (5, 2), (3, 4), (4, 3)], "a int, b int")
     items = {r.item: r.k for r in psychometrics.itemstats(spark, df, {"s": ["a", "b"]})["items"].collect()}
     assert items == {"a": 4, "b": 3}
+
+
+def test_wide_covariance_path_matches_aggregate(spark, al):
+    items_ = alumni.LIKERT_NUM
+    c1 = psychometrics.covariance_matrix(al, items_, method="aggregate")
+    c2 = psychometrics.covariance_matrix(al, items_, method="partial_sums")
+    assert np.allclose(c1, c2, rtol=1e-9, atol=1e-12)
