@@ -59,7 +59,8 @@ class Design:
         data = (complete_rows(df, spec) if complete else df.select(*spec.variables)).persist()
         try:
             rf = RFormula(formula=spec.formula(), featuresCol="features", labelCol="label", stringIndexerOrderType="alphabetDesc")
-            self.frame = reliable_cache(rf.fit(data).transform(data).select("features", "label"))
+            design = rf.fit(data).transform(data).select("features", "label")
+            self.frame = reliable_cache(design, row_bytes=8 * (len(spec.terms) * 4 + 2) + 32)
             self.n_rows = self.frame.count()
         finally:
             data.unpersist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark import StorageLevel
@@ -76,19 +77,35 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return sc.getCheckpointDir() or path
 
 
-def reliable_cache(df: DataFrame) -> DataFrame:
+TARGET_PARTITION_BYTES = 64 * 1024 * 1024
+
+
+def reliable_cache(df: DataFrame, row_bytes: int | None = None) -> DataFrame:
     """Cut lineage for iterative jobs: checkpoint to the shared checkpoint
     folder (``spark.checkpoint.dir``), then cache the checkpointed frame.
 
     The input is staged in the cache first so that computing and writing the
-    checkpoint evaluate the upstream plan once. An executor lost during the
-    iterations then costs a re-read of the checkpoint files, not a
-    recomputation of the joins and shuffles upstream.
+    checkpoint evaluate the upstream plan once. With ``row_bytes`` the staged
+    frame is also right-sized: about 64 MB per partition and never fewer than
+    the default parallelism, so every iteration schedules as many tasks as
+    the data needs. An executor lost during the iterations then costs a
+    re-read of the checkpoint files, not a recomputation upstream.
     """
     checkpoint_dir(df.sparkSession)
     staged = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        cp = staged.checkpoint(eager=True)
+        frame = staged
+        if row_bytes:
+            rows = staged.count()
+            try:
+                floor = df.sparkSession.sparkContext.defaultParallelism
+                current = staged.rdd.getNumPartitions()
+            except Exception:  # no RDD API (Spark Connect): keep the partitioning
+                floor = current = 0
+            target = max(floor, math.ceil(rows * row_bytes / TARGET_PARTITION_BYTES))
+            if current > target:
+                frame = staged.coalesce(target)
+        cp = frame.checkpoint(eager=True)
     finally:
         staged.unpersist()
     return cp.persist(StorageLevel.MEMORY_AND_DISK)
