@@ -200,3 +200,13 @@ def glmm_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
         return round6(glmm.lr_compare(spark, fits))
     finally:
         data.unpersist()
+
+
+@register("glm_glance")
+def glm_glance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model summaries (deviances, df, AIC, n) of the full model and its one-state
+    segment fit (M6, M3)."""
+    frame = model_frame(spark, sf_dir)
+    full = glm.fit_glm(frame, ModelSpec("status", BASE_TERMS))
+    seg = glm.fit_glm(frame.where(F.col("estado") == "AMERICA"), ModelSpec("status", BASE_TERMS).drop_term("estado"))
+    return round6(glm.glance(spark, {"full": full, "state_segment": seg}))
