@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..session import reliable_cache
 from .spec import ModelSpec
-from .stats import chi2_sf, normal_two_sided_p
+from .stats import chi2_sf
 
 Z_05 = 1.959963984540054  # two-sided 5% normal quantile: p <= 0.05  <=>  |z| >= Z_05
 

@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import ALUMNI_LIKERT_ITEMS
 from ..operators import items as it
 from . import alumni
-from .sqlkit import alumni_cte, likert_long, r6
+from .sqlkit import alumni_cte, likert_long
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}

@@ -9,7 +9,6 @@ from ..config import ALUMNI_LIKERT_ITEMS, TEXT_CATEGORIES
 from ..functions import recode as rc
 from ..functions import text as tx
 from ..operators import freq, grouped, items
-from ..operators.plotdata import kde  # noqa: F401  (re-exported for callers)
 from ..sources import fixtures
 from . import alumni
 from .catalog import LIKERT_NUM, register, round6

@@ -16,7 +16,7 @@ from . import alumni, attrition
 from . import psychometrics as ps
 from .catalog import LIKERT_NUM, register, round6
 from .q_attrition import ADOL_SQL
-from .sqlkit import alumni_cte, items_cte, q, r6
+from .sqlkit import alumni_cte, items_cte, r6
 
 # --------------------------------------------------------------------- G20, G22
 
