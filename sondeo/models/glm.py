@@ -82,14 +82,17 @@ class Design:
             self.term_of.append(term or nm)
 
     def indices(self, terms) -> list[int]:
-        keep = set(terms)
-        return [i for i, t in enumerate(self.term_of) if t in keep]
+        """Feature indices of ``terms`` in R's order: terms as written, levels of a
+        factor ascending (the index order of the design is descending)."""
+        pos = {t: k for k, t in enumerate(self.spec.terms)}
+        keep = [i for i, t in enumerate(self.term_of) if t in set(terms)]
+        return sorted(keep, key=lambda i: (pos.get(self.term_of[i], len(pos)), self.names[i]))
 
     def fit(self, terms=None, tol: float = 1e-8, max_iter: int = 25) -> GlmFit:
         terms = list(self.spec.terms) if terms is None else list(terms)
         idx = self.indices(terms)
         frame = self.frame
-        if len(idx) != len(self.names):
+        if idx != list(range(len(self.names))):
             frame = VectorSlicer(inputCol="features", outputCol="f", indices=idx).transform(frame).select(F.col("f").alias("features"), "label")
         glr = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter, tol=tol, regParam=0.0)
         model = glr.fit(frame)

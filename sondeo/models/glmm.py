@@ -310,8 +310,14 @@ def fit_glmm(df: DataFrame, spec: ModelSpec, log_sigma_range: tuple[float, float
 
 def fixed_table(spark: SparkSession, fit: GlmmFit, model: str | None = None) -> DataFrame:
     """Fixed effects with Wald z and p."""
+    def order(t: str):
+        if t == "(Intercept)":
+            return (-1, t)
+        hits = [k for k, term in enumerate(fit.spec.terms) if t == term or t.startswith(term)]
+        return (min(hits) if hits else len(fit.spec.terms), t)
+
     rows = []
-    for t, b, s in zip(fit.terms, fit.beta, fit.se):
+    for t, b, s in sorted(zip(fit.terms, fit.beta, fit.se), key=lambda r: order(r[0])):
         z = b / s
         r = {"term": t, "estimate": float(b), "std_error": float(s), "statistic": float(z), "p_value": normal_two_sided_p(z)}
         rows.append({"model": model, **r} if model else r)

@@ -66,7 +66,9 @@ def test_glmm_sigma_zero_equals_glm(spark, binary):
         d.close()
     g = glm.fit_glm(binary, ModelSpec("y", ("g", "x")))
     assert abs(dev - g.deviance) < 1e-6
-    assert np.max(np.abs(theta[: len(g.estimate)] - np.array(g.estimate))) < 1e-6
+    mixed = dict(zip(d.names, theta[: len(d.names)]))
+    assert set(mixed) == set(g.terms)
+    assert max(abs(mixed[t] - e) for t, e in zip(g.terms, g.estimate)) < 1e-6
 
 
 def test_glmm_recovers_group_variance(spark):
