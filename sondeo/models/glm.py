@@ -21,6 +21,7 @@ from ..session import reliable_cache
 from .spec import ModelSpec
 from .stats import chi2_sf
 
+_DISCRETE = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 Z_05 = 1.959963984540054  # two-sided 5% normal quantile: p <= 0.05  <=>  |z| >= Z_05
 
 
@@ -56,11 +57,23 @@ class Design:
 
     def __init__(self, df: DataFrame, spec: ModelSpec, complete: bool = True):
         self.spec = spec
-        data = (complete_rows(df, spec) if complete else df.select(*spec.variables)).persist()
+        data = complete_rows(df, spec) if complete else df.select(*spec.variables)
+        # With only discrete terms the likelihood depends on the data through
+        # per-cell trials and successes: collapse to cells (one partially
+        # aggregated groupBy) and let IRLS iterate over the cell table, with
+        # the proportion as response and the trials as weights.
+        discrete = all(isinstance(data.schema[t].dataType, _DISCRETE) for t in spec.terms)
+        self.grouped = discrete
+        if discrete:
+            y = F.col(spec.response).cast("double")
+            data = data.groupBy(*spec.terms).agg(F.count(F.lit(1)).cast("double").alias("__w"), F.sum(y).alias("__s"))
+            data = data.withColumn(spec.response, F.col("__s") / F.col("__w")).drop("__s")
+        data = data.persist()
         try:
             rf = RFormula(formula=spec.formula(), featuresCol="features", labelCol="label", stringIndexerOrderType="alphabetDesc")
-            design = rf.fit(data).transform(data).select("features", "label")
-            self.frame = reliable_cache(design, row_bytes=8 * (len(spec.terms) * 4 + 2) + 32)
+            cols = ["features", "label"] + (["__w"] if discrete else [])
+            design = rf.fit(data).transform(data).select(*cols)
+            self.frame = reliable_cache(design, row_bytes=8 * (len(spec.terms) * 4 + 3) + 32)
             self.n_rows = self.frame.count()
         finally:
             data.unpersist()
@@ -92,9 +105,12 @@ class Design:
         terms = list(self.spec.terms) if terms is None else list(terms)
         idx = self.indices(terms)
         frame = self.frame
+        wcol = ["__w"] if self.grouped else []
         if idx != list(range(len(self.names))):
-            frame = VectorSlicer(inputCol="features", outputCol="f", indices=idx).transform(frame).select(F.col("f").alias("features"), "label")
+            frame = VectorSlicer(inputCol="features", outputCol="f", indices=idx).transform(frame).select(F.col("f").alias("features"), "label", *wcol)
         glr = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter, tol=tol, regParam=0.0)
+        if self.grouped:
+            glr = glr.setWeightCol("__w")
         model = glr.fit(frame)
         s = model.summary
         est = [float(model.intercept)] + [float(x) for x in model.coefficients]
@@ -106,11 +122,13 @@ class Design:
         # properties would each launch their own job). For a 0/1 response the
         # saturated log-likelihood is 0, so deviance = -2 log L and the null
         # model's fitted mean is the response mean.
-        mu = model.transform(frame).select("label", F.col("prediction").alias("mu"))
-        y = F.col("label")
-        ll = y * F.log(F.col("mu")) + (1 - y) * F.log(1 - F.col("mu"))
-        st = mu.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(ll).alias("ll")).first()
-        n, sy = int(st["n"]), float(st["sy"])
+        mu = model.transform(frame).select("label", F.col("prediction").alias("mu"), *wcol)
+        w = F.col("__w") if self.grouped else F.lit(1.0)
+        succ = F.col("label") * w
+        # individual-level log-likelihood (also for cell tables)
+        ll = F.when(succ > 0, succ * F.log(F.col("mu"))).otherwise(0.0) + F.when(w - succ > 0, (w - succ) * F.log(1 - F.col("mu"))).otherwise(0.0)
+        st = mu.agg(F.sum(w).alias("n"), F.sum(succ).alias("sy"), F.sum(ll).alias("ll")).first()
+        n, sy = int(round(st["n"])), float(st["sy"])
         ybar = sy / n
         null_dev = -2 * (sy * math.log(ybar) + (n - sy) * math.log(1 - ybar)) if 0 < sy < n else 0.0
         dev = -2 * float(st["ll"])

@@ -123,3 +123,14 @@ def test_completion_status_has_both_outcomes(spark):
 
     c = attrition.completion(spark, SF_SMALL).groupBy("status").count().collect()
     assert {r.status for r in c} == {0, 1}
+
+
+def test_cell_collapsed_glm_equals_row_level(spark, binary):
+    df = binary.withColumn("k", (F.col("x") > 0).cast("int"))
+    cells = glm.fit_glm(df, ModelSpec("y", ("g", "k")))
+    rows = glm.fit_glm(df.withColumn("k", F.col("k").cast("double")), ModelSpec("y", ("g", "k")))
+    assert cells.terms == rows.terms
+    assert np.allclose(cells.estimate, rows.estimate, atol=1e-8)
+    assert np.allclose(cells.std_error, rows.std_error, atol=1e-8)
+    assert abs(cells.deviance - rows.deviance) < 1e-6 and abs(cells.null_deviance - rows.null_deviance) < 1e-6
+    assert (cells.n, cells.df_residual) == (rows.n, rows.df_residual)
