@@ -29,6 +29,8 @@ from ..session import reliable_cache
 from .spec import ModelSpec
 from .stats import chi2_sf, normal_two_sided_p
 
+_DISCRETE = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
 
 @dataclass
 class GlmmFit:
@@ -72,6 +74,7 @@ def _pass_fn(p: int, sizes: list[int], beta: np.ndarray, sigma: np.ndarray, u: l
             if p > 1:
                 x[:, 1:] = np.stack(pdf["x"].to_numpy())
             y = pdf["y"].to_numpy(dtype=float)
+            trials = pdf["w"].to_numpy(dtype=float)
             xt = np.zeros((n, dim))
             xt[:, :p] = x
             eta = x @ beta
@@ -82,10 +85,10 @@ def _pass_fn(p: int, sizes: list[int], beta: np.ndarray, sigma: np.ndarray, u: l
                 xt[np.arange(n), off + g] = sigma[r]
                 off += size
             mu = 1.0 / (1.0 + np.exp(-eta))
-            w = mu * (1.0 - mu)
-            ll = float(np.sum(y * eta - np.logaddexp(0.0, eta)))
+            w = trials * mu * (1.0 - mu)
+            ll = float(np.sum(y * eta - trials * np.logaddexp(0.0, eta)))
             gram = xt.T @ (xt * w[:, None])
-            grad = xt.T @ (y - mu)
+            grad = xt.T @ (y - trials * mu)
             yield pd.DataFrame({"ll": [ll], "gram": [gram.ravel()], "grad": [grad]})
 
     return run
@@ -97,7 +100,16 @@ class GlmmData:
     def __init__(self, df: DataFrame, spec: ModelSpec):
         if not spec.random:
             raise ValueError("a mixed model needs at least one random intercept")
-        data = df.select(*spec.variables).dropna("any").persist()
+        data = df.select(*spec.variables).dropna("any")
+        # All-discrete fixed terms: collapse to (fixed cell x groups) with
+        # trials and successes; PIRLS passes then run over the cell table.
+        self.grouped = all(isinstance(data.schema[t].dataType, _DISCRETE) for t in spec.terms)
+        if self.grouped:
+            keys = list(dict.fromkeys([*spec.terms, *spec.random]))
+            data = data.groupBy(*keys).agg(F.sum(F.col(spec.response).cast("double")).alias(spec.response), F.count(F.lit(1)).cast("double").alias("__w"))
+        else:
+            data = data.withColumn("__w", F.lit(1.0))
+        data = data.persist()
         try:
             cols = []
             self.levels: list[list[str]] = []
@@ -122,10 +134,11 @@ class GlmmData:
                             break
                     self.names.append(nm)
                 cols.insert(0, vector_to_array("features").alias("x"))
+            cols.insert(0, F.col("__w").alias("w"))
             cols.insert(0, F.col(spec.response).cast("double").alias("y"))
-            width = 8 * (len(self.names) + 1 + len(spec.random)) + 16
+            width = 8 * (len(self.names) + 2 + len(spec.random)) + 16
             self.frame = reliable_cache(frame.select(*cols), row_bytes=width)
-            self.n = self.frame.count()
+            self.n = int(round(self.frame.agg(F.sum("w")).first()[0]))
         finally:
             data.unpersist()
         self.spec = spec

@@ -134,3 +134,21 @@ def test_cell_collapsed_glm_equals_row_level(spark, binary):
     assert np.allclose(cells.std_error, rows.std_error, atol=1e-8)
     assert abs(cells.deviance - rows.deviance) < 1e-6 and abs(cells.null_deviance - rows.null_deviance) < 1e-6
     assert (cells.n, cells.df_residual) == (rows.n, rows.df_residual)
+
+
+def test_cell_collapsed_glmm_equals_row_level(spark, binary):
+    df = binary.withColumn("k", (F.col("x") > 0).cast("int"))
+    spec = ModelSpec("y", ("g", "k"), ("grp",))
+    cells = glmm.GlmmData(df, spec)
+    rows = glmm.GlmmData(df.withColumn("k", F.col("k").cast("double")), spec)
+    try:
+        assert cells.grouped and not rows.grouped and cells.n == rows.n
+        for sigma in (0.3, 1.1):
+            tc, dc, _ = glmm.pirls(cells, np.array([sigma]), tol=1e-10)
+            tr, dr, _ = glmm.pirls(rows, np.array([sigma]), tol=1e-10)
+            assert abs(dc - dr) < 1e-6
+            assert dict(zip(cells.names, tc)) .keys() == dict(zip(rows.names, tr)).keys()
+            assert max(abs(a - b) for a, b in zip(tc, tr)) < 1e-6
+    finally:
+        cells.close()
+        rows.close()
