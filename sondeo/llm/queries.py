@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing, ngram_join, packing, token_store
+from . import exact_dedup, license_scan, mixing, ngram_join, packing, token_store, toxicity
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -90,6 +90,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+@register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _license_sql() -> str:
     values = ", ".join(f"('{r['digest']}', '{r['license']}')" for r in license_scan.known_digests())
     canon = rf"trim(regexp_replace(regexp_replace(lower(part), '{license_scan.COPYRIGHT_LINE}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' ')"
