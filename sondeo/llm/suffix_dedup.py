@@ -31,7 +31,7 @@ from .shingles import U, mix
 
 SPAN = 200
 GRAM = 24
-SIDE = 64  # bytes next to the gram by which the segments of a frequent gram are dealt out
+SIDE = (SPAN - GRAM) // 2  # any window of an anchor reaches so many bytes beyond the gram on one side
 CHUNK = 4_000  # segments ordered together (more, if one gram has more)
 BLOOM_BITS = 1 << 24
 _POS = 26
@@ -105,13 +105,14 @@ def _list_runs(batches):
 
 
 def _wanted_segments(bloom: np.ndarray):
-    """Function from texts to the different segments (g, sh, side key, windows, segment) of grams that may be wanted."""
+    """Function from texts to the different segments (g, sh, side key, shift, windows, segment) of grams that may be wanted,
+    each cut in two by the side on which its windows meet others."""
 
     def run(batches):
         def flush():
             cols = list(zip(*out, strict=True))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["g", "sh", "key", "windows", "segment"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["g", "sh", "key", "shift", "windows", "segment"])
 
         out, seen = [], set()
         for _, raw in _each_text(batches):
@@ -127,12 +128,15 @@ def _wanted_segments(bloom: np.ndarray):
                 seen.add((int(g[i]), sh))
                 signed = int(np.array([sh], U).view(np.int64)[0])
                 gram = int(g[i : i + 1].view(np.int64)[0])
-                # Any window reaches SIDE bytes beyond the gram on at least one side.
-                end = anchor + GRAM + SIDE
-                if end <= last + SPAN:
-                    out.append((gram, signed, xxhash.xxh64_intdigest(raw[anchor:end]) >> 1, last - first + 1, segment))
-                if anchor - SIDE >= first:
-                    out.append((gram, signed, xxhash.xxh64_intdigest(raw[anchor - SIDE : anchor + GRAM], 1) >> 1, last - first + 1, segment))
+                # Windows that reach SIDE bytes beyond the gram meet by those bytes, the others by the SIDE bytes before it.
+                cut = max(first, anchor - SIDE)
+                if cut <= last:
+                    key = xxhash.xxh64_intdigest(raw[anchor : anchor + GRAM + SIDE]) >> 1
+                    out.append((gram, signed, key, cut - first, last - cut + 1, segment[cut - first :]))
+                if first < cut:
+                    key = xxhash.xxh64_intdigest(raw[anchor - SIDE : anchor + GRAM], 1) >> 1
+                    end = min(last, cut - 1)
+                    out.append((gram, signed, key, 0, end - first + 1, segment[: end - first + SPAN]))
             if len(out) > 5_000:
                 yield flush()
                 out = []
@@ -217,25 +221,46 @@ def _compare(batches):
     if not parts:
         return
     t = pa.Table.from_batches(parts).sort_by([("key", "ascending"), ("g", "ascending"), ("sh", "ascending")])
-    key = t.column("key").to_numpy()
+    key, names = t.column("key").to_numpy(), np.stack([t.column(c).to_numpy() for c in ("g", "sh")], axis=1)
     bounds = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-    take, found = [], []
+    groups, size, found = [], 0, []
+
+    def add(lo, x, hit):
+        shift = t.column("shift")[lo].as_py()
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+        found.extend((*x, int(a) + shift, int(b) - 1 + shift) for a, b in edge.reshape(-1, 2))
 
     def work():
-        part = t.take(pa.array(take))
-        unique = {(g, sh): (w, s) for g, sh, w, s in zip(*[part.column(c).to_pylist() for c in ("g", "sh", "windows", "segment")], strict=True)}
-        names = list(unique)
-        for (g, sh), hit in zip(names, repeated_windows([unique[x][1] for x in names], [unique[x][0] for x in names]), strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            found.extend((g, sh, int(a), int(b) - 1) for a, b in edge.reshape(-1, 2))
+        # Equal parts of different segments need no order: all their windows repeat.
+        parts = list({p: None for g in groups for p in g})
+        windows = {p: w for g in groups for p, (w, _) in g.items()}
+        hits = dict(zip(parts, repeated_windows(parts, [windows[p] for p in parts]), strict=True))
+        for g in groups:
+            for p, (w, owners) in g.items():
+                for lo, x in owners:
+                    add(lo, x, np.ones(w, bool) if len(owners) > 1 else hits[p])
 
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if hi - lo > 1:
-            take.extend(range(lo, hi))
-        if len(take) >= CHUNK:
+        if hi - lo == 1:
+            continue
+        fresh = np.concatenate([[True], (names[lo + 1 : hi] != names[lo : hi - 1]).any(axis=1)])
+        group: dict = {}
+        for i in (lo + np.flatnonzero(fresh)).tolist():
+            part = t.column("segment")[i].as_py()
+            w, owners = group.setdefault(part, (t.column("windows")[i].as_py(), []))
+            owners.append((i, tuple(names[i].tolist())))
+        if len(group) == 1:
+            ((w, owners),) = group.values()
+            if len(owners) > 1:
+                for i, x in owners:
+                    add(i, x, np.ones(w, bool))
+        else:
+            groups.append(group)
+            size += len(group)
+        if size >= CHUNK:
             work()
-            take = []
-    if take:
+            groups, size = [], 0
+    if groups:
         work()
     if found:
         cols = list(zip(*found, strict=True))
@@ -248,16 +273,16 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     # A text read by several tasks lists its runs once each: pairs of (text, place) count.
     grams = listed.groupBy("g").agg(F.min("sh").alias("s0"), F.max("sh").alias("s1"), F.min("tk").alias("t0"), F.max("tk").alias("t1"), F.min("lo").alias("l0"), F.max("lo").alias("l1"))
     common = grams.where("s0 <> s1 OR t0 <> t1 OR l0 <> l1").select("g", (F.col("s0") != F.col("s1")).alias("mixed"))
-    shared = save(listed.join(common, "g").distinct(), "shared")
+    shared = save(listed.join(common, "g"), "shared")
     mixed = shared.where("mixed")
-    counts = mixed.groupBy("g", "sh").agg(F.count(F.lit(1)).alias("n"))
-    whole = shared.where("NOT mixed").select("tk", "lo", "hi").unionByName(mixed.join(counts.where("n > 1").select("g", "sh"), ["g", "sh"]).select("tk", "lo", "hi"))
+    places = mixed.groupBy("g", "sh").agg(F.min("tk").alias("t0"), F.max("tk").alias("t1"), F.min("lo").alias("l0"), F.max("lo").alias("l1"))
+    whole = shared.where("NOT mixed").select("tk", "lo", "hi").unionByName(mixed.join(places.where("t0 <> t1 OR l0 <> l1").select("g", "sh"), ["g", "sh"]).select("tk", "lo", "hi"))
     x = F.pmod(F.col("g"), F.lit(BLOOM_BITS))
     words = mixed.select(x.alias("x")).groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("v"))
     bloom = np.zeros(BLOOM_BITS >> 6, np.int64)
     for r in words.collect():  # at most BLOOM_BITS / 64 rows
         bloom[r["w"]] = r["v"]
-    segments = texts.mapInArrow(_wanted_segments(bloom.view(U)), "g long, sh long, key long, windows int, segment binary")
+    segments = texts.mapInArrow(_wanted_segments(bloom.view(U)), "g long, sh long, key long, shift int, windows int, segment binary")
     partial = save(segments.repartition("key").mapInArrow(_compare, "g long, sh long, x int, y int").distinct(), "partial")
     some = mixed.join(partial, ["g", "sh"]).select("tk", (F.col("lo") + F.col("x")).alias("lo"), (F.col("lo") + F.col("y")).alias("hi"))
     return whole.unionByName(some)
