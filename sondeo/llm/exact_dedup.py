@@ -71,8 +71,8 @@ def drop_exact_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """The documents that stay, with their columns: copies of heavy digests go map-side, the rest by a
     per-digest first row whose map-side limit thins each partition before the shuffle."""
     text = text_or_empty(docs)
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    wide = docs.withColumns({"_len": F.char_length(text), "_digest": text_digest(text)})
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")  # own names cannot clash inside it
+    wide = docs.select(row, docs["doc_id"].alias("doc_id"), F.char_length(text).alias("_len"), text_digest(text).alias("_digest"))
     keyed = save(wide.select("doc_id", "_len", "_digest"), "digests")
     order = F.struct((-F.col("_len")).alias("l"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"))
     heavy = save(heavy_winners(keyed, order, support), "heavy")
@@ -83,5 +83,5 @@ def drop_exact_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
         .where(~loses)
         .withColumn("_rank", F.row_number().over(first))
         .where("_rank = 1")
-        .select(*cols)
+        .select("_row.*")
     )

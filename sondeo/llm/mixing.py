@@ -75,11 +75,12 @@ def phases(weights: dict[str, int], rows: dict[str, int], block_rows: int) -> li
     return out
 
 
+MIX_COLUMNS = ["mix_source", "mix_block", "mix_slot", "mix_position"]
 PHASE_SCHEMA = "array<struct<source:string,first_block:bigint,n_blocks:bigint,phase:int,slot0:bigint,row0:bigint,a:bigint,period:bigint,slots:array<bigint>>>"
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All rows with mix_source, mix_block (number in its source), mix_slot (of the schedule) and mix_position (0-based order)."""
+    """All rows with mix_source, mix_block (number in its source), mix_slot (of the schedule) and mix_position (0-based order); columns of those names are replaced."""
     if any(not isinstance(a, int) or a <= 0 for a in [*weights.values(), other]):
         raise ValueError("weights are positive integers")
     spark = docs.sparkSession
@@ -90,8 +91,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], other: int = 1, block_
     digits = hex_digits_for(sum(counts.values()))
     table = json.dumps(phases(weights, counts, block_rows))
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(table), PHASE_SCHEMA))).withColumnRenamed("source", "mix_source")
-    keyed = docs.withColumns({"mix_source": pool, "_key": key, "_bucket": F.substring(key, 1, digits)})
-    ranked = rank_in_groups(keyed, ["mix_source"], "_bucket", [F.col("_key"), F.col("doc_id")], "_rank")
+    names = [c for c in docs.columns if c not in MIX_COLUMNS]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")  # own names cannot clash inside it
+    keyed = docs.select(row, F.col("doc_id").alias("_id"), pool.alias("mix_source"), key.alias("_key"), F.substring(key, 1, digits).alias("_bucket"))
+    ranked = rank_in_groups(keyed, ["mix_source"], "_bucket", [F.col("_key"), F.col("_id")], "_rank")
     ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block_rows))
     plan = plan.select(*[F.col(c).alias("mix_source" if c == "mix_source" else f"_p_{c}") for c in plan.columns])
     inside = (F.col("mix_block") >= F.col("_p_first_block")) & (F.col("mix_block") < F.col("_p_first_block") + F.col("_p_n_blocks"))
@@ -99,7 +102,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], other: int = 1, block_
     local = F.floor(k / F.col("_p_a")) * F.col("_p_period") + F.element_at(F.col("_p_slots"), (F.pmod(k, F.col("_p_a")) + 1).cast("int"))
     joined = ranked.alias("r").join(F.broadcast(plan).alias("p"), (F.col("r.mix_source") == F.col("p.mix_source")) & inside)
     return joined.select(
-        *[F.col(f"r.`{c}`") for c in docs.columns],
+        "_row.*",
         F.col("r.mix_source").alias("mix_source"),
         F.col("mix_block"),
         (F.col("_p_slot0") + local).alias("mix_slot"),

@@ -190,4 +190,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score stays below the threshold."""
-    return score_documents(docs, learn(docs, labels)).where("toxic_predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # own names cannot clash inside it
+    return score_documents(docs.select(row, "text"), learn(docs, labels)).where("toxic_predicted = 0").select("row.*")
