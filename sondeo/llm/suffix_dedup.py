@@ -159,13 +159,16 @@ def suffix_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sigma, block = len(alphabet) + 1, 256
     left = lengths.copy()
     bwt = np.where(left > 0, codes[np.minimum(base + left - 1, len(codes) - 1)], 0).astype(codes.dtype)
-    who, at = np.arange(m, dtype=np.int32), lengths.astype(np.int32)
+    ids = (base + lengths + np.arange(m)).astype(np.int64 if len(flat) + m >= 1 << 31 else np.int32)  # of suffixes: their place in the joined text, one end mark for each segment
+    first_id = base + np.arange(m)
+    block_key = np.zeros(0, np.int32)
     place = np.arange(m, dtype=np.int64)  # of the suffix put in last
     active = np.arange(m)
     while True:
         active = active[left[active] > 0]
         if not len(active):
-            return who, at
+            who = np.searchsorted(first_id, ids, side="right") - 1
+            return who, ids - first_id[who]
         left[active] -= 1
         c = codes[base[active] + left[active]].astype(np.int64)
         # Count each symbol before each place: whole blocks from a table, the rest of the block directly.
@@ -173,7 +176,9 @@ def suffix_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         padded = np.zeros(-(-n // block) * block, bwt.dtype)
         padded[:n] = bwt
         rows = padded.reshape(-1, block)
-        table = np.bincount(np.repeat(np.arange(len(rows)) * sigma, block) + padded, minlength=len(rows) * sigma).reshape(len(rows), sigma)
+        if len(block_key) < len(padded):
+            block_key = np.repeat(np.arange(2 * len(rows), dtype=np.int32) * sigma, block)
+        table = np.bincount(block_key[: len(padded)] + padded, minlength=len(rows) * sigma).reshape(len(rows), sigma)
         table[-1, 0] -= len(padded) - n
         upto = np.concatenate([np.zeros((1, sigma), np.int64), np.cumsum(table, axis=0)])
         p = place[active]
@@ -185,11 +190,11 @@ def suffix_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         before = np.where(left[active] > 0, codes[np.maximum(base[active] + left[active] - 1, 0)], 0)
         mask = np.ones(n + len(active), bool)
         mask[new] = False
-        merged = np.empty(n + len(active), bwt.dtype), np.empty(n + len(active), np.int32), np.empty(n + len(active), np.int32)
-        for out, old, added in zip(merged, (bwt, who, at), (before, active, left[active]), strict=True):
+        merged = np.empty(n + len(active), bwt.dtype), np.empty(n + len(active), ids.dtype)
+        for out, old, added in zip(merged, (bwt, ids), (before, first_id[active] + left[active]), strict=True):
             out[mask] = old
             out[new] = added
-        bwt, who, at = merged
+        bwt, ids = merged
 
 
 def repeated_windows(segments: list[bytes], windows: list[int]) -> list[np.ndarray]:
