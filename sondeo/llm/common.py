@@ -15,6 +15,14 @@ from ..session import checkpoint_dir
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python in small Arrow batches: bounds what a worker holds at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for an intermediate table below the cluster's shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/sondeo-llm-{uuid.uuid4().hex[:12]}/{name}"
@@ -23,6 +31,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared scratch folder and read it back: cuts the lineage, so a lost
     executor costs a re-read of the files and nothing upstream runs twice."""
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

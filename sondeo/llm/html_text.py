@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Frequent function words of the languages met.
 STOP_WORDS = frozenset(
     """the of and to in is that it for was on are as with his they at be this from have or by one had not but what all were when we there can an your which
@@ -182,6 +184,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    small_batches(pages.sparkSession)
 
     def run(batches):
         for batch in batches:

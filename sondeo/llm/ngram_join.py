@@ -42,7 +42,7 @@ from .shingles import U, mix, set_fingerprint, shingle_set
 BAND_RATIO = 1.6
 DELETION_EVERY = 32
 COSTLY_KEYS = 1 << 16
-LOCAL_KEYS = 4_000_000  # keys a task counts together before it reports the frequent ones
+LOCAL_KEYS = 2_000_000  # keys a task counts together before it reports the frequent ones
 LOCAL_MIN = 4
 SALT_ROWS = 5_000  # rows of a costly key that go to one bucket
 PAIRS_UP_TO = 24

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-_MEMO = 300_000  # words whose hash a worker remembers
+_MEMO = 150_000  # words whose hash a worker remembers
 
 U = np.uint64
 

@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 HASH_BITS = 20
 STEMS = (4, 5)
 SAMPLE = 25_000  # labelled rows of each class that teach
@@ -40,7 +42,7 @@ def buckets(word: str) -> tuple[int, ...]:
     """Buckets of a word and of its stems."""
     known = _BUCKETS.get(word)
     if known is None:
-        if len(_BUCKETS) > 300_000:
+        if len(_BUCKETS) > 100_000:
             _BUCKETS.clear()
         parts = [word, *["^" + word[:k] for k in STEMS if len(word) > k]]
         known = _BUCKETS[word] = tuple(xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass")) & ((1 << HASH_BITS) - 1) for p in parts)
@@ -141,6 +143,7 @@ class FactorizationMachine:
 
 def learn(docs: DataFrame, labels: DataFrame) -> FactorizationMachine | None:
     """The fitted machine, None without labelled rows."""
+    small_batches(docs.sparkSession)
     sample = _sample(docs, labels)
     counts = sample.mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = {r["bucket"]: r for r in counts.where("bucket = -1").collect()}
@@ -171,6 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> FactorizationMachine | None:
 def score_documents(docs: DataFrame, model: FactorizationMachine | None) -> DataFrame:
     """All columns of the documents, toxic_score and toxic_predicted."""
     names = docs.columns
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
