@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -60,11 +62,11 @@ def replace_first(c: ColumnOrName, pattern: str, replacement: str) -> Column:
 
     ``replacement`` uses Java ``$n`` group syntax for groups of ``pattern``.
     """
-    groups = pattern.count("(") - pattern.count("\\(") - pattern.count("(?")
+    groups = re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern)).groups
     shifted = replacement
     for i in range(groups, 0, -1):
         shifted = shifted.replace(f"${i}", f"${i + 1}")
-    return F.regexp_replace(_c(c), f"^(.*?){pattern}", f"$1{shifted}")
+    return F.regexp_replace(_c(c), f"(?s)^(.*?)(?-s:{pattern})", f"$1{shifted}")
 
 
 def period_from_label(c: ColumnOrName) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -53,18 +54,16 @@ def read_export(
 def merge_header(top: Sequence[str | None], bottom: Sequence[str | None], other: str = "Otro") -> list[str]:
     """Resolve a two-row header (S3).
 
-    The bottom name wins unless it is auto-named -- blank, "...N", or a repeat
-    of an earlier bottom name (a spreadsheet reader would have suffixed it);
+    The bottom name wins unless it is auto-named -- blank, "...N", or one of
+    several equal bottom names (a spreadsheet reader suffixes all of them);
     then the column is "Otro" if the bottom mentions it, else the top name
     (itself auto-named "...N" when blank).
     """
-    out, seen = [], set()
+    out, times = [], Counter((b or "").strip() for b in bottom)
     for i, (t, b) in enumerate(zip(top, bottom)):
         t_name = (t or "").strip() or f"...{i + 1}"
         b_name = (b or "").strip()
-        auto = not b_name or "..." in b_name or b_name in seen
-        if b_name:
-            seen.add(b_name)
+        auto = not b_name or "..." in b_name or times[b_name] > 1
         if auto:
             out.append(other if other in b_name else t_name)
         else:
@@ -117,18 +116,18 @@ def read_two_row_header(
 
     The names come from ``header_path`` (default: the first file; one header
     may serve several files). Spark's CSV ``header`` option drops the first
-    line of each file; the second header line is removed by matching its
-    exact content, which no answer row reproduces.
+    line of each file; the second one is the first row left of each file,
+    whatever it holds, and is dropped by its ordinal.
     """
     paths = [path] if isinstance(path, str) else list(path)
     top, bottom = header_rows(spark, header_path or paths[0], 2, **options)
     names = merge_header(top, bottom)
     if clean:
         names = clean_names(names)
-    df = spark.read.options(header=True, **options).csv(paths)
-    df = df.toDF(*names)
-    is_header = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.lit(v)) for c, v in zip(names, bottom)])
-    return with_ordinal(df.where(~is_header))
+    files = spark.read.text(paths).inputFiles()
+    rows = [with_ordinal(spark.read.options(header=True, **options).csv(f).toDF(*names)) for f in files]
+    df = reduce(DataFrame.union, [r.where("_row > 0") for r in rows])
+    return df.withColumn("_row", F.monotonically_increasing_id())
 
 
 def ingest_waves(frames: Mapping[str, DataFrame], transform: Callable[[DataFrame], DataFrame] | None = None, wave_col: str = "wave") -> DataFrame:

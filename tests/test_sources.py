@@ -64,3 +64,20 @@ def test_wave_stream_available_now(spark):
     assert out.count() == base.count()
     assert out.where(F.col("edad") == 99).count() == 0
     assert {r.wave for r in out.select("wave").distinct().collect()} == {"23-24", "24-25"}
+
+
+def test_second_header_line_goes_whatever_it_holds(spark, tmp_path):
+    from sondeo.sources.exports import merge_header, read_two_row_header
+
+    assert merge_header(["Acepta?", "Q2", "Q3"], ["Response", "Response", "Edad"]) == ["Acepta?", "Q2", "Edad"]
+    (tmp_path / "a.csv").write_text("Q1,Q2\nResponse,Edad\nsi,1\nResponse,Edad\n")
+    (tmp_path / "b.csv").write_text("Q1,Q2\nOpen-Ended Response,Edad\nno,2\n")
+    df = read_two_row_header(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], header_path=str(tmp_path / "a.csv"))
+    assert sorted(tuple(r)[:2] for r in df.collect()) == [("Response", "Edad"), ("no", "2"), ("si", "1")]
+
+
+def test_replace_first_after_a_newline(spark):
+    from sondeo.functions.text import replace_first
+
+    df = spark.createDataFrame([("a\nb1 b2",)], "x string")
+    assert df.select(replace_first("x", r"b(?<n>\d)", "c$1")).head()[0] == "a\nc1 b2"
