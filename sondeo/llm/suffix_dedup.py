@@ -277,11 +277,13 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     listed = save(texts.mapInArrow(_list_runs, "g long, sh long, tk long, lo int, hi int"), "runs")
     # A text read by several tasks lists its runs once each: pairs of (text, place) count.
     grams = listed.groupBy("g").agg(F.min("sh").alias("s0"), F.max("sh").alias("s1"), F.min("tk").alias("t0"), F.max("tk").alias("t1"), F.min("lo").alias("l0"), F.max("lo").alias("l1"))
-    common = grams.where("s0 <> s1 OR t0 <> t1 OR l0 <> l1").select("g", (F.col("s0") != F.col("s1")).alias("mixed"))
+    # Saved before they are joined: Spark splits a hot gram's rows (skew join) only if both sides come straight from a shuffle.
+    common = save(grams.where("s0 <> s1 OR t0 <> t1 OR l0 <> l1").select("g", (F.col("s0") != F.col("s1")).alias("mixed")), "common")
     shared = save(listed.join(common, "g"), "shared")
     mixed = shared.where("mixed")
     places = mixed.groupBy("g", "sh").agg(F.min("tk").alias("t0"), F.max("tk").alias("t1"), F.min("lo").alias("l0"), F.max("lo").alias("l1"))
-    whole = shared.where("NOT mixed").select("tk", "lo", "hi").unionByName(mixed.join(places.where("t0 <> t1 OR l0 <> l1").select("g", "sh"), ["g", "sh"]).select("tk", "lo", "hi"))
+    repeated = save(places.where("t0 <> t1 OR l0 <> l1").select("g", "sh"), "repeated")
+    whole = shared.where("NOT mixed").select("tk", "lo", "hi").unionByName(mixed.join(repeated, ["g", "sh"]).select("tk", "lo", "hi"))
     x = F.pmod(F.col("g"), F.lit(BLOOM_BITS))
     words = mixed.select(x.alias("x")).groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("v"))
     bloom = np.zeros(BLOOM_BITS >> 6, np.int64)
@@ -311,7 +313,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = rows.groupBy("tk").agg(F.count(F.lit(1)).alias("c"), F.max(F.octet_length("text")).alias("n"))
     copied = copies.where((F.col("c") > 1) & (F.col("n") >= SPAN)).select("tk", F.lit(0).alias("lo"), (F.col("n") - SPAN).cast("int").alias("hi"))
     ranges = repeated_starts(rows.select("tk", "text")).unionByName(copied)
-    by_text = ranges.distinct().groupBy("tk").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    by_text = save(ranges.distinct().groupBy("tk").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "by_text")
 
     def cut(batches):
         for batch in batches:
