@@ -13,6 +13,9 @@ at the place that counting the symbol in the collection's Burrows-Wheeler transf
 writes the transform anew in one sequential pass. In the finished order equal windows are neighbours; their common
 prefixes are compared word by word up to SPAN. Doing the rounds over whole documents would rewrite
 the transform once per byte of the longest document; over segments there are at most 2 SPAN rounds.
+Segments are cut in two parts by the side on which their windows reach far beyond the gram. All windows of a
+part hold the same CORE bytes (gram and that side), by whose hash parts meet; a number in place of them is
+ordered with the bytes around, so equal windows are those with equal numbers and surroundings.
 
 NULL counts as the empty text; texts shorter than SPAN lose nothing. Copies of one text are found
 by a digest and lose everything (if SPAN bytes long); repeated rows are copies. An empty table gives no rows.
@@ -32,6 +35,7 @@ from .shingles import U, mix
 SPAN = 200
 GRAM = 24
 SIDE = (SPAN - GRAM) // 2  # any window of an anchor reaches so many bytes beyond the gram on one side
+CORE = GRAM + SIDE  # bytes that all windows of a group of parts have in common
 CHUNK = 4_000  # segments ordered together (more, if one gram has more)
 BLOOM_BITS = 1 << 24
 _POS = 26
@@ -111,8 +115,8 @@ def _wanted_segments(bloom: np.ndarray):
     def run(batches):
         def flush():
             cols = list(zip(*out, strict=True))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["g", "sh", "key", "shift", "windows", "segment"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["g", "sh", "key", "shift", "windows", "before", "after"])
 
         out, seen = [], set()
         for _, raw in _each_text(batches):
@@ -129,14 +133,15 @@ def _wanted_segments(bloom: np.ndarray):
                 signed = int(np.array([sh], U).view(np.int64)[0])
                 gram = int(g[i : i + 1].view(np.int64)[0])
                 # Windows that reach SIDE bytes beyond the gram meet by those bytes, the others by the SIDE bytes before it.
+                # All windows of a part hold the bytes they meet by, so only the bytes around them travel and are ordered.
                 cut = max(first, anchor - SIDE)
                 if cut <= last:
-                    key = xxhash.xxh64_intdigest(raw[anchor : anchor + GRAM + SIDE]) >> 1
-                    out.append((gram, signed, key, cut - first, last - cut + 1, segment[cut - first :]))
+                    key = xxhash.xxh64_intdigest(raw[anchor : anchor + CORE]) >> 1
+                    out.append((gram, signed, key, cut - first, last - cut + 1, raw[cut:anchor], raw[anchor + CORE : last + SPAN]))
                 if first < cut:
                     key = xxhash.xxh64_intdigest(raw[anchor - SIDE : anchor + GRAM], 1) >> 1
                     end = min(last, cut - 1)
-                    out.append((gram, signed, key, 0, end - first + 1, segment[: end - first + SPAN]))
+                    out.append((gram, signed, key, 0, end - first + 1, raw[first : anchor - SIDE], raw[anchor + GRAM : end + SPAN]))
             if len(out) > 5_000:
                 yield flush()
                 out = []
@@ -197,8 +202,15 @@ def suffix_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         bwt, ids = merged
 
 
-def repeated_windows(segments: list[bytes], windows: list[int]) -> list[np.ndarray]:
-    """For each segment, which of its first ``windows`` starts have a window that another start of the collection has too."""
+def tagged(before: bytes, group: int, after: bytes) -> bytes:
+    """A part with the bytes its group shares replaced by the group's number. The mark 0xFF occurs in no
+    UTF-8 text, so windows that hold it are equal only within a group and at equal distances from it."""
+    return before + bytes((0xFF, group >> 14, group >> 7 & 127, group & 127)) + after
+
+
+def repeated_windows(segments: list[bytes], windows: list[int], span: int) -> list[np.ndarray]:
+    """For each segment, which of its first ``windows`` starts have a window of ``span`` bytes (at least 8) that another start
+    of the collection has too."""
     who, at = suffix_order(segments)
     count = np.array(windows)
     live = at < count[who]
@@ -208,7 +220,7 @@ def repeated_windows(segments: list[bytes], windows: list[int]) -> list[np.ndarr
     start = (np.cumsum(lengths) - lengths)[who] + at
     same = np.ones(max(len(start) - 1, 0), bool)
     eight = np.lib.stride_tricks.sliding_window_view(flat, 8)
-    for lo in range(0, SPAN, 8):
+    for lo in [*range(0, span - 8, 8), span - 8]:
         i = np.flatnonzero(same)
         same[i] = (eight[start[i] + lo] == eight[start[i + 1] + lo]).all(axis=1)
     hit = np.zeros(len(start), bool)
@@ -227,7 +239,7 @@ def _compare(batches):
         return
     t = pa.Table.from_batches(parts).sort_by([("key", "ascending"), ("g", "ascending"), ("sh", "ascending")])
     key, names = t.column("key").to_numpy(), np.stack([t.column(c).to_numpy() for c in ("g", "sh")], axis=1)
-    bounds = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+    bounds = np.append(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (names[1:, 0] != names[:-1, 0])])), len(key))
     groups, size, found = [], 0, []
 
     def add(lo, x, hit):
@@ -237,13 +249,11 @@ def _compare(batches):
 
     def work():
         # Equal parts of different segments need no order: all their windows repeat.
-        parts = list({p: None for g in groups for p in g})
-        windows = {p: w for g in groups for p, (w, _) in g.items()}
-        hits = dict(zip(parts, repeated_windows(parts, [windows[p] for p in parts]), strict=True))
-        for g in groups:
-            for p, (w, owners) in g.items():
-                for lo, x in owners:
-                    add(lo, x, np.ones(w, bool) if len(owners) > 1 else hits[p])
+        members = [m for g in groups for m in g.values()]
+        texts = [tagged(before, i, after) for i, g in enumerate(groups) for before, after in g]
+        for (w, owners), hit in zip(members, repeated_windows(texts, [w for w, _ in members], SPAN - CORE + 4), strict=True):
+            for lo, x in owners:
+                add(lo, x, np.ones(w, bool) if len(owners) > 1 else hit)
 
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if hi - lo == 1:
@@ -251,7 +261,7 @@ def _compare(batches):
         fresh = np.concatenate([[True], (names[lo + 1 : hi] != names[lo : hi - 1]).any(axis=1)])
         group: dict = {}
         for i in (lo + np.flatnonzero(fresh)).tolist():
-            part = t.column("segment")[i].as_py()
+            part = t.column("before")[i].as_py(), t.column("after")[i].as_py()
             w, owners = group.setdefault(part, (t.column("windows")[i].as_py(), []))
             owners.append((i, tuple(names[i].tolist())))
         if len(group) == 1:
@@ -281,17 +291,19 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     common = save(grams.where("s0 <> s1 OR t0 <> t1 OR l0 <> l1").select("g", (F.col("s0") != F.col("s1")).alias("mixed")), "common")
     shared = save(listed.join(common, "g"), "shared")
     mixed = shared.where("mixed")
-    places = mixed.groupBy("g", "sh").agg(F.min("tk").alias("t0"), F.max("tk").alias("t1"), F.min("lo").alias("l0"), F.max("lo").alias("l1"))
-    repeated = save(places.where("t0 <> t1 OR l0 <> l1").select("g", "sh"), "repeated")
+    places = mixed.groupBy("g", "sh").agg(F.min("tk").alias("tk"), F.max("tk").alias("t1"), F.min("lo").alias("lo"), F.max("lo").alias("l1"))
+    places = save(places.select("g", "sh", "tk", "lo", F.expr("tk <> t1 OR lo <> l1").alias("repeats")), "places")
+    repeated = places.where("repeats").select("g", "sh")
     whole = shared.where("NOT mixed").select("tk", "lo", "hi").unionByName(mixed.join(repeated, ["g", "sh"]).select("tk", "lo", "hi"))
     x = F.pmod(F.col("g"), F.lit(BLOOM_BITS))
     words = mixed.select(x.alias("x")).groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("v"))
     bloom = np.zeros(BLOOM_BITS >> 6, np.int64)
     for r in words.collect():  # at most BLOOM_BITS / 64 rows
         bloom[r["w"]] = r["v"]
-    segments = texts.mapInArrow(_wanted_segments(bloom.view(U)), "g long, sh long, key long, shift int, windows int, segment binary")
+    segments = texts.mapInArrow(_wanted_segments(bloom.view(U)), "g long, sh long, key long, shift int, windows int, before binary, after binary")
     partial = save(segments.repartition("key").mapInArrow(_compare, "g long, sh long, x int, y int").distinct(), "partial")
-    some = mixed.join(partial, ["g", "sh"]).select("tk", (F.col("lo") + F.col("x")).alias("lo"), (F.col("lo") + F.col("y")).alias("hi"))
+    # A segment with several places counts as a whole already; the others have one row each, so no key is hot.
+    some = places.where("NOT repeats").join(partial, ["g", "sh"]).select("tk", (F.col("lo") + F.col("x")).alias("lo"), (F.col("lo") + F.col("y")).alias("hi"))
     return whole.unionByName(some)
 
 
