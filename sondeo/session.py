@@ -63,7 +63,9 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there). Only when it is unset -- local tests -- a fallback is set.
+    folder there). Only when it is unset in a local session (tests) a fallback
+    is set; on a cluster a folder of one machine would be no shared one, so
+    an unset setting is an error there.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -71,6 +73,8 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if not fallback and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = fallback or os.environ.get("SONDEO_LOCAL_CHECKPOINT_DIR", "/tmp/sondeo-checkpoints")
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
