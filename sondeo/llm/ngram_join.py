@@ -30,6 +30,8 @@ are NULL (then it is NULL). Sets are told apart by 64-bit hashes of shingles and
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +48,7 @@ LOCAL_KEYS = 2_000_000  # keys a task counts together before it reports the freq
 LOCAL_MIN = 4
 SALT_ROWS = 5_000  # rows of a costly key that go to one bucket
 PAIRS_UP_TO = 24
+PAIRS_AT_ONCE = 400_000  # candidate pairs a task holds
 BLOCK = 1_000  # sets of a block in the second round
 BLOOM_BITS = 1 << 24
 
@@ -160,7 +163,8 @@ def index_rows(costly: np.ndarray, counts: np.ndarray):
         def flush():
             key, fp, nd = (np.concatenate(x) for x in zip(*out, strict=True))
             c = cost(key)
-            salt = (mix(fp.view(U)) % np.maximum(c // SALT_ROWS + 1, 1).astype(U)).astype(np.int32)
+            # Salts count from 1; 0 marks a key whose sets all meet in one bucket.
+            salt = np.where(c < SALT_ROWS, 0, 1 + (mix(fp.view(U)) % (c // SALT_ROWS + 1).astype(U)).astype(np.int64)).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(fp), pa.array(nd)], ["key", "salt", "fp", "nd"])
 
         for _, text in _texts(batches):
@@ -197,8 +201,18 @@ def _sizes_fit(n, k):
     return (5 * n >= 4 * k) & (5 * k >= 4 * n)
 
 
+def _distinct_pairs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def bucket_pairs(batches):
-    """Rows (kind 0: candidate pair a, b; kind 1: member a of a large bucket b, with nd)."""
+    """Rows (kind 0: candidate pair a, b; kind 1: member a of a large bucket b, with nd). Pairs are made and
+    handed on ``PAIRS_AT_ONCE`` at a time, however many the buckets give."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
@@ -206,59 +220,85 @@ def bucket_pairs(batches):
     key, salt, fp, nd = (t.column(c).to_numpy() for c in ("key", "salt", "fp", "nd"))
     order = np.lexsort((nd, fp, salt, key))
     key, salt, fp, nd = key[order], salt[order], fp[order], nd[order]
+    # Tasks that met the same set have all indexed it: one row of each is enough.
+    once = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (fp[1:] != fp[:-1]) | (nd[1:] != nd[:-1])])
+    key, salt, fp, nd = key[once], salt[once], fp[once], nd[once]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(key)))
+    # The rest of a salted key is in other buckets, so its members always go to the second round.
+    large = (size > PAIRS_UP_TO) | (salt[start] > 0)
 
     def emit(kind, a, b, n):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], ["kind", "a", "b", "nd"])
 
     def pairs(i, j):
         ok = (fp[i] != fp[j]) & ((nd[i] & nd[j] & 1) == 0) & _sizes_fit(nd[i] >> 1, nd[j] >> 1)
-        a, b = np.minimum(fp[i][ok], fp[j][ok]), np.maximum(fp[i][ok], fp[j][ok])
-        return np.stack([a, b], axis=1)
+        x, y = fp[i][ok], fp[j][ok]
+        return np.minimum(x, y), np.maximum(x, y)
 
-    found = []
-    for c in np.unique(size[size > 1]):
-        first = start[size == c]
-        if c <= PAIRS_UP_TO:
+    def candidate_blocks():
+        for c in np.unique(size[~large & (size > 1)]):
+            first = start[~large & (size == c)]
             i, j = np.triu_indices(c, 1)
-            found.append(np.unique(pairs((first[:, None] + i).ravel(), (first[:, None] + j).ravel()), axis=0))
-        else:
-            rows = (first[:, None] + np.arange(c)).ravel()
+            step = PAIRS_AT_ONCE // len(i)
+            for lo in range(0, len(first), step):
+                f = first[lo : lo + step, None]
+                yield pairs((f + i).ravel(), (f + j).ravel())
+        for f, c in zip(start[large], size[large], strict=True):
             # The member in the middle of the sizes stands for the bucket.
-            middle = np.array([f + np.argsort(nd[f : f + c], kind="stable")[c // 2] for f in first])
-            found.append(np.unique(pairs(np.repeat(middle, c), rows), axis=0))
-            for lo in range(0, len(rows), 100_000):
-                r = rows[lo : lo + 100_000]
-                yield emit(1, fp[r], key[r], nd[r])
-    if found:
-        p = np.unique(np.concatenate(found), axis=0)
-        for lo in range(0, len(p), 100_000):
-            part = p[lo : lo + 100_000]
-            yield emit(0, part[:, 0], part[:, 1], np.zeros(len(part), np.int64))
+            middle = f + np.argsort(nd[f : f + c], kind="stable")[c // 2]
+            yield pairs(np.full(c, middle), np.arange(f, f + c))
+
+    members = np.flatnonzero(np.repeat(large, size))
+    for lo in range(0, len(members), PAIRS_AT_ONCE):
+        r = members[lo : lo + PAIRS_AT_ONCE]
+        yield emit(1, fp[r], key[r], nd[r])
+    found, n = [], 0
+    for block in candidate_blocks():
+        found.append(block)
+        n += len(block[0])
+        if n >= PAIRS_AT_ONCE:
+            found = [_distinct_pairs(found)]
+            n = len(found[0][0])
+            if 2 * n >= PAIRS_AT_ONCE:
+                yield emit(0, *found[0], np.zeros(n, np.int64))
+                found, n = [], 0
+    if n:
+        a, b = _distinct_pairs(found)
+        yield emit(0, a, b, np.zeros(len(a), np.int64))
 
 
 def block_pairs(batches):
-    """Pairs of sets of different components in a block pair, thinned by the parity bound."""
-    groups: dict = {}
-    for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "fp", "nd", "comp", "p")], strict=True):
-            groups.setdefault(row[:3], []).append(row[3:])
+    """Pairs of sets of different components in a block pair, thinned by the parity bound. Rows come sorted
+    by (key, i, j), so only one block pair is held at a time."""
+
+    def rows():
+        for batch in batches:
+            yield from zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "fp", "nd", "comp", "p")], strict=True)
+
+    def emit():
+        a, b = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
     found = set()
-    for (_, i, j), rows in groups.items():
-        left = [r for r in rows if r[0] == i]
-        right = [r for r in rows if r[0] == j]
+    for (_, i, j), group in groupby(rows(), key=lambda r: r[:3]):
+        members = [r[3:] for r in group]
+        left = [r for r in members if r[0] == i]
+        right = [r for r in members if r[0] == j]
         for x in left:
             for y in right:
                 if x[3] == y[3] or (i == j and x[1] >= y[1]) or x[2] & y[2] & 1:
                     continue
                 n, k = x[2] >> 1, y[2] >> 1
-                if _sizes_fit(n, k) and (min(x[1], y[1]), max(x[1], y[1])) not in found and parity_difference(x[4], y[4]) <= (n + k) // 9:
-                    found.add((min(x[1], y[1]), max(x[1], y[1])))
+                pair = (x[1], y[1]) if x[1] < y[1] else (y[1], x[1])
+                if _sizes_fit(n, k) and pair not in found and parity_difference(x[4], y[4]) <= (n + k) // 9:
+                    found.add(pair)
+            if len(found) >= PAIRS_AT_ONCE // 4:
+                yield emit()
+                found.clear()
     if found:
-        a, b = zip(*found, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield emit()
 
 
 def _parity_filter(batches):
@@ -328,7 +368,7 @@ class Join:
         # Every pair of blocks of a bucket meets in one task.
         other = F.explode(F.expr("sequence(0, nb - 1)"))
         meet = blocks.withColumn("o", other).select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "fp", "nd", "comp", "p")
-        return meet.repartition("key", "i", "j").mapInArrow(block_pairs, "a long, b long").distinct()
+        return meet.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(block_pairs, "a long, b long").distinct()
 
 
 def wanted_sets(bloom: np.ndarray):

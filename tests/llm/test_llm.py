@@ -98,6 +98,26 @@ def test_ngram_join_large_bucket(spark):
     assert got == brute_components(out)
 
 
+def test_salted_keys_keep_all_members():
+    """A key counted often through copies has few sets left per salt: all of them still reach the second round."""
+    import pyarrow as pa
+
+    base = prose(9, 120).split()
+    texts = [" ".join([*base[:k], f"z{k}", *base[k + 1 :]]) for k in range(5, 65, 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    index = pa.Table.from_batches(ngram_join.index_rows(np.zeros(0, ngram_join.U), np.zeros(0, np.int64))([batch]))
+    costly = np.unique(index.column("key").to_numpy().view(ngram_join.U))
+    again = pa.Table.from_batches(ngram_join.index_rows(costly, np.full(len(costly), 3 * ngram_join.SALT_ROWS))([batch]))
+    salted = again.filter(pa.array(np.array(again.column("salt")) > 0))
+    assert set(salted.column("salt").to_pylist()) == {1, 2, 3, 4}
+    members = set()
+    for salt in range(1, 5):
+        part = salted.filter(pa.array(np.array(salted.column("salt")) == salt))
+        for out in ngram_join.bucket_pairs(part.to_batches()):
+            members |= {(r["a"], r["b"]) for r in out.to_pylist() if r["kind"] == 1}
+    assert members == set(zip(salted.column("fp").to_pylist(), salted.column("key").to_pylist(), strict=True))
+
+
 def test_html_rules(spark):
     page = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><a href=x>Menu</a></nav><div class="ad banner">Buy the best of it now</div>
     <article><h1>A title</h1><p>It is the first of the paragraphs &amp; it has <b>bold</b> words and it goes on for long enough to be decided.<p>Short.
