@@ -25,6 +25,9 @@ _DISCRETE = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType
 Z_05 = 1.959963984540054  # two-sided 5% normal quantile: p <= 0.05  <=>  |z| >= Z_05
 
 
+SEPARATED = 1e-8
+
+
 @dataclass
 class GlmFit:
     spec: ModelSpec
@@ -40,6 +43,8 @@ class GlmFit:
     aic: float
     n: int
     iterations: int
+    converged: bool  # the iterations ended by the tolerance, not by their limit
+    separated: bool  # some fitted probability is 0 or 1 to within ``SEPARATED``: estimates of that term diverge
 
 
 def complete_rows(df: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -127,7 +132,7 @@ class Design:
         succ = F.col("label") * w
         # individual-level log-likelihood (also for cell tables)
         ll = F.when(succ > 0, succ * F.log(F.col("mu"))).otherwise(0.0) + F.when(w - succ > 0, (w - succ) * F.log(1 - F.col("mu"))).otherwise(0.0)
-        st = mu.agg(F.sum(w).alias("n"), F.sum(succ).alias("sy"), F.sum(ll).alias("ll")).first()
+        st = mu.agg(F.sum(w).alias("n"), F.sum(succ).alias("sy"), F.sum(ll).alias("ll"), F.min(F.least(F.col("mu"), 1 - F.col("mu"))).alias("edge")).first()
         n, sy = int(round(st["n"])), float(st["sy"])
         ybar = sy / n
         null_dev = -2 * (sy * math.log(ybar) + (n - sy) * math.log(1 - ybar)) if 0 < sy < n else 0.0
@@ -137,7 +142,7 @@ class Design:
             spec=ModelSpec(self.spec.response, tuple(terms)), terms=["(Intercept)"] + [self.names[i] for i in idx],
             estimate=est, std_error=se[-1:] + se[:-1], statistic=tv[-1:] + tv[:-1], p_value=pv[-1:] + pv[:-1],
             null_deviance=null_dev, deviance=dev, df_null=n - 1, df_residual=n - rank, aic=dev + 2 * rank, n=n,
-            iterations=int(s.numIterations),
+            iterations=int(s.numIterations), converged=int(s.numIterations) < max_iter, separated=float(st["edge"]) < SEPARATED,
         )
 
     def close(self) -> None:
@@ -170,10 +175,11 @@ def tidy(spark: SparkSession, fit: GlmFit, with_p: bool = True, model: str | Non
 
 
 def glance(spark: SparkSession, fits: dict[str, GlmFit]) -> DataFrame:
-    """Model summary rows: deviances, degrees of freedom, AIC, n (M6)."""
+    """Model summary rows: deviances, degrees of freedom, AIC, n (M6), and whether the fit converged or is separated."""
     rows = [{"model": k, "null_deviance": f.null_deviance, "deviance": f.deviance, "df_null": f.df_null,
-             "df_residual": f.df_residual, "aic": f.aic, "n": f.n} for k, f in fits.items()]
-    return spark.createDataFrame(rows, "model string, null_deviance double, deviance double, df_null bigint, df_residual bigint, aic double, n bigint")
+             "df_residual": f.df_residual, "aic": f.aic, "n": f.n,
+             "converged": f.converged, "separated": f.separated} for k, f in fits.items()]
+    return spark.createDataFrame(rows, "model string, null_deviance double, deviance double, df_null bigint, df_residual bigint, aic double, n bigint, converged boolean, separated boolean")
 
 
 def anova_sequential(spark: SparkSession, df: DataFrame, spec: ModelSpec) -> DataFrame:

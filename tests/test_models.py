@@ -152,3 +152,14 @@ def test_cell_collapsed_glmm_equals_row_level(spark, binary):
     finally:
         cells.close()
         rows.close()
+
+
+def test_glm_flags(spark, binary):
+    plain = glm.fit_glm(binary, ModelSpec("y", ("x",)))
+    assert plain.converged and not plain.separated
+    assert not glm.fit_glm(binary, ModelSpec("y", ("x",)), max_iter=1).converged
+    apart = binary.withColumn("y", (F.col("x") > 0).cast("int"))
+    fit = glm.fit_glm(apart.withColumn("side", F.when(F.col("x") > 0, "r").otherwise("l")), ModelSpec("y", ("side",)))
+    assert fit.separated
+    row = glm.glance(spark, {"m": fit}).first()
+    assert row["separated"] is True and row["converged"] == fit.converged
