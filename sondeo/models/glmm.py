@@ -32,6 +32,11 @@ from .stats import chi2_sf, normal_two_sided_p
 _DISCRETE = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+BRENT_EVALUATIONS = 40
+SIMPLEX_EVALUATIONS = 200
+LARGEST_LOG_SIGMA = 6.0  # a larger optimum is reported as not converged
+
+
 @dataclass
 class GlmmFit:
     spec: ModelSpec
@@ -45,6 +50,8 @@ class GlmmFit:
     deviance: float
     n: int
     evaluations: int
+    converged: bool  # the search for sigma ended by its tolerance, inside its range
+    singular: bool  # some sigma is 0
 
     @property
     def npar(self) -> int:
@@ -236,7 +243,7 @@ def _nelder_mead(f, x0: np.ndarray, step: float = 0.5, tol: float = 1e-6, max_ev
     return pts[i], vals[i], evals
 
 
-def _brent(f, lo: float, hi: float, tol: float = 1e-3, max_eval: int = 40):
+def _brent(f, lo: float, hi: float, tol: float = 1e-3, max_eval: int = BRENT_EVALUATIONS):
     """Brent's minimiser on [lo, hi]: parabolic steps with a golden-section fallback."""
     cgold = 0.3819660112501051
     a, b = lo, hi
@@ -290,15 +297,16 @@ def fit_glmm(df: DataFrame, spec: ModelSpec, log_sigma_range: tuple[float, float
     """Random-intercept logistic model.
 
     One random factor: Brent search of the Laplace deviance over
-    log sigma; crossed factors: Nelder-Mead. Inner PIRLS runs warm-started
-    with a loose tolerance during the search and is polished at the optimum.
+    log sigma, whose upper end moves up while the optimum lies at it; crossed
+    factors: Nelder-Mead. A sigma whose deviance does not rise when it is set to 0
+    is 0 (``singular``). Inner PIRLS runs warm-started with a loose tolerance
+    during the search and is polished at the optimum.
     """
     d = GlmmData(df, spec)
     try:
         cache: dict = {"theta": None}
 
-        def dev(logsig):
-            sigma = np.exp(np.atleast_1d(np.asarray(logsig, dtype=float)))
+        def at(sigma):
             # the deviance is stationary at the mode: a 1e-4 step tolerance
             # perturbs it by ~1e-8, plenty for the search; the optimum is
             # polished to 1e-10 below
@@ -306,17 +314,34 @@ def fit_glmm(df: DataFrame, spec: ModelSpec, log_sigma_range: tuple[float, float
             cache["theta"] = theta
             return dv
 
+        def dev(logsig):
+            return at(np.exp(np.atleast_1d(np.asarray(logsig, dtype=float))))
+
         if len(spec.random) == 1:
-            best, _, evals = _brent(dev, *log_sigma_range)
+            lo, hi = log_sigma_range
+            best, low, evals = _brent(dev, lo, hi)
+            converged = evals < BRENT_EVALUATIONS
+            while hi - best < 0.1 and hi < LARGEST_LOG_SIGMA:
+                lo, hi = hi - 1, hi + 2
+                best, low, more = _brent(dev, lo, hi)
+                evals, converged = evals + more, more < BRENT_EVALUATIONS
+            converged = converged and hi - best >= 0.1
             best = np.array([best])
         else:
-            best, _, evals = _nelder_mead(dev, np.zeros(len(spec.random)), tol=1e-4, max_eval=60)
+            best, low, evals = _nelder_mead(dev, np.zeros(len(spec.random)), tol=1e-4, max_eval=SIMPLEX_EVALUATIONS)
+            converged = evals < SIMPLEX_EVALUATIONS
         sigma = np.exp(best)
+        for k in np.argsort(sigma):
+            without = sigma.copy()
+            without[k] = 0.0
+            evals += 1
+            if (dv := at(without)) <= low + 1e-6:
+                sigma, low = without, min(low, dv)
         theta, dv, h = pirls(d, sigma, cache["theta"], tol=1e-10)
         cov = np.linalg.inv(h)
         beta, u = _split(theta, d.p, d.sizes)
         se = np.sqrt(np.diag(cov)[: d.p])
-        return GlmmFit(spec, d.names, beta, se, sigma, list(spec.random), d.levels, [s_ * x for s_, x in zip(sigma, u)], dv, d.n, evals)
+        return GlmmFit(spec, d.names, beta, se, sigma, list(spec.random), d.levels, [s_ * x for s_, x in zip(sigma, u)], dv, d.n, evals, bool(converged), bool((sigma == 0).any()))
     finally:
         d.close()
 
@@ -343,9 +368,9 @@ def variance_table(spark: SparkSession, fit: GlmmFit, model: str | None = None)
     rows = []
     for g, s, lv in zip(fit.groups, fit.sigma, fit.levels):
         r = {"group": g, "n_levels": len(lv), "variance": float(s * s), "sd": float(s), "loglik": fit.loglik,
-             "aic": fit.aic, "bic": fit.bic, "deviance": fit.deviance, "n": fit.n}
+             "aic": fit.aic, "bic": fit.bic, "deviance": fit.deviance, "n": fit.n, "converged": fit.converged, "singular": fit.singular}
         rows.append({"model": model, **r} if model else r)
-    schema = ("model string, " if model else "") + "group string, n_levels int, variance double, sd double, loglik double, aic double, bic double, deviance double, n bigint"
+    schema = ("model string, " if model else "") + "group string, n_levels int, variance double, sd double, loglik double, aic double, bic double, deviance double, n bigint, converged boolean, singular boolean"
     return spark.createDataFrame(rows, schema)
 
 

@@ -163,3 +163,15 @@ def test_glm_flags(spark, binary):
     assert fit.separated
     row = glm.glance(spark, {"m": fit}).first()
     assert row["separated"] is True and row["converged"] == fit.converged
+
+
+def test_glmm_flags(spark):
+    """Groups without any difference: sigma is 0 and flagged; an ordinary fit is not."""
+    rows = [(y, f"s{g}") for g in range(5) for y in [0, 1, 1, 0, 1] * 8]
+    flat = spark.createDataFrame(rows, "y int, grp string")
+    fit = glmm.fit_glmm(flat, ModelSpec("y", (), ("grp",)))
+    assert fit.singular and fit.sigma[0] == 0.0 and fit.converged
+    rows = [(int(i < 4 + 3 * g), f"s{g}") for g in range(10) for i in range(40)]
+    fit = glmm.fit_glmm(spark.createDataFrame(rows, "y int, grp string"), ModelSpec("y", (), ("grp",)))
+    assert fit.converged and not fit.singular and fit.sigma[0] > 0.3
+    assert glmm.variance_table(spark, fit).first()["singular"] is False
