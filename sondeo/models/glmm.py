@@ -33,7 +33,7 @@ _DISCRETE = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType
 
 
 BRENT_EVALUATIONS = 40
-SIMPLEX_EVALUATIONS = 200
+SIMPLEX_EVALUATIONS = 60  # a search that uses them all is reported as not converged
 LARGEST_LOG_SIGMA = 6.0  # a larger optimum is reported as not converged
 
 
