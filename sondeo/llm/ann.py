@@ -5,7 +5,9 @@ sqrt(M^2 - |x|^2) with M the largest norm. A sample of at most ``SAMPLE`` vector
 at medians until lists hold about ``LIST_ROWS`` vectors, so the lists are balanced; their means are the
 centroids (at most ``MAX_LISTS``, sent to every task). Each vector goes to its nearest list and, near a
 border, to up to ``REPLICAS`` of them. Queries walk a neighbour graph of the centroids with a beam and read
-the lists whose distance is within ``PRUNE`` of the best. Lists are cut into parts, each
+the lists whose distance is within a ratio of the best, and further ones until they hold k answers. Beam, ratio and number of
+lists read start at ``BEAM``, ``PRUNE`` and ``MAX_PROBES`` and grow until the recall of a sample of at most ``TRIALS``
+queries, compared with all vectors, is at least ``RECALL``; the last step reads every list. Lists are cut into parts, each
 query meets each part of its lists once, and scores are exact double-precision inner products.
 
 Equal vectors are indexed once with their K + 1 smallest ids: no query can rank more of them, so
@@ -32,10 +34,12 @@ LIST_ROWS = 150
 MAX_LISTS = 4096
 REPLICAS = 4
 BORDER = 1.12  # a vector joins lists up to this ratio of its smallest distance
-PRUNE = 1.30
+PRUNE = 1.30  # PRUNE, MAX_PROBES and BEAM are the first step; later steps widen them until RECALL is met
 MAX_PROBES = 96
 DEGREE = 24
 BEAM = 128
+TRIALS = 256  # queries whose recall is measured
+RECALL = 0.93  # 0.9 is asked for; the rest covers the error of the sample
 PART_ROWS = 2_000
 
 
@@ -86,27 +90,60 @@ def centroid_graph(c: np.ndarray) -> np.ndarray:
     return np.concatenate([near, np.random.default_rng(3).integers(0, n, (n, 2))], axis=1)
 
 
-def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search from the first centroid: centroids found and their distances, nearest first."""
+def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Beam search over the centroid graph: centroids found and their distances, nearest first. A beam of half the
+    centroids or more ranks them all."""
+    if 2 * beam >= len(c):
+        d = np.sqrt(((c - q) ** 2).sum(axis=1))
+        near = np.argsort(d, kind="stable")
+        return near, d[near]
     seen = np.zeros(len(c), bool)
     start = np.unique(np.linspace(0, len(c) - 1, 8).astype(np.int64))
     seen[start] = True
-    best = [(float(d), int(i)) for i, d in zip(start, np.sqrt(((c[start] - q) ** 2).sum(axis=1)), strict=True)]
-    todo = list(best)
+    todo = [(float(d), int(i)) for i, d in zip(start, np.sqrt(((c[start] - q) ** 2).sum(axis=1)), strict=True)]
+    best = [(-d, -i) for d, i in todo]  # at most ``beam`` centroids, the farthest first
+    heapq.heapify(best)
     heapq.heapify(todo)
     while todo:
         d, i = heapq.heappop(todo)
-        best = heapq.nsmallest(BEAM, best)
-        if len(best) == BEAM and d > best[-1][0]:
+        if len(best) == beam and d > -best[0][0]:
             break
         fresh = np.unique(graph[i][~seen[graph[i]]])
         if len(fresh):
             seen[fresh] = True
-            for j, e in zip(fresh, np.sqrt(((c[fresh] - q) ** 2).sum(axis=1)), strict=True):
-                best.append((float(e), int(j)))
-                heapq.heappush(todo, (float(e), int(j)))
-    best = heapq.nsmallest(BEAM, best)
-    return np.array([i for _, i in best]), np.array([d for d, _ in best])
+            for j, e in zip(fresh.tolist(), np.sqrt(((c[fresh] - q) ** 2).sum(axis=1)).tolist(), strict=True):
+                if len(best) < beam:
+                    heapq.heappush(best, (-e, -j))
+                elif e <= -best[0][0]:
+                    heapq.heappushpop(best, (-e, -j))
+                else:
+                    continue
+                heapq.heappush(todo, (e, j))
+    found = sorted((-d, -i) for d, i in best)
+    return np.array([i for _, i in found]), np.array([d for d, _ in found])
+
+
+def steps(lists: int) -> list[tuple[int, float, int]]:
+    """(lists read at most, distance ratio, beam) of each step; the last reads all lists."""
+    out, probes, ratio, beam = [], MAX_PROBES, PRUNE, BEAM
+    while probes < lists:
+        out.append((probes, ratio, beam))
+        probes, ratio, beam = 2 * probes, 1.15 * ratio, 2 * beam
+    # Where all lists are few enough to be read, the ratio alone still prunes.
+    return [*out, *([] if out else [(lists, PRUNE, lists), (lists, 1.5 * PRUNE, lists)]), (lists, float("inf"), lists)]
+
+
+def to_read(q: np.ndarray, c: np.ndarray, graph: np.ndarray, rows: np.ndarray, need: int, step: tuple[int, float, int]) -> np.ndarray:
+    """Lists that a query reads: those of the step, and further ones until they hold ``need`` vectors. ``rows`` are the
+    vectors of each list that are nearest to it, so none counts twice."""
+    probes, ratio, beam = step
+    near, dist = walk(q, c, graph, beam)
+    n = int(min(probes, (dist <= ratio * dist[0] + 1e-12).sum()))
+    if rows[near[:n]].sum() < need:
+        if rows[near].sum() < need:
+            near, _ = walk(q, c, graph, len(c))
+        n = max(n, int(np.searchsorted(np.cumsum(rows[near]), need)) + 1)
+    return near[:n]
 
 
 def inner_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -122,6 +159,52 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def query_points(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x / np.sqrt((x**2).sum(axis=1, keepdims=True)), np.zeros((len(x), 1))], axis=1)
+
+
+def enough_probes(points: DataFrame, distinct: DataFrame, postings: DataFrame, cents: np.ndarray, graph: np.ndarray, own_rows: np.ndarray, k: int, need: int) -> tuple[int, float, int]:
+    """The first step whose recall on a sample of the query points (vkey, v) is at least RECALL. Their true answers come
+    from all vectors; each task hands on k + 1 of them for each query of the sample."""
+    ladder = steps(len(cents))
+    trial = points.orderBy(F.xxhash64("vkey"), "vkey").limit(TRIALS).collect()
+    if len(cents) == 1 or not trial:
+        return ladder[-1]
+    keys, x = np.array([r["vkey"] for r in trial], np.int64), np.array([r["v"] for r in trial])
+
+    def best_of_task(batches):
+        score, who = np.full((len(x), k + 1), -np.inf), np.zeros((len(x), k + 1), np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4000):
+                b = batch.slice(lo, 4000)
+                ids = b.column("vkey").to_numpy(zero_copy_only=False)
+                s = np.concatenate([score, x @ _matrix(b.column("v")).T], axis=1)
+                w = np.concatenate([who, np.broadcast_to(ids, (len(x), len(ids)))], axis=1)
+                top = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
+                score, who = np.take_along_axis(s, top, axis=1), np.take_along_axis(w, top, axis=1)
+        q, j = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[q]), pa.array(who[q, j]), pa.array(score[q, j])], ["qkey", "vkey", "score"])
+
+    found = distinct.select("vkey", "v").mapInArrow(best_of_task, "qkey long, vkey long, score double").where("qkey <> vkey")
+    order = W.partitionBy("qkey").orderBy(F.col("score").desc(), "vkey")
+    truth = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("qkey", "vkey")
+    places = postings.select("vkey", "list").join(F.broadcast(truth), "vkey").groupBy("qkey", "vkey").agg(F.collect_list("list").alias("lists"))
+    answers: dict[int, list[list[int]]] = {}
+    for r in places.collect():  # at most TRIALS * k rows of REPLICAS numbers
+        answers.setdefault(r["qkey"], []).append(r["lists"])
+    q = query_points(x)
+    for step in ladder[:-1]:
+        hits = total = 0
+        for key, point in zip(keys.tolist(), q, strict=True):
+            read = np.zeros(len(cents), bool)
+            read[to_read(point, cents, graph, own_rows, need, step)] = True
+            hits += sum(bool(read[a].any()) for a in answers.get(key, []))
+            total += len(answers.get(key, []))
+        if hits >= RECALL * total:
+            return step
+    return ladder[-1]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """The k nearest found for each query row: query_id, rank, vec_id, score. ``queries`` are rows of ``vectors``."""
     spark = vectors.sparkSession
@@ -151,30 +234,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 dist = np.take_along_axis(d, near, axis=1)
                 keep = dist <= BORDER * dist.min(axis=1, keepdims=True) + 1e-12
                 row, col = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(near[row, col].astype(np.int32)), b.column("vkey").take(pa.array(row)), b.column("v").take(pa.array(row))], ["list", "vkey", "v"])
+                own = col == dist.argmin(axis=1)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(near[row, col].astype(np.int32)), b.column("vkey").take(pa.array(row)), b.column("v").take(pa.array(row)), pa.array(own)], ["list", "vkey", "v", "own"])
 
     def probe(batches):
         for batch in batches:
-            x = _matrix(batch.column("v"))
-            norm = np.sqrt((x**2).sum(axis=1, keepdims=True))
-            q = np.concatenate([x / norm, np.zeros((len(x), 1))], axis=1)
+            q = query_points(_matrix(batch.column("v")))
             found, owner = [], []
             for i in range(len(q)):
-                near, dist = walk(q[i], cents, graph) if lists > 1 else (np.zeros(1, np.int64), np.zeros(1))
-                near = near[dist <= PRUNE * dist[0] + 1e-12][:MAX_PROBES]
+                near = to_read(q[i], cents, graph, own_rows, need, step)
                 found.append(near)
                 owner.append(np.full(len(near), i))
             at = pa.array(np.concatenate(owner)) if owner else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) if found else np.zeros(0)).astype(np.int32)), batch.column("vkey").take(at), batch.column("v").take(at)], ["list", "qkey", "q"])
 
-    postings = save(distinct.select("vkey", "v").mapInArrow(post, "list int, vkey long, v array<double>"), "postings")
-    counted = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-    sizes = {r["list"]: r["parts"] for r in counted.collect()}  # one row per list: at most MAX_LISTS
+    postings = save(distinct.select("vkey", "v").mapInArrow(post, "list int, vkey long, v array<double>, own boolean"), "postings")
+    counted = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"), F.sum(F.col("own").cast("long")).alias("own"))
+    counts = counted.collect()  # one row per list: at most MAX_LISTS
+    sizes = {r["list"]: r["parts"] for r in counts}
+    own_rows = np.zeros(lists, np.int64)
+    for r in counts:
+        own_rows[r["list"]] = r["own"]
+    need = min(k + 1, total)
     parts_of = F.element_at(F.array(*[F.lit(sizes.get(i, 1)) for i in range(lists)]), F.col("list") + 1)
-    members = postings.withColumn("part", F.pmod(F.hash("vkey"), parts_of))
+    members = postings.drop("own").withColumn("part", F.pmod(F.hash("vkey"), parts_of))
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct().join(rows, "vec_id")
     asked = save(asked.join(distinct.select("h", "v", "vkey"), ["h", "v"]).select(F.col("vec_id").alias("query_id"), F.col("vkey").alias("qkey"), "v"), "asked")
-    probes = asked.select(F.col("qkey").alias("vkey"), "v").dropDuplicates(["vkey"]).mapInArrow(probe, "list int, qkey long, q array<double>")
+    points = asked.select(F.col("qkey").alias("vkey"), "v").dropDuplicates(["vkey"])
+    step = enough_probes(points, distinct, postings, cents, graph, own_rows, k, need)
+    probes = points.mapInArrow(probe, "list int, qkey long, q array<double>")
     probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), parts_of - 1)))
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
