@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, license_scan, mixing, ngram_join, packing, suffix_dedup, token_store, toxicity
+from . import ann, byte_bpe, exact_dedup, html_text, license_scan, mixing, ngram_join, packing, periodic_runs, suffix_dedup, token_store, toxicity, whitening
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -134,3 +134,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset"))
+
+
+@register("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_period(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest_rows(periodic_runs.find_runs(docs))
+
+
+@register("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings"), k=32))
+
+
+@register("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    out = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    digests = [F.sha2(F.col(a), 256).alias(b) for a, b in (("ids", "ids_sha256"), ("decoded", "decoded_sha256"))]
+    return out.select("doc_id", "n_tokens", *digests)
