@@ -24,8 +24,9 @@ _PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 
 CACHE_WORDS = 700_000  # words remembered per worker: about 130 MB
 _JOIN = 128  # fresh words joined to one text for a call
-# A letter or digit and a sign after it belong to different words; an apostrophe can begin a word ('s), so it is not listed.
-_SIGN_AFTER = r"""([\pL\pN])([.,;:!?"#$%&()*+/<=>@\[\]^`{|}~-])"""
+# A letter or digit and a sign after it belong to different words; an apostrophe can begin a word ('s), so it is not listed. Only ASCII and
+# Latin letters that the normal form and lower case leave one letter are cut at: others may end in a mark, which would join the sign (İ).
+_SIGN_AFTER = r"""([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([.,;:!?"#$%&()*+/<=>@\[\]^`{|}~-])"""
 
 
 class WordTokenizer:

@@ -175,6 +175,21 @@ def test_words_encode_like_whole_texts(name):
         assert ids[at[i] : at[i + 1]].tolist() == tok.plain.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_letters_before_signs(name):
+    """Every letter before every sign at which words may be cut, the ones among them whose lower case or normal form ends in a mark."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    tok = tokens.WordTokenizer(queries.tokenizer_file(name))
+    letters = [chr(c) for c in range(0x20, 0x3000) if unicodedata.category(chr(c))[0] in "LN"]
+    texts = [f"ab{letter}{sign} c" for sign in ">=<,." for letter in letters] + ["abc İ> def", "x\u0f57= y", "\u0b5d<"]
+    ids, at = tok.encode(pa.array(texts))
+    want = [e.ids for e in tok.plain.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == want
+
+
 def test_packing(docs, none):
     path = queries.tokenizer_file("byte_bpe_50k.json")
     got = packing.pack_documents(docs, path, 0, 64, keep_ids=True).collect()
