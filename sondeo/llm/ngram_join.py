@@ -4,9 +4,9 @@ Set model: distinct 5-word shingles of the whole text (``shingles``). Two sets l
 100 * |intersection| >= 80 * |union|; then their symmetric difference is at most
 H = floor((|x| + |y|) / 9).
 
-Partition: sizes fall into bands (ratio 1.6). A band hashes the shingle universe into
-m = U / 4 + 2 segments (U: the band's largest size); a set is indexed in its own band and, when
-its partners can be smaller than the band, in the band below.
+Partition: sizes fall into bands (ratio 1.6). A band hashes the shingle universe into m segments, so many
+that U / 4 + 2 of them are no deletion segments (U: the band's largest size, and H is at most U / 4 there); a set is indexed in
+its own band and, when its partners can be smaller than the band, in the band below.
 
 Allocation: every ``DELETION_EVERY``-th segment is indexed with its one-deletion neighbourhood
 (v = 1: it matches if the segments differ by at most one shingle), the others whole (v = 0) or not
@@ -33,7 +33,9 @@ from __future__ import annotations
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ SALT_ROWS = 5_000  # rows of a costly key that go to one bucket
 PAIRS_UP_TO = 24
 PAIRS_AT_ONCE = 400_000  # candidate pairs a task holds
 BLOCK = 1_000  # sets of a block in the second round
-BLOOM_BITS = 1 << 24
+BLOOM_BITS = (1 << 20, 1 << 26)  # least and most bits of the filter of wanted documents: 8 a document between
 
 _STARTS = [1]
 while _STARTS[-1] < 1 << 40:
@@ -68,9 +70,15 @@ def targets(n: int) -> list[tuple[int, int]]:
     return out
 
 
+def segments(band: int) -> int:
+    """Segments of a band: with every ``DELETION_EVERY``-th left out, more than the largest H of the band are left."""
+    whole = int(_STARTS[band + 1] - 1) // 4 + 2
+    return whole + -(-whole // (DELETION_EVERY - 1))
+
+
 def segment_keys(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of a set in a band: whole segments, deletion segments whole, their one-deletions, and the deletion segment of each of those."""
-    m = int(_STARTS[band + 1] - 1) // 4 + 2
+    m = segments(band)
     h = mix(s + U(0x9E37))
     segment = ((h >> U(33)) % U(m)).astype(np.int64)
     total = np.zeros(m, U)
@@ -305,22 +313,21 @@ def _parity_filter(batches):
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("na", "nb", "pa", "pb")]
         keep = [parity_difference(p, q) <= (n + k) // 9 for n, k, p, q in zip(*cols, strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.select(["a", "b", "lowa", "lowb"]).filter(pa.array(keep, pa.bool_()))
 
 
 class Join:
     """State of one join over a table of documents."""
 
     def __init__(self, docs: DataFrame):
-        self.texts = docs.select(F.col("text").cast("string").alias("text"))
-        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        stored = save(source.mapInArrow(describe, "kind int, a long, b long, c long, p binary"), "sets")
+        self.source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.texts = self.source.select("text")
+        stored = save(self.source.mapInArrow(describe, "kind int, a long, b long, c long, p binary"), "sets")
         self.rows = stored.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("fp"), "p")
         self.costs = stored.where("kind = 1").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("n"))
-        # A class: all documents with the same set. Its node is its smallest doc_id; classes without any get ids past all others.
-        nameless = F.lit(1 << 61) + F.shiftrightunsigned("fp", 4)
+        # A class: all documents with the same set; low is its smallest doc_id, NULL if none of them has one.
         classes = self.rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("p").alias("p"))
-        self.classes = save(classes.withColumn("node", F.coalesce("low", nameless)), "classes")
+        self.classes = save(classes, "classes")
 
     def candidates(self) -> DataFrame:
         top = self.costs.orderBy(F.col("n").desc(), "key").limit(COSTLY_KEYS).collect()
@@ -337,31 +344,32 @@ class Join:
         return pairs
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """The linked pairs (a, b, nodea, nodeb) among distinct candidate pairs."""
-        near = self._with_class(pairs, ["n", "p"]).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_parity_filter, "a long, b long")
-        near = save(near, "near")
-        # A fixed-size filter of the wanted fingerprints (they are hashes already) spares the others' sets the shuffle.
-        ends = near.select(F.explode(F.array("a", "b")).alias("fp")).select(F.pmod("fp", F.lit(BLOOM_BITS)).alias("x"))
+        """The linked pairs (a, b) among distinct candidate pairs."""
+        near = self._with_class(pairs, ["n", "p", "low"]).select("a", "b", "na", "nb", "pa", "pb", "lowa", "lowb")
+        near = save(near.mapInArrow(_parity_filter, "a long, b long, lowa long, lowb long"), "near")
+        # Only the sets of documents that stand for a wanted class are made again: a bitmap of bounded size over their ids tells most others.
+        bits = min(max(BLOOM_BITS[0], 1 << (16 * near.count()).bit_length()), BLOOM_BITS[1])
+        ends = near.select(F.explode(F.array("lowa", "lowb")).alias("low")).where("low IS NOT NULL").select(F.pmod("low", F.lit(bits)).alias("x"))
         words = ends.groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("v"))
-        bloom = np.zeros(BLOOM_BITS >> 6, np.int64)
-        for r in words.collect():  # at most BLOOM_BITS / 64 rows
-            bloom[r["w"]] = r["v"]
-        wanted = self.texts.mapInArrow(wanted_sets(bloom), "fp long, s array<long>").groupBy("fp").agg(F.first("s").alias("s"))
+        bitmap = np.zeros(bits >> 6, np.int64)
+        for r in words.collect():  # at most bits / 64 rows
+            bitmap[r["w"]] = r["v"]
+        wanted = self.source.mapInArrow(wanted_sets(bitmap), "fp long, s array<long>").groupBy("fp").agg(F.first("s").alias("s"))
         joined = near
         for side in "ab":
             joined = joined.join(wanted.select(F.col("fp").alias(side), F.col("s").alias("s" + side)), side)
         both = F.size(F.array_intersect("sa", "sb"))
         linked = joined.where(100 * both >= 80 * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-        return save(self._with_class(linked, ["node"]).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")), "links")
+        return save(linked, "links")
 
     def second_round(self, found: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Pairs of members of large buckets that are in different components after the first round."""
         members = found.where("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("fp"), "nd").distinct()
-        members = members.join(self.classes.select("fp", "node", "p"), "fp")
+        members = members.join(self.classes.select("fp", "p"), "fp")
         if labels is not None:
-            members = members.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+            members = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp"))
         else:
-            members = members.withColumn("comp", F.col("node"))
+            members = members.withColumn("comp", F.col("fp"))
         members = save(members.select("key", "fp", "nd", "comp", "p"), "members")
         open_keys = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x < y")
         blocks = members.join(open_keys.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb")), "key").withColumn("side", F.pmod(F.hash("fp"), F.col("nb")))
@@ -371,8 +379,9 @@ class Join:
         return meet.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(block_pairs, "a long, b long").distinct()
 
 
-def wanted_sets(bloom: np.ndarray):
-    """Function from texts to the shingle sets (fp, s) whose fingerprint may be wanted, each once in a task."""
+def wanted_sets(bitmap: np.ndarray):
+    """Function from documents to the shingle sets (fp, s) of those whose id the bitmap may hold (and of those without an id), each set once in a task."""
+    bits = 64 * len(bitmap)
 
     def run(batches):
         out, size, seen = [], 0, set()
@@ -382,25 +391,29 @@ def wanted_sets(bloom: np.ndarray):
             values = pa.array(np.concatenate([s for _, s in out]).view(np.int64))
             return pa.RecordBatch.from_arrays([pa.array([f for f, _ in out], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], ["fp", "s"])
 
-        for _, text in _texts(batches):
-            s = shingle_set(text)
-            fp = set_fingerprint(s)
-            x = fp % BLOOM_BITS
-            if len(s) and fp not in seen and (int(bloom[x >> 6]) >> (x & 63)) & 1:
-                seen.add(fp)
-                out.append((fp, s))
-                size += len(s)
-            if size > 500_000:
-                yield flush()
-                out, size = [], 0
+        for batch in batches:
+            ids = batch.column("doc_id")
+            x = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False) % bits
+            held = (bitmap[x >> 6] >> (x & 63)) & 1 == 1
+            held |= ids.is_null().to_numpy(zero_copy_only=False)
+            for _, text in _texts([batch.filter(pa.array(held))]):
+                s = shingle_set(text)
+                fp = set_fingerprint(s)
+                if len(s) and fp not in seen:
+                    seen.add(fp)
+                    out.append((fp, s))
+                    size += len(s)
+                if size > 500_000:
+                    yield flush()
+                    out, size = [], 0
         if out:
             yield flush()
 
     return run
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
+def _classed_rows(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and the fingerprint fp of its set."""
     join = Join(docs)
     found = join.candidates()
     links = join.verify(found.where("kind = 0").select("a", "b").distinct())
@@ -408,18 +421,40 @@ def link_documents(docs: DataFrame) -> DataFrame:
     if not found.where("kind = 1").isEmpty():
         more = join.verify(join.second_round(found, labels))
         labels = components(links.unionByName(more))
-    classes = join.classes
+    final = join.classes.select("fp", F.col("low").alias("component"))
     if labels is not None:
-        classes = classes.join(labels, "node", "left").withColumn("node", F.coalesce("root", "node"))
-    named = F.when(F.col("node") < 1 << 60, F.col("node"))
-    final = classes.select("fp", named.alias("component"))
-    rows = join.rows.select("doc_id", "n", "fp")
-    full = rows.where("n > 0").join(final, "fp").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        moved = labels.withColumnRenamed("node", "fp")
+        low = final.join(moved, "fp").groupBy("root").agg(F.min("component").alias("smallest"))
+        own = final.select(F.col("fp").alias("root"), F.col("component").alias("own"))
+        names = low.join(own, "root").select("root", F.least("smallest", "own").alias("name"))
+        rooted = final.join(moved, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        final = rooted.join(names, "root", "left").select("fp", F.coalesce("name", "component").alias("component"))
+    rows = join.rows.select("doc_id", F.col("n").alias("n_shingles"), "fp")
+    full = rows.where("n_shingles > 0").join(final, "fp").select("doc_id", "n_shingles", F.col("component").alias("component_id"), "fp")
+    return full.unionByName(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
+
+
+def link_documents(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
+    return _classed_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _fingerprints(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: set_fingerprint(shingle_set(t))).astype("int64")
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
-    """The documents that stay: the smallest doc_id of each component (rows without a doc_id or set all stay)."""
-    linked = link_documents(docs.select("doc_id", "text"))
-    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The documents that stay: the smallest doc_id of each component (rows without a doc_id or set all stay). Of several
+    texts under one doc_id only those go that are in a component with a smaller one."""
+    rows = save(_classed_rows(docs.select("doc_id", "text")).where("doc_id IS NOT NULL"), "classed")
+    smaller = F.col("doc_id") != F.col("component_id")
+    ids = rows.groupBy("doc_id").agg(F.bool_or(smaller).alias("some"), F.bool_and(smaller).alias("every")).where("some")
+    ids = save(ids.select(F.col("doc_id").alias("_id"), "every"), "gone")
+    several = ids.where("NOT every").select("_id")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")  # own names cannot clash inside it
+    wide = docs.select(row, docs["doc_id"].cast("long").alias("_id"))
+    kept = wide.join(ids.select("_id"), "_id", "left_anti").select("_row")
+    gone = rows.where(smaller).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).join(several, "_id").distinct()
+    fingerprint = F.pandas_udf(_fingerprints, "long")(F.col("_row.text").cast("string"))
+    split = wide.join(several, "_id").withColumn("_fp", fingerprint).join(gone, ["_id", "_fp"], "left_anti").select("_row")
+    return kept.unionByName(split).select("_row.*")

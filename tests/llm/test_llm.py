@@ -85,6 +85,22 @@ def test_ngram_join(docs, none, spark):
     assert Counter(tuple(r) for r in ngram_join.link_documents(sample).collect()) == want
 
 
+def test_whole_segments_outnumber_the_differences():
+    """Deletion segments may all be lost, so H + 1 whole segments must exist for every size and band."""
+    for n in [*range(1, 3000), 10_000, 141_000, 10**6 + 7]:
+        for band, most in ngram_join.targets(n):
+            m = ngram_join.segments(band)
+            assert m - -(-m // ngram_join.DELETION_EVERY) >= most + 1
+
+
+def test_texts_that_share_an_id(spark):
+    base = prose(21, 60)
+    near = base + " tail"
+    docs = spark.createDataFrame([(1, base, 1, 2), (2, near, 2, 2), (2, "another text", 3, 2), (2, near, 4, 2), (3, near, 5, 2), (None, base, 6, 2)], "doc_id long, text string, _row int, _id int")
+    kept = ngram_join.keep_one_per_component(docs)
+    assert kept.columns == docs.columns and sorted(r["_row"] for r in kept.collect()) == [1, 3, 6]
+
+
 def test_ngram_join_large_bucket(spark):
     """More near copies than a bucket pairs at once: second round included."""
     rng = np.random.default_rng(5)
