@@ -9,8 +9,8 @@ and every inner node the minimum of its children, so the root names the leftmost
 O(n log n), also one of megabytes. Short matches of one size class run side by side, one tree per row of a numpy array; few or
 long ones run one after the other in a plain loop. The result is the same.
 
-Spark partitions the documents; a worker remembers the ids of at most ``CACHE_MATCHES`` matches, and works through its
-texts in slices of some MB, so its memory is bounded by the slice or the longest text.
+Spark partitions the documents; a worker remembers the ids of a bounded number of words (parts of a text between blanks, cut like the
+other tokenizers' in ``tokens``), and works through its texts in slices of some MB, so its memory is bounded by the slice or the longest text.
 
 NULL texts count as empty: no ids, and decoded the empty bytes. Repeated rows are encoded each. An empty
 table gives no rows. Only doc_id and text are read, so further columns of any name do not matter. Ties between
@@ -20,19 +20,19 @@ equal ranks go to the leftmost pair. Texts of any length are encoded whole.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .tokens import text_slices
+from .tokens import CACHE_WORDS, WordTokenizer, ragged, text_slices
 
-CACHE_MATCHES = 300_000  # matches whose ids a worker remembers: about 75 MB
 SIDE_BY_SIDE = 12  # fewer matches of one size class run one after the other
 TREE_LEAVES = 1 << 20  # leaves of all trees that run side by side
 NONE = np.int64(1) << 62
@@ -80,10 +80,11 @@ class Splitter:
                 less, more = _ranges(here - there), _ranges(there - here)
                 exact = exact.replace(name, f"[[{name}{more}]--[{less}]]" if less else f"[{name}{more}]")
         self.odd = regex.compile(f"[{_ranges(odd)}]") if odd else None
+        self.high = re.compile(f"[\\U{min(odd):08x}-\\U0010ffff]") if odd else None  # a quick look before the exact one
         self.exact = regex.compile(exact, regex.V1) if odd else self.plain
 
     def __call__(self, text: str) -> list[str]:
-        if self.odd is not None and not text.isascii() and self.odd.search(text):
+        if self.odd is not None and not text.isascii() and self.high.search(text) and self.odd.search(text):
             return self.exact.findall(text)
         return self.plain.findall(text)
 
@@ -125,8 +126,11 @@ class PairTable:
         return out
 
 
-class ByteBPE:
-    """Encodes and decodes with the ranks of a file."""
+class ByteBPE(WordTokenizer):
+    """Encodes and decodes with the ranks of a file. Texts are cut at blanks into words, which a worker remembers (see ``tokens``); the pattern
+    must not match across white space but for one leading blank."""
+
+    leading_blank = True
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
@@ -134,7 +138,7 @@ class ByteBPE:
         self.split = Splitter(pattern)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.tokens = {r: t for t, r in self.ranks.items()}
-        self.cache: dict[str, bytes] = {}
+        self._reset(CACHE_WORDS)
 
     def merge_one(self, match: bytes) -> list[int]:
         """Ids of one match, one tree in a plain loop."""
@@ -230,41 +234,49 @@ class ByteBPE:
         kept = ids[:, :leaves] >= 0
         return ids[:, :leaves][kept], kept.sum(1)
 
-    def encode_matches(self, matches: list[str]) -> None:
-        """Remember the ids of matches."""
-        classes: dict[int, list[tuple[str, bytes]]] = {}
-        for m in matches:
-            raw = m.encode("utf-8")
+    def merge(self, matches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of matches and the number of ids of each."""
+        classes: dict[int, list[int]] = {}
+        ids: list = [None] * len(matches)
+        for i, raw in enumerate(matches):
             whole = self.ranks.get(raw)
             if whole is not None:
-                self.cache[m] = whole.to_bytes(4, "little")
+                ids[i] = (whole,)
             else:
-                classes.setdefault(1 << (len(raw) - 1).bit_length(), []).append((m, raw))
+                classes.setdefault(1 << (len(raw) - 1).bit_length(), []).append(i)
         for leaves, found in classes.items():
             if len(found) < SIDE_BY_SIDE:
-                for m, raw in found:
-                    self.cache[m] = np.array(self.merge_one(raw), "<u4").tobytes()
+                for i in found:
+                    ids[i] = self.merge_one(matches[i])
                 continue
             step = max(1, TREE_LEAVES // leaves)
-            for i in range(0, len(found), step):
-                part = found[i : i + step]
-                flat, n = self.merge_many([raw for _, raw in part], leaves)
-                data, ends = flat.astype("<u4").tobytes(), np.cumsum(4 * n).tolist()
+            for k in range(0, len(found), step):
+                part = found[k : k + step]
+                flat, n = self.merge_many([matches[i] for i in part], leaves)
+                flat, ends = flat.tolist(), np.cumsum(n).tolist()
                 lo = 0
-                for (m, _), hi in zip(part, ends, strict=True):
-                    self.cache[m] = data[lo:hi]
+                for i, hi in zip(part, ends, strict=True):
+                    ids[i] = flat[lo:hi]
                     lo = hi
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n
+
+    def _learn(self, words: list[str]) -> None:
+        found = [self.split(w) for w in words]
+        place: dict[str, int] = {}
+        at = np.fromiter((place.setdefault(m, len(place)) for f in found for m in f), np.int64)
+        flat, n = self.merge([m.encode("utf-8") for m in place])
+        start = np.cumsum(n) - n
+        ids = flat[ragged(start[at], n[at])].astype(np.uint32)
+        before = np.concatenate([[0], np.cumsum(n[at])])
+        ends = before[np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
+        self._add(words, ids, np.diff(ends, prepend=0))
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        found = [self.split(t) for t in texts]
-        distinct = set().union(*found)
-        fresh = [m for m in distinct if m not in self.cache]
-        if len(self.cache) + len(fresh) > CACHE_MATCHES:
-            self.cache.clear()
-            fresh = list(distinct)
-        self.encode_matches(fresh)
-        return [b"".join(map(self.cache.__getitem__, f)) for f in found]
+        flat, at = self.encode(pa.array(texts, pa.string()))
+        data, ends = flat.astype("<u4").tobytes(), (4 * at).tolist()
+        return [data[a:b] for a, b in pairwise(ends)]
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of the tokens of some ids; an id without a token raises KeyError."""
@@ -289,9 +301,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         bpe = load(path, pattern)
         for batch in text_slices(batches):
-            ids = bpe.encode(pc.fill_null(batch.column("text"), "").to_pylist())
-            n = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            flat, at = bpe.encode(batch.column("text"))
+            data = pa.py_buffer(flat.astype("<u4").tobytes())
+            ids = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int64).tobytes()), data])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), ids.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids binary")

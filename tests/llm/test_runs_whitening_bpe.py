@@ -225,7 +225,7 @@ def random_texts():
 
 def test_bpe_equals_the_library(bpe, tik):
     texts = random_texts()
-    got = bpe.encode(texts)
+    got = bpe.encode_texts(texts)
     assert got == [le(tik.encode_ordinary(t)) for t in texts]
     assert [bpe.decode(g) for g in got] == [t.encode() for t in texts]
 
@@ -246,7 +246,7 @@ def test_split_classes_follow_the_library(bpe, tik):
     chosen = random.Random(5).sample(every, 6000) + odd[::5]
     for before in "a1!":
         text = [f"{before}{c}" for c in chosen]
-        assert bpe.encode(text) == [le(x) for x in tik.encode_ordinary_batch(text, num_threads=4)]
+        assert bpe.encode_texts(text) == [le(x) for x in tik.encode_ordinary_batch(text, num_threads=4)]
 
 
 def test_bpe_of_tables(spark, tik):
