@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hex_digits_for, rank_in_groups, save
@@ -28,8 +28,22 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32 and, on request, the ids themselves."""
+def file_order(docs: DataFrame) -> Column:
+    """Place of each row of a stored table as a string that sorts: number of the part file, row in the file."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+    return F.concat(F.lpad(part, 10, "0"), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
+
+
+def _block(place: Column) -> Column:
+    """Rows of a part file by the million: monotone in ``file_order``."""
+    return F.substring(place, 1, 16)
+
+
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False, place: Column | None = None) -> DataFrame:
+    """Pieces of every document: doc_id, piece, start, length, ids_crc32 and, on request, the document's place in an
+    order (see ``file_order``) and the ids themselves."""
+
+    ordered = place is not None
 
     def cut(batches):
         tok = load(tokenizer_path)
@@ -42,17 +56,21 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity
                 bounds = [0, *range(min(first, len(ids)), len(ids) + 1, capacity)]
                 for k in range(len(bounds) - 1):
                     part = ids[bounds[k] : bounds[k + 1]]
-                    out.append((key, k, bounds[k], len(part), zlib.crc32(part.tobytes()), part if keep_ids else None))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
+                    out.append((key, k, bounds[k], len(part), zlib.crc32(part.tobytes()), part if keep_ids else None, i))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
             arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(cols[j], pa.int64()) for j in (2, 3, 4)]]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if ordered:
+                arrays.append(batch.column("place").take(pa.array(cols[6], pa.int64())))
+                names.append("place")
             if keep_ids:
                 arrays.append(pa.array([x.astype(np.int32) for x in cols[5]], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(cut, PIECES + (", ids array<int>" if keep_ids else ""))
+    extra = [place.alias("place")] if ordered else []
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    return source.mapInArrow(cut, PIECES + (", place string" if extra else "") + (", ids array<int>" if keep_ids else ""))
 
 
 class RoomTree:
@@ -130,7 +148,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan, _ = best_fit_decreasing(histogram, capacity)
     digits = hex_digits_for(sum(histogram.values()))
     key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("piece").cast("string")).cast("binary"))
-    keyed = pieces.withColumns({"_key": key, "_bucket": F.substring(key, 1, digits)})
+    bucket = F.substring(key, 1, digits)
+    if "place" in pieces.columns:
+        key, bucket = F.col("place"), _block(F.col("place"))
+    keyed = pieces.withColumns({"_key": key, "_bucket": bucket})
     ranked = rank_in_groups(keyed, ["length"], "_bucket", [F.col("_key"), F.col("doc_id"), F.col("piece")], "_rank")
     names = pieces.columns
     wide = np.int64(1) << 42  # ranks of one length stay below it
@@ -138,7 +159,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = np.argsort(keys)
     plan, keys = plan[order], keys[order]
 
-    def place(batches):
+    def put(batches):
         for b in batches:
             length = b.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
             rank = b.column("_rank").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -148,9 +169,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *extra], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.select(*names, "_rank").mapInArrow(place, schema + ", sequence_id long, offset long")
+    placed = ranked.select(*names, "_rank").mapInArrow(put, schema + ", sequence_id long, offset long")
+    return number_by_place(save(placed, "placed")) if "place" in names else placed
+
+
+def number_by_place(placed: DataFrame) -> DataFrame:
+    """Packed pieces whose sequences are numbered by their earliest place, without the column ``place``."""
+    first = placed.groupBy("sequence_id").agg(F.min("place").alias("_first")).withColumn("_bucket", _block(F.col("_first")))
+    ranked = rank_in_groups(first, [], "_bucket", [F.col("_first"), F.col("sequence_id")], "_number")
+    numbers = ranked.select("sequence_id", "_number")
+    kept = [c for c in placed.columns if c != "place"]
+    return placed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("_number")).select(*kept)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False, place: Column | None = None) -> DataFrame:
     """Every piece of every document with its place: sequence_id (from 0) and offset in it."""
-    return pack(save(token_pieces(docs, tokenizer_path, end_id, capacity, keep_ids), "pieces"), capacity)
+    return pack(save(token_pieces(docs, tokenizer_path, end_id, capacity, keep_ids, place), "pieces"), capacity)

@@ -346,18 +346,6 @@ def test_license_scan(docs, none):
     assert license_scan.license_report(none).count() == 0
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline as cp
-
-    assert [n for n, _ in cp.STAGES] == ["toxicity", "exact_dedup", "ngram_join", "mixing", "packing"]
-    docs = queries.table(spark, SF, "documents")
-    names, now = docs.columns, docs
-    for name, stage in cp.STAGES[:-1]:
-        now = stage(spark, now, SF)
-        assert now.columns == names, name
-    assert cp.run(spark, SF).select("doc_id").distinct().count() == now.count()
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(spark, name):
     import duckdb
