@@ -2,7 +2,8 @@
 
 Every stage works on all rows that the stage before it kept. Stages are written as Parquet and
 read again, so an executor lost in one stage never reaches back into another. All but the last return the
-columns of ``documents``; mixing decides the order of the rows in the files.
+columns of ``documents``; mixing decides the order of the rows in the files, and packing keeps to it: among pieces of equal
+length the earlier one is placed first, and sequences are numbered by their earliest document.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, queries.tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    """Places of all pieces in sequences of 2048 tokens, in the order of the stored rows."""
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    return packing.pack_documents(docs, path, end_id=0, capacity=2048, place=packing.file_order(docs))
 
 
 STAGES = [
@@ -49,7 +51,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-# The classifier and the tokenizer cannot be written in SQL; tests/llm holds every stage against a brute-force version.
+# The classifier and the tokenizer cannot be written in SQL; tests/llm holds the rows of every stage against a brute-force version.
 ORACLE_SQL = None
 
 
