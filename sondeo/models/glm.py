@@ -1,41 +1,38 @@
-"""Logistic GLM on Spark ML.
+"""Logistic GLM tables (M1-M8, M13) on the batched fits of ``logit``.
 
-``GeneralizedLinearRegression`` runs IRLS where every iteration is one
-distributed aggregation of the weighted normal equations; the design comes
-from ``RFormula`` with alphabetical reference levels (the alphabetically
-first level is dropped, as in R's treatment contrasts).
+One call fits a model, a family of models on their common complete rows, or a model in every segment found in the data; each needs
+one encoded design and one series of passes. Reference levels are the alphabetically first ones (R's treatment contrasts).
+Aliased coefficients and those of constant terms are NULL, as R prints NA.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.ml.feature import RFormula, VectorSlicer
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import reliable_cache
+from ..operators.common import col
+from .design import Design
+from .logit import SEPARATED, Fit, fit_all
 from .spec import ModelSpec
-from .stats import chi2_sf
+from .stats import chi2_sf, normal_two_sided_p
 
-_DISCRETE = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 Z_05 = 1.959963984540054  # two-sided 5% normal quantile: p <= 0.05  <=>  |z| >= Z_05
 
-
-SEPARATED = 1e-8
+__all__ = ["SEPARATED", "GlmFit", "anova_compare", "anova_sequential", "fit_family", "fit_glm", "fit_segments", "fitted", "fitted_totals", "glance", "tidy"]
 
 
 @dataclass
 class GlmFit:
     spec: ModelSpec
     terms: list[str]
-    estimate: list[float]
-    std_error: list[float]
-    statistic: list[float]
-    p_value: list[float]
+    estimate: list[float | None]  # None: aliased
+    std_error: list[float | None]
+    statistic: list[float | None]
+    p_value: list[float | None]
     null_deviance: float
     deviance: float
     df_null: int
@@ -43,135 +40,109 @@ class GlmFit:
     aic: float
     n: int
     iterations: int
-    converged: bool  # the iterations ended by the tolerance, not by their limit
+    converged: bool  # the iterations ended by their criterion, not by their limit
     separated: bool  # some fitted probability is 0 or 1 to within ``SEPARATED``: estimates of that term diverge
+    term_of: list[str]  # term of each coefficient ("" for the intercept)
+    segment: str | None = None
+
+
+def _result(design: Design, f: Fit) -> GlmFit:
+    at = {j: i for i, j in enumerate(f.used)}
+    names, estimate, se, z, p = [], [], [], [], []
+    for j in f.columns:
+        names.append(design.columns[j][1])
+        i = at.get(j)
+        ok = i is not None and f.covariance[i, i] > 0
+        estimate.append(float(f.beta[j]) if i is not None else None)
+        se.append(math.sqrt(f.covariance[i, i]) if ok else None)
+        z.append(estimate[-1] / se[-1] if ok else None)
+        p.append(normal_two_sided_p(z[-1]) if ok else None)
+    # A factor with one level in the segment has no column left: it is named as constant.
+    terms = [design.columns[j][0] for j in f.columns]
+    for t in f.spec.terms:
+        if t not in terms:
+            names, terms = [*names, t], [*terms, t]
+            for values in (estimate, se, z, p):
+                values.append(None)
+    return GlmFit(
+        spec=f.spec, terms=names, estimate=estimate, std_error=se, statistic=z, p_value=p,
+        null_deviance=f.null_deviance, deviance=f.deviance, df_null=f.n - 1, df_residual=f.n - f.rank, aic=f.deviance + 2 * f.rank, n=f.n,
+        iterations=f.iterations, converged=f.converged, separated=f.separated, term_of=terms, segment=f.segment,
+    )
+
+
+def fit_family(df: DataFrame, specs: Mapping[str, ModelSpec], segment: str | None = None, max_iter: int = 25, complete: bool = True) -> dict[tuple[str, str | None], GlmFit]:
+    """Fits by (model, segment): all models on the rows that are complete for every one of them (M4, M8), in every segment found."""
+    first = next(iter(specs.values()))
+    terms = list(dict.fromkeys(t for s in specs.values() for t in s.terms))
+    design = Design(df, first.response, terms, segment=segment, complete=complete)
+    try:
+        return {(f.model, f.segment): _result(design, f) for f in fit_all(design, specs, max_iter)}
+    finally:
+        design.close()
 
 
-def complete_rows(df: DataFrame, spec: ModelSpec) -> DataFrame:
-    """Listwise deletion on the model variables (M4)."""
-    return df.select(*spec.variables).dropna("any")
+def fit_glm(df: DataFrame, spec: ModelSpec, max_iter: int = 25, complete: bool = True) -> GlmFit:
+    """Binomial-logit GLM of ``spec`` (M1) on the complete rows (M4)."""
+    return fit_family(df, {"m": spec}, max_iter=max_iter, complete=complete)["m", None]
 
 
-class Design:
-    """``RFormula`` design of a model's complete rows, persisted once.
+def fit_segments(df: DataFrame, spec: ModelSpec, segment: str, max_iter: int = 25) -> dict[str, GlmFit]:
+    """The model in every segment found in the data (M3), in one series of passes."""
+    return {s: f for (_, s), f in fit_family(df, {"m": spec}, segment, max_iter).items()}
 
-    Sub-models (sequential prefixes, compared models) are fitted by slicing
-    feature indices out of the same cached vectors instead of re-indexing
-    strings and re-scanning the input for every fit.
-    """
 
-    def __init__(self, df: DataFrame, spec: ModelSpec, complete: bool = True):
-        self.spec = spec
-        data = complete_rows(df, spec) if complete else df.select(*spec.variables)
-        # With only discrete terms the likelihood depends on the data through
-        # per-cell trials and successes: collapse to cells (one partially
-        # aggregated groupBy) and let IRLS iterate over the cell table, with
-        # the proportion as response and the trials as weights.
-        discrete = all(isinstance(data.schema[t].dataType, _DISCRETE) for t in spec.terms)
-        self.grouped = discrete
-        if discrete:
-            y = F.col(spec.response).cast("double")
-            data = data.groupBy(*spec.terms).agg(F.count(F.lit(1)).cast("double").alias("__w"), F.sum(y).alias("__s"))
-            data = data.withColumn(spec.response, F.col("__s") / F.col("__w")).drop("__s")
-        data = data.persist()
-        try:
-            rf = RFormula(formula=spec.formula(), featuresCol="features", labelCol="label", stringIndexerOrderType="alphabetDesc")
-            cols = ["features", "label"] + (["__w"] if discrete else [])
-            design = rf.fit(data).transform(data).select(*cols)
-            self.frame = reliable_cache(design, row_bytes=8 * (len(spec.terms) * 4 + 3) + 32)
-            self.n_rows = self.frame.count()
-        finally:
-            data.unpersist()
-        meta = self.frame.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
-        attrs = sorted((a for group in meta.values() for a in group), key=lambda a: a["idx"])
-        self.names: list[str] = []
-        self.term_of: list[str] = []
-        strings = {t for t in spec.terms if isinstance(data.schema[t].dataType, T.StringType)}
-        for a in attrs:
-            nm, term = a["name"], None
-            for t in sorted(spec.terms, key=len, reverse=True):
-                if t in strings and nm.startswith(t + "_"):
-                    nm, term = t + nm[len(t) + 1:], t
-                    break
-                if nm == t:
-                    term = t
-                    break
-            self.names.append(nm)
-            self.term_of.append(term or nm)
-
-    def indices(self, terms) -> list[int]:
-        """Feature indices of ``terms`` in R's order: terms as written, levels of a
-        factor ascending (the index order of the design is descending)."""
-        pos = {t: k for k, t in enumerate(self.spec.terms)}
-        keep = [i for i, t in enumerate(self.term_of) if t in set(terms)]
-        return sorted(keep, key=lambda i: (pos.get(self.term_of[i], len(pos)), self.names[i]))
-
-    def fit(self, terms=None, tol: float = 1e-8, max_iter: int = 25) -> GlmFit:
-        terms = list(self.spec.terms) if terms is None else list(terms)
-        idx = self.indices(terms)
-        frame = self.frame
-        wcol = ["__w"] if self.grouped else []
-        if idx != list(range(len(self.names))):
-            frame = VectorSlicer(inputCol="features", outputCol="f", indices=idx).transform(frame).select(F.col("f").alias("features"), "label", *wcol)
-        glr = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter, tol=tol, regParam=0.0)
-        if self.grouped:
-            glr = glr.setWeightCol("__w")
-        model = glr.fit(frame)
-        s = model.summary
-        est = [float(model.intercept)] + [float(x) for x in model.coefficients]
-        # the summary arrays put the intercept last
-        se = [float(x) for x in s.coefficientStandardErrors]
-        tv = [float(x) for x in s.tValues]
-        pv = [float(x) for x in s.pValues]
-        # Deviances in one pass over the fitted means (the summary's lazy
-        # properties would each launch their own job). For a 0/1 response the
-        # saturated log-likelihood is 0, so deviance = -2 log L and the null
-        # model's fitted mean is the response mean.
-        mu = model.transform(frame).select("label", F.col("prediction").alias("mu"), *wcol)
-        w = F.col("__w") if self.grouped else F.lit(1.0)
-        succ = F.col("label") * w
-        # individual-level log-likelihood (also for cell tables)
-        ll = F.when(succ > 0, succ * F.log(F.col("mu"))).otherwise(0.0) + F.when(w - succ > 0, (w - succ) * F.log(1 - F.col("mu"))).otherwise(0.0)
-        st = mu.agg(F.sum(w).alias("n"), F.sum(succ).alias("sy"), F.sum(ll).alias("ll"), F.min(F.least(F.col("mu"), 1 - F.col("mu"))).alias("edge")).first()
-        n, sy = int(round(st["n"])), float(st["sy"])
-        ybar = sy / n
-        null_dev = -2 * (sy * math.log(ybar) + (n - sy) * math.log(1 - ybar)) if 0 < sy < n else 0.0
-        dev = -2 * float(st["ll"])
-        rank = len(idx) + 1
-        return GlmFit(
-            spec=ModelSpec(self.spec.response, tuple(terms)), terms=["(Intercept)"] + [self.names[i] for i in idx],
-            estimate=est, std_error=se[-1:] + se[:-1], statistic=tv[-1:] + tv[:-1], p_value=pv[-1:] + pv[:-1],
-            null_deviance=null_dev, deviance=dev, df_null=n - 1, df_residual=n - rank, aic=dev + 2 * rank, n=n,
-            iterations=int(s.numIterations), converged=int(s.numIterations) < max_iter, separated=float(st["edge"]) < SEPARATED,
-        )
-
-    def close(self) -> None:
-        self.frame.unpersist()
-
-
-def fit_glm(df: DataFrame, spec: ModelSpec, tol: float = 1e-8, max_iter: int = 25, complete: bool = True) -> GlmFit:
-    """Binomial-logit GLM of ``spec`` (M1) on the complete rows (M4)."""
-    d = Design(df, spec, complete)
-    try:
-        return d.fit(tol=tol, max_iter=max_iter)
-    finally:
-        d.close()
+def fitted(fit: GlmFit) -> Column:
+    """Fitted probability of a row as an expression over the columns of the model; aliased coefficients count as zero."""
+    eta = F.lit(0.0)
+    for name, term, b in zip(fit.terms, fit.term_of, fit.estimate, strict=True):
+        if b is None:
+            continue
+        if not term:
+            eta = eta + F.lit(b)
+        elif name == term:
+            eta = eta + F.lit(b) * col(term).cast("double")
+        else:
+            eta = eta + F.when(col(term) == name[len(term):], F.lit(b)).otherwise(0.0)
+    return 1.0 / (1.0 + F.exp(-eta))
 
 
-def tidy(spark: SparkSession, fit: GlmFit, with_p: bool = True, model: str | None = None) -> DataFrame:
-    """``broom::tidy`` + odds ratio + "*" when p <= .05 (M5)."""
+def fitted_totals(df: DataFrame, fits: Mapping[str | None, GlmFit], segment: str | None = None) -> DataFrame:
+    """Observed and fitted totals of the response per segment, term and level: (segment,) term, level, n, observed, fitted.
+
+    Factors give a row per level, numbers one row (level NULL) of totals weighted by their values. At a maximum of the likelihood both totals agree,
+    for aliased levels too. One pass: the rows of a term are made in the row and aggregated map-side.
+    """
+    spec = next(iter(fits.values())).spec
+    keys = [segment] if segment else []
+    data = df.select(*[col(c) for c in dict.fromkeys([*keys, *spec.variables])]).dropna("any")
+    mu = F.lit(None).cast("double")
+    for s, f in fits.items():
+        mu = F.when(col(segment) == s, fitted(f)).otherwise(mu) if segment else fitted(f)
+    y = col(spec.response).cast("double")
+    kind = dict(data.dtypes)
+    entries = []
+    for t in spec.terms:
+        text = kind[t] == "string"
+        weight = F.lit(1.0) if text else col(t).cast("double")
+        level = col(t) if text else F.lit(None).cast("string")
+        entries.append(F.struct(F.lit(t).alias("term"), level.alias("level"), (weight * y).alias("o"), (weight * F.col("__mu")).alias("f")))
+    rows = data.withColumn("__mu", mu).select(*[col(k) for k in keys], F.inline(F.array(*entries)))
+    return rows.groupBy(*[col(k) for k in keys], "term", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("o").alias("observed"), F.sum("f").alias("fitted"))
+
+
+def tidy(spark: SparkSession, fit: GlmFit | Mapping[str, GlmFit], with_p: bool = True, model: str | None = None) -> DataFrame:
+    """``broom::tidy`` + odds ratio + "*" when p <= .05 (M5). A mapping gives the tables of several fits, named in the column ``model``."""
+    fits = dict(fit) if isinstance(fit, Mapping) else {model: fit}
     rows = []
-    for i, t in enumerate(fit.terms):
-        r = {"term": t, "estimate": fit.estimate[i], "std_error": fit.std_error[i], "statistic": fit.statistic[i],
-             "odds": math.exp(fit.estimate[i]), "sig": "*" if abs(fit.statistic[i]) >= Z_05 else ""}
-        if with_p:
-            r["p_value"] = fit.p_value[i]
-        if model is not None:
-            r = {"model": model, **r}
-        rows.append(r)
-    fields = ([("model", "string")] if model is not None else []) + [("term", "string"), ("estimate", "double"), ("std_error", "double"),
-              ("statistic", "double"), ("odds", "double"), ("sig", "string")] + ([("p_value", "double")] if with_p else [])
-    return spark.createDataFrame(rows, ", ".join(f"{a} {b}" for a, b in fields))
+    for name, f in fits.items():
+        for t, b, se, z, p in zip(f.terms, f.estimate, f.std_error, f.statistic, f.p_value, strict=True):
+            r = {"model": name, "term": t, "estimate": b, "std_error": se, "statistic": z, "odds": None if b is None else math.exp(min(b, 700.0)),
+                 "sig": None if z is None else "*" if abs(z) >= Z_05 else "", "p_value": p}
+            rows.append(r)
+    schema = "model string, term string, estimate double, std_error double, statistic double, odds double, sig string, p_value double"
+    drop = ([] if with_p else ["p_value"]) + ([] if isinstance(fit, Mapping) or model is not None else ["model"])
+    return spark.createDataFrame(rows, schema).drop(*drop)
 
 
 def glance(spark: SparkSession, fits: dict[str, GlmFit]) -> DataFrame:
@@ -184,54 +155,39 @@ def glance(spark: SparkSession, fits: dict[str, GlmFit]) -> DataFrame:
 
 def anova_sequential(spark: SparkSession, df: DataFrame, spec: ModelSpec) -> DataFrame:
     """``anova(glm)``: terms added in order, every fit on the rows complete for the
-    full model (M7). Returns term, df, deviance, resid_df, resid_dev, p_value."""
-    d = Design(df, spec)
-    try:
-        rows = []
-        prev_dev = prev_df = None
-        for k in range(0, len(spec.terms) + 1):
-            f = d.fit(spec.terms[: max(k, 1)])
-            if k == 0:
-                prev_dev, prev_df = f.null_deviance, f.df_null
-                rows.append({"term": "NULL", "df": None, "deviance": None, "resid_df": prev_df, "resid_dev": prev_dev, "p_value": None})
-                continue
-            ddf, ddev = prev_df - f.df_residual, prev_dev - f.deviance
-            rows.append({"term": spec.terms[k - 1], "df": ddf, "deviance": ddev, "resid_df": f.df_residual, "resid_dev": f.deviance,
-                         "p_value": chi2_sf(ddev, ddf) if ddf > 0 else None})
-            prev_dev, prev_df = f.deviance, f.df_residual
-        return spark.createDataFrame(rows, "term string, df bigint, deviance double, resid_df bigint, resid_dev double, p_value double")
-    finally:
-        d.close()
+    full model (M7). Returns term, df, deviance, resid_df, resid_dev, p_value.
+
+    All prefixes of the terms are fitted in the same passes. A term that is aliased by those before it has df 0."""
+    prefixes = {t: ModelSpec(spec.response, tuple(spec.terms[: k + 1])) for k, t in enumerate(spec.terms)}
+    fits = fit_family(df, prefixes)
+    first = fits[spec.terms[0], None]
+    before_df, before = first.df_null, first.null_deviance
+    rows = [{"term": "NULL", "df": None, "deviance": None, "resid_df": before_df, "resid_dev": before, "p_value": None}]
+    for t in spec.terms:
+        f = fits[t, None]
+        ddf, gain = before_df - f.df_residual, before - f.deviance
+        rows.append({"term": t, "df": ddf, "deviance": gain, "resid_df": f.df_residual, "resid_dev": f.deviance, "p_value": chi2_sf(gain, ddf) if ddf > 0 else None})
+        before_df, before = f.df_residual, f.deviance
+    return spark.createDataFrame(rows, "term string, df bigint, deviance double, resid_df bigint, resid_dev double, p_value double")
 
 
-def anova_compare(spark: SparkSession, df: DataFrame, specs: dict[str, ModelSpec]) -> DataFrame:
-    """``anova(m1, m2, ...)``: all models on the rows complete for every model.
+def anova_compare(spark: SparkSession, df: DataFrame, specs: Mapping[str, ModelSpec]) -> DataFrame:
+    """``anova(m1, m2, ...)``: all models on the rows complete for every model (M8, D15), fitted in the same passes.
 
     Consecutive models are compared by deviance change on the chi-square
     distribution; ``nested`` flags whether the earlier model's terms are a
     subset of the later one's (the comparison is only a likelihood-ratio test
     when they are).
     """
-    first = next(iter(specs.values()))
-    union: list[str] = []
-    for sp in specs.values():
-        for t in sp.terms:
-            if t not in union:
-                union.append(t)
-    d = Design(df, ModelSpec(first.response, tuple(union)))
-    try:
-        rows = []
-        prev = None
-        for name, sp in specs.items():
-            f = d.fit(sp.terms)
-            r = {"model": name, "resid_df": f.df_residual, "resid_dev": f.deviance, "df": None, "deviance": None, "p_value": None, "nested": None}
-            if prev is not None:
-                pf, ps = prev
-                ddf, ddev = pf.df_residual - f.df_residual, pf.deviance - f.deviance
-                r.update({"df": ddf, "deviance": ddev, "p_value": chi2_sf(abs(ddev), abs(ddf)) if ddf != 0 else None,
-                          "nested": set(ps.terms) <= set(sp.terms)})
-            rows.append(r)
-            prev = (f, sp)
-        return spark.createDataFrame(rows, "model string, resid_df bigint, resid_dev double, df bigint, deviance double, p_value double, nested boolean")
-    finally:
-        d.close()
+    fits = fit_family(df, specs)
+    rows, prev = [], None
+    for name, sp in specs.items():
+        f = fits[name, None]
+        r = {"model": name, "resid_df": f.df_residual, "resid_dev": f.deviance, "df": None, "deviance": None, "p_value": None, "nested": None}
+        if prev is not None:
+            pf, ps = prev
+            ddf, gain = pf.df_residual - f.df_residual, pf.deviance - f.deviance
+            r.update({"df": ddf, "deviance": gain, "p_value": chi2_sf(abs(gain), abs(ddf)) if ddf != 0 else None, "nested": set(ps.terms) <= set(sp.terms)})
+        rows.append(r)
+        prev = (f, sp)
+    return spark.createDataFrame(rows, "model string, resid_df bigint, resid_dev double, df bigint, deviance double, p_value double, nested boolean")

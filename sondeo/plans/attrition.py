@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import MUNICIPALITY_PATTERNS, NA_PATTERN
+from ..config import EDUCATION_CODES, MUNICIPALITY_PATTERNS, NA_PATTERN, SKILLS, STATE_CODES
 from ..functions import recode as rc
 from ..functions import text as tx
 from ..operators.common import col
@@ -19,6 +19,13 @@ from ..sources import fixtures
 from .memo import shared_plan
 from ..sources.tables import load
 
+# The survey fixture has eight adolescent items and four rater items: two and one for each of the four skills of the models.
+SKILL_ITEMS = {"liderazgo": ("liderazgo1", "liderazgo2"), "empatia": ("empatia1", "empatia2"), "decision": ("liderazgo3", "liderazgo4"), "equipo": ("empatia3", "empatia4")}
+RATER_ITEMS = {"liderazgo": ("liderazgo1",), "empatia": ("empatia1",), "decision": ("liderazgo2",), "equipo": ("empatia2",)}
+# The fixture's regions stand for the states of the analyses; other regions have no code and become NULL, as other states do there.
+STATE_OF_REGION = {"AMERICA": "Nuevo León", "ASIA": "Chihuahua", "EUROPE": "Tamaulipas", "AFRICA": "Estado de México"}
+# Education cycles over customers; an answer outside the code list becomes NULL.
+EDUCATION_ANSWERS = [*EDUCATION_CODES, "Otro"]
 SKILL_PATTERN = r"^(liderazgo|empatia|decision|equipo)"
 SEX_LABELS = {"M": "Mujer", "H": "Hombre"}
 STATUS_LABELS = ("Concluyó", "No concluyó")
@@ -144,6 +151,48 @@ def linked_wide_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(r, "id_mentor").join(a, "id")
 
 
+def skill_totals(items: dict[str, Sequence[str]], suffix: str = "") -> list[Column]:
+    """One total per skill of the models, in their order."""
+    return [row_sum(items[k]).alias(f"{k}{suffix}") for k in SKILLS]
+
+
+@shared_plan
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariates of the completion models, not scaled: coded states and education (reference level first), age
+    centred at 12, socio-economic level, totals of the four skills."""
+    a = adolescents(spark, sf_dir)
+    answer = F.element_at(F.array(*[F.lit(t) for t in EDUCATION_ANSWERS]), (F.col("customer_id") % len(EDUCATION_ANSWERS) + 1).cast("int"))
+    a = a.withColumns({"estado": rc.recode("estado", STATE_OF_REGION), "nivel_educ": answer})
+    return a.select(
+        "id", "status", "sexo", (F.col("edad") - 12).alias("edad_c12"),
+        rc.recode("estado", STATE_CODES).alias("estado"), "trabajo", rc.recode("nivel_educ", EDUCATION_CODES).alias("nivel_educ"),
+        "socioeco", "modelo_seguir", "wave", *skill_totals(SKILL_ITEMS),
+    )
+
+
+@shared_plan
+def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``model_rows`` with socio-economic level and skills scaled over the whole table."""
+    return standardize(model_rows(spark, sf_dir), ["socioeco", *SKILLS])
+
+
+@shared_plan
+def linked_model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``model_frame`` with the scaled skills of the 360 raters and of the mentor (J2): rows with all three."""
+    def side(df: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+        return standardize(df.select(*keys, *skill_totals(RATER_ITEMS, suffix)), [f"{k}{suffix}" for k in SKILLS])
+
+    r = side(ratings_360(spark, sf_dir), ["id", "id_mentor"], "_360")
+    m = side(mentors(spark, sf_dir), ["id_mentor", "sexo_mentor"], "_mentor")
+    return model_frame(spark, sf_dir).join(r, "id").join(m, "id_mentor")
+
+
+@shared_plan
+def pooled_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``model_rows`` scaled within each wave found in the data, the wave as ``periodo``."""
+    return standardize(model_rows(spark, sf_dir), ["socioeco", *SKILLS], by=["wave"]).withColumnRenamed("wave", "periodo")
+
+
 @shared_plan
 def completion(spark: SparkSession, sf_dir: str, labels: bool = False) -> DataFrame:
     """Baseline customers flagged by presence in either endline."""

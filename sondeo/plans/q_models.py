@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import EDUCATION_CODES, SKILLS, STATE_CODES
 from ..models import glm
 from ..models.spec import ModelSpec
-from ..operators.scoring import row_sum, standardize
 from . import alumni, attrition
 from .catalog import register, round6
+from .q_attrition import ADOL_SQL
 from .sqlkit import alumni_cte
 
 # --------------------------------------------------------------------- closed-form checkable GLM
@@ -51,71 +52,171 @@ def glm_deviance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumns({c: F.round(c, 4) for c in ("null_deviance", "deviance", "aic")})
 
 
-# --------------------------------------------------------------------- full models (rows-only checks)
+# --------------------------------------------------------------------- nested discrete models: closed forms
 
-BASE_TERMS = ("sexo", "edad_c12", "estado", "trabajo", "socioeco", "modelo_seguir", "liderazgo", "empatia")
+_NESTED_SQL = f"""WITH {ADOL_SQL},
+r AS (SELECT status, estado, estado || ':' || sexo AS estado_sexo, estado || ':' || sexo || ':' || modelo_seguir AS celda FROM adol),
+c AS (SELECT * FROM r WHERE estado IS NOT NULL AND estado_sexo IS NOT NULL AND celda IS NOT NULL),
+cells AS (SELECT 0 AS k, 'NULL' AS term, '' AS cell, CAST(sum(status) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM c
+  UNION ALL SELECT 1, 'estado', estado, sum(status), count(*) FROM c GROUP BY estado
+  UNION ALL SELECT 2, 'estado_sexo', estado_sexo, sum(status), count(*) FROM c GROUP BY estado_sexo
+  UNION ALL SELECT 3, 'celda', celda, sum(status), count(*) FROM c GROUP BY celda),
+d AS (SELECT k, term, sum(n) AS n, count(*) AS rank, -2 * sum(CASE WHEN s > 0 THEN s * ln(s / n) ELSE 0 END + CASE WHEN s < n THEN (n - s) * ln((n - s) / n) ELSE 0 END) AS dev
+  FROM cells GROUP BY k, term),
+t AS (SELECT k, term, rank, CAST(n - rank AS BIGINT) AS resid_df, dev, lag(dev) OVER (ORDER BY k) - dev AS gain, rank - lag(rank) OVER (ORDER BY k) AS df FROM d)"""
 
 
-def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adolescent wide table: z-scored scale totals and socio-economic level, centred age (``I(edad-12)``)."""
+def nested_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three factors, each nested in the one before: the larger models hold aliased columns and are saturated."""
     a = attrition.adolescents(spark, sf_dir)
-    sc = attrition.scales_from_names(a.columns)
-    w = a.select("id", "status", "sexo", "edad", "estado", "trabajo", "socioeco", "modelo_seguir", "wave",
-                 *[row_sum(v).alias(k) for k, v in sc.items()])
-    w = standardize(w, ["liderazgo", "empatia", "socioeco"])
-    return w.withColumn("edad_c12", F.col("edad") - F.lit(12))
+    both = F.concat(F.col("estado"), F.lit(":"), F.col("sexo"))
+    return a.select("status", "estado", both.alias("estado_sexo"), F.concat(both, F.lit(":"), F.col("modelo_seguir")).alias("celda"))
+
+
+@register("glm_anova_nested", f"""{_NESTED_SQL}
+SELECT term, CAST(df AS DOUBLE) AS df, round(gain, 4) AS deviance, resid_df, round(dev, 4) AS resid_dev FROM t""")
+def glm_anova_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequential analysis of deviance of nested factors: aliased columns take no degrees of freedom (M1, M7)."""
+    tab = glm.anova_sequential(spark, nested_rows(spark, sf_dir), ModelSpec("status", ("estado", "estado_sexo", "celda")))
+    return tab.select("term", F.col("df").cast("double").alias("df"), F.round("deviance", 4).alias("deviance"), "resid_df", F.round("resid_dev", 4).alias("resid_dev"))
+
+
+@register("glm_compare_nested", f"""{_NESTED_SQL}
+SELECT CASE k WHEN 1 THEN 'small' WHEN 2 THEN 'middle' ELSE 'large' END AS model, resid_df, round(dev, 4) AS resid_dev,
+  CAST(CASE WHEN k > 1 THEN df END AS DOUBLE) AS df, CASE WHEN k > 1 THEN round(gain, 4) END AS deviance, CASE WHEN k > 1 THEN true END AS nested FROM t WHERE k > 0""")
+def glm_compare_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparison of nested models on common complete rows, all fitted in the same passes (M8)."""
+    terms = ("estado", "estado_sexo", "celda")
+    specs = {m: ModelSpec("status", terms[: k + 1]) for k, m in enumerate(("small", "middle", "large"))}
+    tab = glm.anova_compare(spark, nested_rows(spark, sf_dir), specs)
+    return tab.select("model", "resid_df", F.round("resid_dev", 4).alias("resid_dev"), F.col("df").cast("double").alias("df"), F.round("deviance", 4).alias("deviance"), "nested")
+
+
+@register("glm_aliased_tidy", f"""WITH {ADOL_SQL},
+c AS (SELECT status, estado, estado || ':' || sexo AS cell FROM adol WHERE estado IS NOT NULL AND sexo IS NOT NULL),
+g AS (SELECT estado, cell, ln(sum(status) / (count(*) - sum(status))) AS lo, 1 / sum(status) + 1 / (count(*) - sum(status)) AS v FROM c GROUP BY estado, cell),
+first AS (SELECT * FROM g ORDER BY cell LIMIT 1),
+last AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY estado ORDER BY cell DESC) = 1),
+t AS (SELECT '(Intercept)' AS term, lo AS estimate, sqrt(v) AS std_error FROM first
+  UNION ALL SELECT 'estado' || l.estado, l.lo - f.lo, sqrt(l.v + f.v) FROM last l, first f WHERE l.estado <> f.estado
+  UNION ALL SELECT 'estado_sexo' || g.cell, g.lo - f.lo, sqrt(g.v + f.v) FROM g, first f WHERE g.estado = f.estado AND g.cell <> f.cell
+  UNION ALL SELECT 'estado_sexo' || g.cell, CASE WHEN g.cell <> l.cell THEN g.lo - l.lo END, CASE WHEN g.cell <> l.cell THEN sqrt(g.v + l.v) END
+    FROM g JOIN last l USING (estado), first f WHERE g.estado <> f.estado)
+SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error FROM t""")
+def glm_aliased_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of a rank-deficient design: aliased ones are NULL, the others as in the full-rank design (M1, M5)."""
+    fit = glm.fit_glm(nested_rows(spark, sf_dir), ModelSpec("status", ("estado", "estado_sexo")))
+    return round6(glm.tidy(spark, fit).select("term", "estimate", "std_error"))
+
+
+# --------------------------------------------------------------------- full models
+
+BASE_TERMS = ("sexo", "edad_c12", "estado", "trabajo", "nivel_educ", "socioeco", "modelo_seguir", *SKILLS)
+BASE = ModelSpec("status", BASE_TERMS)
+MENTOR_SEX = "sexo_mentor"
+model_frame, linked_model_frame = attrition.model_frame, attrition.linked_model_frame
+
+
+def family() -> dict[str, ModelSpec]:
+    """The four compared models: adolescents only, with the 360 raters, with the mentor, with all."""
+    s360, mentor = [f"{k}_360" for k in SKILLS], [f"{k}_mentor" for k in SKILLS]
+    return {
+        "base": BASE,
+        "with_360": BASE.add_terms(*s360),
+        "with_mentor": BASE.add_terms(MENTOR_SEX, *mentor),
+        "global": BASE.add_terms(MENTOR_SEX, *s360, *mentor),
+    }
+
+
+_STATES = " ".join(f"WHEN '{r}' THEN '{STATE_CODES[s]}'" for r, s in attrition.STATE_OF_REGION.items())
+_LEVELS = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(EDUCATION_CODES.values()))
+_SKILLS_SQL = ", ".join(f"{' + '.join(f'coalesce({i}, 0)' for i in attrition.SKILL_ITEMS[k])} AS {k}" for k in SKILLS)
+MODEL_SQL = f"""{ADOL_SQL},
+raw AS (SELECT id, status, sexo, edad - 12 AS edad_c12, CASE estado {_STATES} END AS estado, trabajo,
+  CASE customer_id % {len(attrition.EDUCATION_ANSWERS)} {_LEVELS} END AS nivel_educ, socioeco, modelo_seguir, wave, {_SKILLS_SQL} FROM adol)"""
+_SCALED = ["socioeco", *SKILLS]
+
+
+def _scaled_sql(over: str) -> str:
+    z = ", ".join(f"({c} - avg({c}) OVER ({over})) / stddev_samp({c}) OVER ({over}) AS {c}" for c in _SCALED)
+    return f"z AS (SELECT * REPLACE ({z}) FROM raw)"
+
+
+def _totals_sql(scaled: str, terms: tuple[str, ...], by: str | None, rename: str = "") -> str:
+    complete = " AND ".join(f"{t} IS NOT NULL" for t in ("status", *terms, *([by] if by else [])))
+    numbers = {"edad_c12", *_SCALED}
+    head = f"{by}, " if by else ""
+    parts = [
+        f"SELECT {head}'{t}' AS term, NULL AS level, count(*) AS n, round(sum({t} * status), 4) AS observed, round(sum({t} * status), 4) AS fitted FROM c{f' GROUP BY {by}' if by else ''}"
+        if t in numbers
+        else f"SELECT {head}'{t}' AS term, {t} AS level, count(*) AS n, round(CAST(sum(status) AS DOUBLE), 4) AS observed, round(CAST(sum(status) AS DOUBLE), 4) AS fitted FROM c GROUP BY {head}{t}"
+        for t in terms
+    ]
+    return f"WITH {MODEL_SQL}, {_scaled_sql(scaled)}, c AS (SELECT *{rename} FROM z WHERE {complete})\n" + "\nUNION ALL ".join(parts)
+
+
+def _totals(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("observed", "fitted")})
+
+
+@register("glm_full_totals", _totals_sql("", BASE_TERMS, None))
+def glm_full_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full completion model on demographics and the four skills: fitted totals per level equal the observed ones (M1, M2, M4)."""
+    df = model_frame(spark, sf_dir)
+    return _totals(glm.fitted_totals(df, {None: glm.fit_glm(df, BASE)}))
+
 
+@register("glm_segment_totals", _totals_sql("", tuple(t for t in BASE_TERMS if t != "estado"), "estado"))
+def glm_segment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model without the state term in every state of the data, in one series of passes: fitted and observed totals (M3)."""
+    df, spec = model_frame(spark, sf_dir), BASE.drop_term("estado")
+    return _totals(glm.fitted_totals(df, glm.fit_segments(df, spec, "estado"), "estado"))
 
-def linked_model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = attrition.linked_wide_scores(spark, sf_dir)
-    a = attrition.adolescents(spark, sf_dir).select("id", "edad", "trabajo", "modelo_seguir")
-    return w.join(a, "id").withColumn("edad_c12", F.col("edad") - F.lit(12))
+
+@register("glm_pooled_totals", _totals_sql("PARTITION BY wave", (*BASE_TERMS, "wave"), None).replace("'wave' AS term", "'periodo' AS term"))
+def glm_pooled_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All waves of the data, scaled per wave, with a period term: fitted and observed totals (M13, W5 per wave)."""
+    df = attrition.pooled_waves(spark, sf_dir)
+    return _totals(glm.fitted_totals(df, {None: glm.fit_glm(df, BASE.add_terms("periodo"))}))
 
 
 @register("glm_full_tidy")
 def glm_full_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completion model on demographics and skills: coefficients, z, p, odds (M1, M2, M4, M5)."""
-    fit = glm.fit_glm(model_frame(spark, sf_dir), ModelSpec("status", BASE_TERMS))
-    return round6(glm.tidy(spark, fit))
+    """Completion model on demographics and the four skills: coefficients, z, p, odds (M1, M2, M4, M5)."""
+    return round6(glm.tidy(spark, glm.fit_glm(model_frame(spark, sf_dir), BASE)))
 
 
 @register("glm_segment_tidy")
 def glm_segment_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Same model inside one state with the state term removed (M3)."""
-    df = model_frame(spark, sf_dir).where(F.col("estado") == "AMERICA")
-    fit = glm.fit_glm(df, ModelSpec("status", BASE_TERMS).drop_term("estado"))
-    return round6(glm.tidy(spark, fit))
+    """The model without the state term in every state of the data (M3)."""
+    fits = glm.fit_segments(model_frame(spark, sf_dir), BASE.drop_term("estado"), "estado")
+    return round6(glm.tidy(spark, fits).withColumnRenamed("model", "estado"))
 
 
 @register("glm_anova_seq")
 def glm_anova_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequential analysis of deviance of the full model (M7)."""
-    return round6(glm.anova_sequential(spark, model_frame(spark, sf_dir), ModelSpec("status", BASE_TERMS)))
+    return round6(glm.anova_sequential(spark, model_frame(spark, sf_dir), BASE))
 
 
 @register("glm_compare")
 def glm_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adolescent-only vs +360 vs +mentor vs global models on common complete rows (M8)."""
-    base = ModelSpec("status", ("sexo", "edad_c12", "estado", "socioeco", "liderazgo", "empatia"))
-    specs = {
-        "base": base,
-        "with_360": base.add_terms("liderazgo_360", "empatia_360"),
-        "with_mentor": base.add_terms("sexo_mentor", "liderazgo_mentor", "empatia_mentor"),
-        "global": base.add_terms("liderazgo_360", "empatia_360", "sexo_mentor", "liderazgo_mentor", "empatia_mentor"),
-    }
-    return round6(glm.anova_compare(spark, linked_model_frame(spark, sf_dir), specs))
+    return round6(glm.anova_compare(spark, linked_model_frame(spark, sf_dir), family()))
 
 
 @register("glm_pooled_waves")
 def glm_pooled_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-wave z-scores, waves stacked, period term added (M13, W5 per wave, U1)."""
-    a = model_frame(spark, sf_dir)
-    waves = [standardize(a.where(F.col("wave") == w), ["liderazgo", "empatia"]).withColumn("periodo", F.lit(w)) for w in ("23-24", "24-25")]
-    from ..operators.reshape import union_by_name
+    """Per-wave z-scores, all waves of the data stacked, period term added (M13, W5 per wave, U1)."""
+    return round6(glm.tidy(spark, glm.fit_glm(attrition.pooled_waves(spark, sf_dir), BASE.add_terms("periodo"))))
 
-    pooled = union_by_name(waves)
-    fit = glm.fit_glm(pooled, ModelSpec("status", BASE_TERMS).add_terms("periodo"))
-    return round6(glm.tidy(spark, fit))
+
+@register("glm_glance")
+def glm_glance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model summaries (deviances, df, AIC, n) of the full model and of its fits in every state (M6, M3)."""
+    frame = model_frame(spark, sf_dir)
+    states = glm.fit_segments(frame, BASE.drop_term("estado"), "estado")
+    return round6(glm.glance(spark, {"full": glm.fit_glm(frame, BASE), **{f"state {s}": f for s, f in states.items()}}))
 
 
 # --------------------------------------------------------------------- IRT (rows-only checks)
@@ -200,13 +301,3 @@ def glmm_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
         return round6(glmm.lr_compare(spark, fits))
     finally:
         data.unpersist()
-
-
-@register("glm_glance")
-def glm_glance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model summaries (deviances, df, AIC, n) of the full model and its one-state
-    segment fit (M6, M3)."""
-    frame = model_frame(spark, sf_dir)
-    full = glm.fit_glm(frame, ModelSpec("status", BASE_TERMS))
-    seg = glm.fit_glm(frame.where(F.col("estado") == "AMERICA"), ModelSpec("status", BASE_TERMS).drop_term("estado"))
-    return round6(glm.glance(spark, {"full": full, "state_segment": seg}))
