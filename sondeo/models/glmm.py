@@ -1,40 +1,41 @@
-"""Random-intercept logistic models.
-
-eta = X beta + sum_r sigma_r u_r[g_r], u_r ~ N(0, I). For fixed sigma the
-fixed and random effects are found jointly by penalised IRLS (PIRLS); the
-Laplace deviance at that mode,
-    D(sigma) = -2 l(beta, u) + |u|^2 + log det(H_uu),
-is minimised over log sigma on the driver (Nelder-Mead) -- the criterion of
-lme4's ``nAGQ = 0`` fits (Bates et al. 2015). Each PIRLS step is one
-``mapInPandas`` pass over the cached design returning the (p+q)^2 weighted
-Gram matrix, gradient and log-likelihood; q is the number of group levels.
-Wald standard errors come from the inverse penalised information.
+"""Random-intercept logistic models (M9-M12) by their Laplace likelihood.
+
+eta = X beta + sum_r sigma_r u_r[g_r], u_r ~ N(0, I). For given (beta, sigma) the group effects have a mode u; the deviance
+    D(beta, sigma) = -2 l(beta, sigma, u) + |u|^2 + log det H,    H = Z' W Z + I,
+is minimised jointly over beta and sigma (lme4's ``nAGQ = 1``) by Newton's method with exact gradients. A step
+needs the gradient at the centre and at both sides of it in every parameter (their differences are the Hessian), and all these points share
+their passes over the rows: a pass adds up, for every point, sums per group level. Four or five passes make a step, three to
+five steps a fit. The same Hessian gives the standard errors.
+
+H is never formed whole. The levels of the factor with most levels are independent of each other given the rest, so they are eliminated
+as a diagonal (a Schur complement), and what is left has the size of the other factors; of the inverse only the entries that meet in a row of the
+data are made. Sums reach the driver one per level (and per pair of crossed levels), never per row; so the number of levels is bounded by
+the driver's memory, some hundred thousand for one factor.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import RFormula, StringIndexer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import reliable_cache
+from ..operators.partials import summed
+from .design import Design
+from .logit import fit_all
 from .spec import ModelSpec
 from .stats import chi2_sf, normal_two_sided_p
 
-_DISCRETE = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-
-
-BRENT_EVALUATIONS = 40
-SIMPLEX_EVALUATIONS = 60  # a search that uses them all is reported as not converged
-LARGEST_LOG_SIGMA = 6.0  # a larger optimum is reported as not converged
+STEPS = 40  # a fit that uses them all is reported as not converged
+GRID = (0.0, 0.1, 0.25, 0.6, 1.5, 4.0)  # where the search for each sigma begins
+SMALL_SIGMA = 0.02  # below, zero is tried
+LARGEST_SIGMA = 50.0  # a larger optimum is reported as not converged
+MODE_STEP = 1e-8  # largest change of a group effect when its mode is found
+GAIN = 1e-9  # of the deviance that another step could give when the search ends
+POINT_CELLS = 2_000_000  # cells of a pass: more points than fit are worked on in turn
 
 
 @dataclass
@@ -46,11 +47,11 @@ class GlmmFit:
     sigma: np.ndarray
     groups: list[str]
     levels: list[list[str]]
-    u: list[np.ndarray]
+    u: list[np.ndarray]  # effects of the levels: sigma times the mode
     deviance: float
     n: int
-    evaluations: int
-    converged: bool  # the search for sigma ended by its tolerance, inside its range
+    evaluations: int  # passes over the rows
+    converged: bool  # the search ended by its criterion, inside its range
     singular: bool  # some sigma is 0
 
     @property
@@ -70,292 +71,328 @@ class GlmmFit:
         return self.deviance + self.npar * math.log(self.n)
 
 
-def _pass_fn(p: int, sizes: list[int], beta: np.ndarray, sigma: np.ndarray, u: list[np.ndarray]):
-    q = sum(sizes)
-    dim = p + q
-
-    def run(batches):
-        for pdf in batches:
-            n = len(pdf)
-            x = np.ones((n, p))
-            if p > 1:
-                x[:, 1:] = np.stack(pdf["x"].to_numpy())
-            y = pdf["y"].to_numpy(dtype=float)
-            trials = pdf["w"].to_numpy(dtype=float)
-            xt = np.zeros((n, dim))
-            xt[:, :p] = x
-            eta = x @ beta
-            off = p
-            for r, size in enumerate(sizes):
-                g = pdf[f"g{r}"].to_numpy(dtype=int)
-                eta = eta + sigma[r] * u[r][g]
-                xt[np.arange(n), off + g] = sigma[r]
-                off += size
-            mu = 1.0 / (1.0 + np.exp(-eta))
-            w = trials * mu * (1.0 - mu)
-            ll = float(np.sum(y * eta - trials * np.logaddexp(0.0, eta)))
-            gram = xt.T @ (xt * w[:, None])
-            grad = xt.T @ (y - trials * mu)
-            yield pd.DataFrame({"ll": [ll], "gram": [gram.ravel()], "grad": [grad]})
-
-    return run
+class Blocks:
+    """H of one point, eliminated: ``order[0]`` is the factor with most levels, the others follow as one dense border."""
+
+    def __init__(self, sigma: np.ndarray, weight: list[np.ndarray], cross: dict[tuple[int, int], np.ndarray], order: list[int]):
+        self.order, self.sizes = order, [len(weight[r]) for r in order]
+        self.a = 1.0 + sigma[order[0]] ** 2 * weight[order[0]]
+        self.logdet = float(np.sum(np.log(self.a)))
+        rest = order[1:]
+        if not rest:
+            return
+        between = lambda r, s: sigma[r] * sigma[s] * (cross[r, s] if (r, s) in cross else cross[s, r].T)
+        b = np.block([[np.diag(1.0 + sigma[r] ** 2 * weight[r]) if r == s else between(r, s) for s in rest] for r in rest])
+        self.c = np.hstack([between(order[0], s) for s in rest])
+        self.ca = self.c / self.a[:, None]
+        schur = b - self.c.T @ self.ca
+        self.inverse = np.linalg.inv(schur)
+        self.logdet += float(np.linalg.slogdet(schur)[1])
+
+    def _split(self, whole: np.ndarray) -> list[np.ndarray]:
+        return np.split(whole, np.cumsum(self.sizes[1:])[:-1])
+
+    def solve(self, rhs: list[np.ndarray]) -> list[np.ndarray]:
+        out: list = [None] * len(self.order)
+        top = rhs[self.order[0]]
+        if len(self.order) == 1:
+            return [top / self.a]
+        low = self.inverse @ (np.concatenate([rhs[r] for r in self.order[1:]]) - self.ca.T @ top)
+        out[self.order[0]] = (top - self.c @ low) / self.a
+        for r, part in zip(self.order[1:], self._split(low), strict=True):
+            out[r] = part
+        return out
+
+    def inverse_entries(self) -> tuple[list[np.ndarray], dict[tuple[int, int], np.ndarray]]:
+        """Diagonal of the inverse per factor, and its blocks between factors."""
+        diagonal: list = [None] * len(self.order)
+        if len(self.order) == 1:
+            return [1.0 / self.a], {}
+        top, rest = self.order[0], self.order[1:]
+        m = self.ca @ self.inverse
+        diagonal[top] = 1.0 / self.a + np.sum(m * self.ca, 1)
+        ends = np.cumsum([0, *self.sizes[1:]])
+        off = {}
+        for i, r in enumerate(rest):
+            cut = slice(ends[i], ends[i + 1])
+            diagonal[r] = np.diagonal(self.inverse)[cut].copy()
+            off[top, r] = -m[:, cut]
+            for j in range(i + 1, len(rest)):
+                off[r, rest[j]] = self.inverse[cut, ends[j] : ends[j + 1]]
+        return diagonal, {(min(r, s), max(r, s)): x if r < s else x.T for (r, s), x in off.items()}
+
+
+@dataclass
+class Points:
+    """Parameters of K points and the modes of their group effects, with what a pass found there."""
+
+    beta: np.ndarray  # K x p
+    sigma: np.ndarray  # K x R
+    u: list[np.ndarray]  # per factor K x levels
+    deviance: np.ndarray | None = None
+    blocks: list[Blocks] | None = None
+
+    def cut(self, rows) -> Points:
+        return Points(self.beta[rows], self.sigma[rows], [u[rows] for u in self.u])
 
 
 class GlmmData:
-    """Cached design: fixed-effect array, response, group indices."""
+    """Encoded rows, the fixed part of the design (without aliased columns) and a first fit without group effects."""
 
     def __init__(self, df: DataFrame, spec: ModelSpec):
         if not spec.random:
             raise ValueError("a mixed model needs at least one random intercept")
-        data = df.select(*spec.variables).dropna("any")
-        # All-discrete fixed terms: collapse to (fixed cell x groups) with
-        # trials and successes; PIRLS passes then run over the cell table.
-        self.grouped = all(isinstance(data.schema[t].dataType, _DISCRETE) for t in spec.terms)
-        if self.grouped:
-            keys = list(dict.fromkeys([*spec.terms, *spec.random]))
-            data = data.groupBy(*keys).agg(F.sum(F.col(spec.response).cast("double")).alias(spec.response), F.count(F.lit(1)).cast("double").alias("__w"))
-        else:
-            data = data.withColumn("__w", F.lit(1.0))
-        data = data.persist()
-        try:
-            cols = []
-            self.levels: list[list[str]] = []
-            frame = data
-            for r, g in enumerate(spec.random):
-                idx = StringIndexer(inputCol=g, outputCol=f"g{r}", stringOrderType="alphabetAsc").fit(frame.withColumn(g, F.col(g).cast("string")))
-                self.levels.append(list(idx.labels))
-                frame = idx.transform(frame.withColumn(g, F.col(g).cast("string")))
-                cols.append(F.col(f"g{r}").cast("int").alias(f"g{r}"))
-            self.names = ["(Intercept)"]
-            if spec.terms:
-                rf = RFormula(formula=spec.formula(), featuresCol="features", labelCol="label", stringIndexerOrderType="alphabetDesc")
-                frame = rf.fit(frame).transform(frame)
-                meta = frame.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
-                attrs = sorted((a for grp in meta.values() for a in grp), key=lambda a: a["idx"])
-                strings = {t for t in spec.terms if isinstance(data.schema[t].dataType, T.StringType)}
-                for a in attrs:
-                    nm = a["name"]
-                    for t in sorted(strings, key=len, reverse=True):
-                        if nm.startswith(t + "_"):
-                            nm = t + nm[len(t) + 1:]
-                            break
-                    self.names.append(nm)
-                cols.insert(0, vector_to_array("features").alias("x"))
-            cols.insert(0, F.col("__w").alias("w"))
-            cols.insert(0, F.col(spec.response).cast("double").alias("y"))
-            width = 8 * (len(self.names) + 2 + len(spec.random)) + 16
-            self.frame = reliable_cache(frame.select(*cols), row_bytes=width)
-            self.n = int(round(self.frame.agg(F.sum("w")).first()[0]))
-        finally:
-            data.unpersist()
         self.spec = spec
-        self.p = len(self.names)
-        self.sizes = [len(lv) for lv in self.levels]
-
-    def pass_(self, beta, sigma, u):
-        schema = "ll double, gram array<double>, grad array<double>"
-        parts = self.frame.mapInPandas(_pass_fn(self.p, self.sizes, beta, sigma, u), schema).collect()
-        dim = self.p + sum(self.sizes)
-        ll = sum(r["ll"] for r in parts)
-        gram = np.sum([np.asarray(r["gram"]) for r in parts], axis=0).reshape(dim, dim)
-        grad = np.sum([np.asarray(r["grad"]) for r in parts], axis=0)
-        return ll, gram, grad
-
-    def close(self):
-        self.frame.unpersist()
-
-
-def _split(vec: np.ndarray, p: int, sizes: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
-    out, off = [], p
-    for s in sizes:
-        out.append(vec[off: off + s])
-        off += s
-    return vec[:p], out
-
-
-def pirls(d: GlmmData, sigma: np.ndarray, start: np.ndarray | None = None, tol: float = 1e-8, max_iter: int = 50):
-    """Joint mode of (beta, u) for fixed sigma; returns (theta, deviance, H)."""
-    q = sum(d.sizes)
-    dim = d.p + q
-    theta = np.zeros(dim) if start is None else start.copy()
-    pen = np.concatenate([np.zeros(d.p), np.ones(q)])
-    beta, u = _split(theta, d.p, d.sizes)
-    ll, gram, grad = d.pass_(beta, sigma, u)
-    obj = ll - 0.5 * np.sum(theta[d.p:] ** 2)
-    for _ in range(max_iter):
-        h = gram + np.diag(pen)
-        g = grad - pen * theta
-        step = np.linalg.solve(h, g)
-        t = 1.0
-        while True:
-            cand = theta + t * step
-            b2, u2 = _split(cand, d.p, d.sizes)
-            ll2, gram2, grad2 = d.pass_(b2, sigma, u2)
-            obj2 = ll2 - 0.5 * np.sum(cand[d.p:] ** 2)
-            if obj2 >= obj - 1e-10 or t < 1e-4:
+        self.design = Design(df, spec.response, spec.terms, groups=spec.random)
+        self.grouped = self.design.collapsed
+        self.plain = fit_all(self.design, {"m": ModelSpec(spec.response, spec.terms)})[0]
+        self.used = self.plain.used
+        self.names = [self.design.columns[j][1] for j in self.used]
+        self.levels = [self.design.levels[g] for g in spec.random]
+        self.sizes = [len(v) for v in self.levels]
+        self.order = sorted(range(len(self.sizes)), key=lambda r: -self.sizes[r])
+        self.pairs = list(itertools.combinations(range(len(self.sizes)), 2))
+        self.n, self.p, self.passes = self.design.n, len(self.used), 0
+
+    def close(self) -> None:
+        self.design.close()
+
+    def _sums(self, points: Points, size: int, at_row) -> np.ndarray:
+        """``at_row(x, y, w, groups, k rows of eta, add)`` adds the sums of a block; ``size`` cells a point."""
+        blocks, used = self.design.reader(), np.array(self.used)
+        beta, sigma, u = points.beta, points.sigma, points.u
+        k = len(beta)
+
+        def add(batch, total):
+            cells = total.reshape(k, size)
+            for x, y, w, groups, _ in blocks(batch):
+                z = x[:, used]
+                eta = z @ beta.T
+                for r, g in enumerate(groups):
+                    eta += sigma[:, r] * u[r][:, g].T
+                mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
+                at_row(cells, z, y[:, None], w[:, None], groups, eta, mu)
+
+        self.passes += 1
+        return summed(self.design.frame, k * size, add).reshape(k, size)
+
+    def _each(self, points: Points, size: int, work) -> list:
+        """``work(some points)`` over all points, as many at a time as ``POINT_CELLS`` allows."""
+        step = max(1, POINT_CELLS // size)
+        return [work(points.cut(slice(i, i + step)), slice(i, i + step)) for i in range(0, len(points.beta), step)]
+
+    def _level_sums(self, points: Points):
+        """Log-likelihood, and residuals and weights added up by level and weights by pair of levels, for each point."""
+        sizes, pairs = self.sizes, self.pairs
+        at = np.cumsum([1, *sizes, *sizes, *[sizes[r] * sizes[s] for r, s in pairs]])
+        m = len(sizes)
+
+        def at_row(cells, z, y, w, groups, eta, mu):
+            weight, residual = w * mu * (1.0 - mu), y - w * mu
+            cells[:, 0] += np.sum(y * eta - w * np.logaddexp(0.0, eta), 0)
+            for r, g in enumerate(groups):
+                _add_by(cells, at[r], g, residual)
+                _add_by(cells, at[m + r], g, weight)
+            for i, (r, s) in enumerate(pairs):
+                _add_by(cells, at[2 * m + i], groups[r].astype(np.int64) * sizes[s] + groups[s], weight)
+
+        parts = self._each(points, int(at[-1]), lambda some, _: self._sums(some, int(at[-1]), at_row))
+        cells = np.vstack(parts)
+        cut = lambda i, n: cells[:, at[i] : at[i] + n]
+        residual = [cut(r, sizes[r]) for r in range(m)]
+        weight = [cut(m + r, sizes[r]) for r in range(m)]
+        cross = [{p: cut(2 * m + i, sizes[p[0]] * sizes[p[1]])[k].reshape(sizes[p[0]], sizes[p[1]]) for i, p in enumerate(pairs)} for k in range(len(cells))]
+        return cells[:, 0], residual, weight, cross
+
+    def at_modes(self, points: Points, limit: int = 60) -> Points:
+        """Move the group effects of all points to their modes (Newton) and set their deviances."""
+        k, last, old = len(points.beta), np.full(len(points.beta), -np.inf), [u.copy() for u in points.u]
+        for _ in range(limit):
+            ll, residual, weight, cross = self._level_sums(points)
+            value = ll - sum(np.sum(u * u, 1) for u in points.u) / 2
+            worse = value < last - 1e-9 * (1 + np.abs(last))
+            blocks = [Blocks(points.sigma[i], [w[i] for w in weight], cross[i], self.order) for i in range(k)]
+            largest = 0.0
+            for i in range(k):
+                if worse[i]:
+                    for r, u in enumerate(points.u):
+                        u[i] = (u[i] + old[r][i]) / 2
+                    largest = np.inf
+                    continue
+                last[i] = value[i]
+                step = blocks[i].solve([points.sigma[i, r] * residual[r][i] - points.u[r][i] for r in range(len(self.sizes))])
+                size = max(float(np.abs(x).max(initial=0.0)) for x in step)
+                largest = max(largest, size)
+                if size >= MODE_STEP:
+                    for r, u in enumerate(points.u):
+                        old[r][i] = u[i]
+                        u[i] = u[i] + step[r]
+            if largest < MODE_STEP:
                 break
-            t /= 2
-        theta, ll, gram, grad, done = cand, ll2, gram2, grad2, np.max(np.abs(t * step)) < tol
-        obj = obj2
-        if done:
-            break
-    h = gram + np.diag(pen)
-    huu = h[d.p:, d.p:]
-    sign, logdet = np.linalg.slogdet(huu)
-    dev = -2 * ll + np.sum(theta[d.p:] ** 2) + logdet
-    return theta, float(dev), h
-
-
-def _nelder_mead(f, x0: np.ndarray, step: float = 0.5, tol: float = 1e-6, max_eval: int = 200):
-    n = len(x0)
-    pts = [x0] + [x0 + step * np.eye(n)[i] for i in range(n)]
-    vals = [f(p) for p in pts]
-    evals = len(pts)
-    while evals < max_eval:
-        order = np.argsort(vals)
-        pts = [pts[i] for i in order]
-        vals = [vals[i] for i in order]
-        if abs(vals[-1] - vals[0]) < tol:
-            break
-        c = np.mean(pts[:-1], axis=0)
-        xr = c + (c - pts[-1])
-        fr = f(xr)
-        evals += 1
-        if fr < vals[0]:
-            xe = c + 2 * (c - pts[-1])
-            fe = f(xe)
-            evals += 1
-            pts[-1], vals[-1] = (xe, fe) if fe < fr else (xr, fr)
-        elif fr < vals[-2]:
-            pts[-1], vals[-1] = xr, fr
-        else:
-            xc = c + 0.5 * (pts[-1] - c)
-            fc = f(xc)
-            evals += 1
-            if fc < vals[-1]:
-                pts[-1], vals[-1] = xc, fc
-            else:
-                for i in range(1, len(pts)):
-                    pts[i] = pts[0] + 0.5 * (pts[i] - pts[0])
-                    vals[i] = f(pts[i])
-                    evals += 1
-    i = int(np.argmin(vals))
-    return pts[i], vals[i], evals
-
-
-def _brent(f, lo: float, hi: float, tol: float = 1e-3, max_eval: int = BRENT_EVALUATIONS):
-    """Brent's minimiser on [lo, hi]: parabolic steps with a golden-section fallback."""
-    cgold = 0.3819660112501051
-    a, b = lo, hi
-    x = w = v = a + cgold * (b - a)
-    fx = fw = fv = f(x)
-    evals, d, e = 1, 0.0, 0.0
-    while evals < max_eval:
-        m = 0.5 * (a + b)
-        tol1 = tol * abs(x) + 1e-10
-        if abs(x - m) <= 2 * tol1 - 0.5 * (b - a):
-            break
-        use_golden = True
-        if abs(e) > tol1:
-            r = (x - w) * (fx - fv)
-            q = (x - v) * (fx - fw)
-            p = (x - v) * q - (x - w) * r
-            q = 2 * (q - r)
-            if q > 0:
-                p = -p
-            q = abs(q)
-            if abs(p) < abs(0.5 * q * e) and a * q < p + x * q - 0 and p < q * (b - x):
-                e, d = d, p / q
-                use_golden = False
-                if (x + d) - a < 2 * tol1 or b - (x + d) < 2 * tol1:
-                    d = tol1 if m >= x else -tol1
-        if use_golden:
-            e = (a - x) if x >= m else (b - x)
-            d = cgold * e
-        u = x + (d if abs(d) >= tol1 else (tol1 if d > 0 else -tol1))
-        fu = f(u)
-        evals += 1
-        if fu <= fx:
-            if u >= x:
-                a = x
-            else:
-                b = x
-            v, fv, w, fw, x, fx = w, fw, x, fx, u, fu
-        else:
-            if u < x:
-                a = u
-            else:
-                b = u
-            if fu <= fw or w == x:
-                v, fv, w, fw = w, fw, u, fu
-            elif fu <= fv or v == x or v == w:
-                v, fv = u, fu
-    return x, fx, evals
-
-
-def fit_glmm(df: DataFrame, spec: ModelSpec, log_sigma_range: tuple[float, float] = (-4.0, 2.0)) -> GlmmFit:
-    """Random-intercept logistic model.
-
-    One random factor: Brent search of the Laplace deviance over
-    log sigma, whose upper end moves up while the optimum lies at it; crossed
-    factors: Nelder-Mead. A sigma whose deviance does not rise when it is set to 0
-    is 0 (``singular``). Inner PIRLS runs warm-started with a loose tolerance
-    during the search and is polished at the optimum.
+        points.blocks = blocks
+        points.deviance = -2 * value + np.array([b.logdet for b in blocks])
+        return points
+
+    def gradients(self, points: Points) -> np.ndarray:
+        """Gradient of the deviance over (beta, sigma) at points whose effects are at their modes."""
+        sizes, pairs, p, m = self.sizes, self.pairs, self.p, len(self.sizes)
+        entries = [b.inverse_entries() for b in points.blocks]
+        at = np.cumsum([0, *sizes])
+
+        def inverse(some):
+            chosen = entries[some]
+            diagonal = [np.stack([e[0][r] for e in chosen]) for r in range(m)]
+            return diagonal, {q: np.stack([e[1][q] for e in chosen]) for q in pairs}
+
+        def leverage(sigma, diagonal, off, groups):
+            """z' H^-1 e_r for each factor r, rows by points."""
+            out = [sigma[:, r] * diagonal[r][:, g].T for r, g in enumerate(groups)]
+            for r, s in pairs:
+                both = off[r, s][:, groups[r], groups[s]].T
+                out[r] = out[r] + sigma[:, s] * both
+                out[s] = out[s] + sigma[:, r] * both
+            return out
+
+        def curvature(some, rows):
+            diagonal, off = inverse(rows)
+            sigma = some.sigma
+
+            def at_row(cells, z, y, w, groups, eta, mu):
+                h = sum(sigma[:, r] * x for r, x in enumerate(leverage(sigma, diagonal, off, groups)))
+                c = w * mu * (1.0 - mu) * (1.0 - 2.0 * mu) * h
+                for r, g in enumerate(groups):
+                    _add_by(cells, at[r], g, c)
+
+            return self._sums(some, int(at[-1]), at_row)
+
+        by_level = np.vstack(self._each(points, int(at[-1]), curvature))
+        v = [points.blocks[i].solve([points.sigma[i, r] * by_level[i, at[r] : at[r + 1]] for r in range(m)]) for i in range(len(by_level))]
+
+        def final(some, rows):
+            diagonal, off = inverse(rows)
+            sigma, u = some.sigma, some.u
+            vs = [np.stack([x[r] for x in v[rows]]) for r in range(m)]
+
+            def at_row(cells, z, y, w, groups, eta, mu):
+                weight, residual = w * mu * (1.0 - mu), y - w * mu
+                reach = leverage(sigma, diagonal, off, groups)
+                c = weight * (1.0 - 2.0 * mu) * sum(sigma[:, r] * x for r, x in enumerate(reach))
+                zv = sum(sigma[:, r] * vs[r][:, g].T for r, g in enumerate(groups))
+                cells[:, :p] += (c - weight * zv - 2.0 * residual).T @ z
+                for r, g in enumerate(groups):
+                    ur = u[r][:, g].T
+                    cells[:, p + r] += np.sum((c - weight * zv - 2.0 * residual) * ur + 2.0 * weight * reach[r] + vs[r][:, g].T * residual, 0)
+
+            return self._sums(some, p + m, at_row)
+
+        return np.vstack(self._each(points, max(p + m, int(at[-1])), final))
+
+    def points(self, beta: np.ndarray, sigma: np.ndarray, u: list[np.ndarray] | None = None) -> Points:
+        beta, sigma = np.atleast_2d(beta).astype(float), np.atleast_2d(sigma).astype(float)
+        k = len(beta)
+        return Points(beta, sigma, [np.zeros((k, n)) if u is None else np.tile(u[r], (k, 1)) for r, n in enumerate(self.sizes)])
+
+    def deviance_at(self, beta: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+        """Laplace deviance of each point."""
+        return self.at_modes(self.points(beta, sigma)).deviance
+
+
+def _add_by(cells: np.ndarray, first: int, code: np.ndarray, values: np.ndarray) -> None:
+    """Add the rows of ``values`` (rows x points) into the cells ``first + code`` of each point."""
+    order = np.argsort(code, kind="stable")
+    found, start = np.unique(code[order], return_index=True)
+    cells[:, first + found] += np.add.reduceat(values[order], start, axis=0).T
+
+
+def _start(d: GlmmData) -> tuple[np.ndarray, np.ndarray]:
+    beta = d.plain.beta[d.used]
+    grid = np.array(list(itertools.product(GRID, repeat=len(d.sizes))))
+    dev = d.deviance_at(np.tile(beta, (len(grid), 1)), grid)
+    return beta, np.maximum(grid[int(np.argmin(dev))], 0.05)
+
+
+def fit_glmm(df: DataFrame, spec: ModelSpec) -> GlmmFit:
+    """Random-intercept logistic model (M9, M10): the joint minimum of the Laplace deviance over (beta, sigma).
+
+    A sigma that falls to 0, where the deviance is not larger, stays 0 (``singular``).
     """
     d = GlmmData(df, spec)
     try:
-        cache: dict = {"theta": None}
-
-        def at(sigma):
-            # the deviance is stationary at the mode: a 1e-4 step tolerance
-            # perturbs it by ~1e-8, plenty for the search; the optimum is
-            # polished to 1e-10 below
-            theta, dv, _ = pirls(d, sigma, cache["theta"], tol=1e-4)
-            cache["theta"] = theta
-            return dv
-
-        def dev(logsig):
-            return at(np.exp(np.atleast_1d(np.asarray(logsig, dtype=float))))
-
-        if len(spec.random) == 1:
-            lo, hi = log_sigma_range
-            best, low, evals = _brent(dev, lo, hi)
-            converged = evals < BRENT_EVALUATIONS
-            while hi - best < 0.1 and hi < LARGEST_LOG_SIGMA:
-                lo, hi = hi - 1, hi + 2
-                best, low, more = _brent(dev, lo, hi)
-                evals, converged = evals + more, more < BRENT_EVALUATIONS
-            converged = converged and hi - best >= 0.1
-            best = np.array([best])
-        else:
-            best, low, evals = _nelder_mead(dev, np.zeros(len(spec.random)), tol=1e-4, max_eval=SIMPLEX_EVALUATIONS)
-            converged = evals < SIMPLEX_EVALUATIONS
-        sigma = np.exp(best)
-        for k in np.argsort(sigma):
-            without = sigma.copy()
-            without[k] = 0.0
-            evals += 1
-            if (dv := at(without)) <= low + 1e-6:
-                sigma, low = without, min(low, dv)
-        theta, dv, h = pirls(d, sigma, cache["theta"], tol=1e-10)
-        cov = np.linalg.inv(h)
-        beta, u = _split(theta, d.p, d.sizes)
-        se = np.sqrt(np.diag(cov)[: d.p])
-        return GlmmFit(spec, d.names, beta, se, sigma, list(spec.random), d.levels, [s_ * x for s_, x in zip(sigma, u)], dv, d.n, evals, bool(converged), bool((sigma == 0).any()))
+        beta, sigma = _start(d)
+        m, p, u = len(sigma), d.p, None
+        scale = np.sqrt(np.maximum(np.diagonal(d.plain.covariance), 1e-12))
+        free = [True] * m
+        before, best = None, math.inf
+        converged, cov = False, np.full((p, p), np.nan)
+        for _ in range(STEPS):
+            live = [r for r in range(m) if free[r]]
+            x = np.concatenate([beta, sigma[live]])
+            h = np.concatenate([0.02 * scale, 0.02 * np.maximum(sigma[live], 0.05)])
+            moves = np.vstack([np.zeros(len(x)), np.diag(h), -np.diag(h)])
+            sigmas = np.tile(sigma, (len(moves), 1))
+            sigmas[:, live] += moves[:, p:]
+            points = d.at_modes(d.points(beta + moves[:, :p], sigmas, u))
+            u = [x[0].copy() for x in points.u]
+            if points.deviance[0] > best + 1e-9 and before is not None:  # the step went too far
+                beta, sigma = (beta + before[0]) / 2, (sigma + before[1]) / 2
+                continue
+            best, before = float(points.deviance[0]), (beta.copy(), sigma.copy())
+            g = d.gradients(points)[:, [*range(p), *[p + r for r in live]]]
+            k = len(x)
+            hessian = (g[1 : k + 1] - g[k + 1 :]) / (2 * h[:, None])
+            hessian = (hessian + hessian.T) / 2
+            values, vectors = np.linalg.eigh(hessian)
+            bent = np.maximum(np.abs(values), 1e-8 * np.abs(values).max())
+            step = -vectors @ ((vectors.T @ g[0]) / bent)
+            gain = -float(g[0] @ step) / 2
+            if values.min() > 0:
+                cov = 2 * np.linalg.inv(hessian)[:p, :p]
+            if gain < GAIN and values.min() > 0:
+                beta = beta + step[:p]
+                sigma[live] = np.maximum(sigma[live] + step[p:], 0.0)
+                converged = bool(sigma.max() < LARGEST_SIGMA)
+                break
+            beta = beta + step[:p]
+            for i, r in enumerate(live):
+                new = sigma[r] + step[p + i]
+                if new < SMALL_SIGMA:
+                    tried = np.tile(sigma, (2, 1))
+                    tried[:, r] = 0.0, max(sigma[r] / 4, SMALL_SIGMA / 4)
+                    dev = d.at_modes(d.points(np.tile(beta, (2, 1)), tried, u)).deviance
+                    new = tried[int(dev[1] < dev[0] - 1e-9), r]
+                    free[r] = bool(new > 0)
+                    before, best = None, math.inf
+                sigma[r] = min(new, 4 * max(sigma[r], 0.25))
+        last = d.at_modes(d.points(beta, sigma, u))
+        effects = [sigma[r] * last.u[r][0] for r in range(m)]
+        with np.errstate(invalid="ignore"):
+            se = np.sqrt(np.diagonal(cov))
+        return GlmmFit(spec, d.names, beta, se, sigma, list(spec.random), d.levels, effects, float(last.deviance[0]), d.n, d.passes, converged, bool((sigma == 0).any()))
     finally:
         d.close()
 
 
+def conditional_modes(df: DataFrame, spec: ModelSpec, beta: Mapping[str, float], sigma: Sequence[float]) -> tuple[list[tuple[str, str, float]], float]:
+    """(factor, level, effect) of every level at given parameters (by coefficient name; others 0), and the Laplace deviance there."""
+    d = GlmmData(df, spec)
+    try:
+        at = d.at_modes(d.points(np.array([beta.get(n, 0.0) for n in d.names]), np.array(sigma)))
+        rows = [(g, level, float(sigma[r] * at.u[r][0, i])) for r, g in enumerate(spec.random) for i, level in enumerate(d.levels[r])]
+        return rows, float(at.deviance[0])
+    finally:
+        d.close()
+
+
+def random_table(spark: SparkSession, fit: GlmmFit) -> DataFrame:
+    """Effect of every level of every random factor."""
+    rows = [(g, level, float(e)) for g, levels, u in zip(fit.groups, fit.levels, fit.u, strict=True) for level, e in zip(levels, u, strict=True)]
+    return spark.createDataFrame(rows, "group string, level string, effect double")
+
+
 def fixed_table(spark: SparkSession, fit: GlmmFit, model: str | None = None) -> DataFrame:
     """Fixed effects with Wald z and p."""
-    def order(t: str):
-        if t == "(Intercept)":
-            return (-1, t)
-        hits = [k for k, term in enumerate(fit.spec.terms) if t == term or t.startswith(term)]
-        return (min(hits) if hits else len(fit.spec.terms), t)
-
     rows = []
-    for t, b, s in sorted(zip(fit.terms, fit.beta, fit.se), key=lambda r: order(r[0])):
+    for t, b, s in zip(fit.terms, fit.beta, fit.se, strict=True):
         z = b / s
         r = {"term": t, "estimate": float(b), "std_error": float(s), "statistic": float(z), "p_value": normal_two_sided_p(z)}
         rows.append({"model": model, **r} if model else r)

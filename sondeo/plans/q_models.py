@@ -264,11 +264,37 @@ def irt_score_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round6(kde(_irt_scores(spark, sf_dir), "score", ["scale"], limits=(-4.0, 4.0), bin_width=1e-3))
 
 
-# --------------------------------------------------------------------- mixed models (rows-only checks)
+# --------------------------------------------------------------------- mixed models
 
 from ..models import glmm  # noqa: E402
 
-MIXED_SPEC = ModelSpec("status", BASE_TERMS).to_random("estado")
+MIXED_SPEC = BASE.to_random("estado")
+MODE_BETA, MODE_SIGMA = -0.5, 0.8  # fixed parameters of the checked conditional modes
+
+# Newton's method for the mode of each region's effect, 40 steps of a recursion; then the Laplace deviance at the modes.
+_MODES_SQL = f"""WITH RECURSIVE {ADOL_SQL},
+g AS (SELECT estado, CAST(count(*) AS DOUBLE) AS n, CAST(sum(status) AS DOUBLE) AS s FROM adol WHERE estado IS NOT NULL GROUP BY estado),
+it(k, estado, n, s, u) AS (SELECT 0, estado, n, s, CAST(0 AS DOUBLE) FROM g
+  UNION ALL SELECT k + 1, estado, n, s,
+    u + ({MODE_SIGMA} * (s - n / (1 + exp(-({MODE_BETA} + {MODE_SIGMA} * u)))) - u)
+        / (1 + {MODE_SIGMA} * {MODE_SIGMA} * n / (1 + exp(-({MODE_BETA} + {MODE_SIGMA} * u))) / (1 + exp({MODE_BETA} + {MODE_SIGMA} * u))) FROM it WHERE k < 40),
+m AS (SELECT estado, n, s, u, {MODE_BETA} + {MODE_SIGMA} * u AS eta FROM it WHERE k = 40)"""
+
+
+@register("glmm_group_modes", f"""{_MODES_SQL}
+SELECT estado, round({MODE_SIGMA} * u, 6) AS effect FROM m""")
+def glmm_group_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditional modes of the region effects at fixed parameters (M9)."""
+    rows, _ = glmm.conditional_modes(attrition.adolescents(spark, sf_dir), ModelSpec("status", (), ("estado",)), {"(Intercept)": MODE_BETA}, [MODE_SIGMA])
+    return round6(spark.createDataFrame([r[1:] for r in rows], "estado string, effect double"))
+
+
+@register("glmm_laplace_deviance", f"""{_MODES_SQL}
+SELECT round(sum(-2 * (s * eta - n * ln(1 + exp(eta))) + u * u + ln(1 + {MODE_SIGMA} * {MODE_SIGMA} * n / (1 + exp(-eta)) / (1 + exp(eta)))), 4) AS deviance FROM m""")
+def glmm_laplace_deviance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laplace deviance at fixed parameters."""
+    _, dev = glmm.conditional_modes(attrition.adolescents(spark, sf_dir), ModelSpec("status", (), ("estado",)), {"(Intercept)": MODE_BETA}, [MODE_SIGMA])
+    return spark.createDataFrame([(dev,)], "deviance double").select(F.round("deviance", 4).alias("deviance"))
 
 
 @register("glmm_fixed")
@@ -277,24 +303,25 @@ def glmm_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round6(glmm.fixed_table(spark, glmm.fit_glmm(model_frame(spark, sf_dir), MIXED_SPEC)))
 
 
+@register("glmm_random")
+def glmm_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random intercepts for state and period on the pooled waves: the effect of every level."""
+    return round6(glmm.random_table(spark, glmm.fit_glmm(attrition.pooled_waves(spark, sf_dir), MIXED_SPEC.add_random("periodo"))))
+
+
 @register("glmm_variance")
 def glmm_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variance components, log-likelihood, AIC, BIC of the state random-intercept model;
     pooled waves add a crossed period intercept (M9-M11, M13)."""
-    a = model_frame(spark, sf_dir).withColumnRenamed("wave", "periodo")
-    one = glmm.fit_glmm(a, MIXED_SPEC)
-    two = glmm.fit_glmm(a, MIXED_SPEC.add_random("periodo"))
-    from ..operators.reshape import union_by_name
-
-    return round6(union_by_name([glmm.variance_table(spark, one, "state"), glmm.variance_table(spark, two, "state_period")]))
+    one = glmm.fit_glmm(model_frame(spark, sf_dir), MIXED_SPEC)
+    two = glmm.fit_glmm(attrition.pooled_waves(spark, sf_dir), MIXED_SPEC.add_random("periodo"))
+    return round6(glmm.variance_table(spark, one, "state").unionByName(glmm.variance_table(spark, two, "state_period")))
 
 
 @register("glmm_compare")
 def glmm_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likelihood-ratio comparison of nested mixed models on common rows."""
-    base = ModelSpec("status", ("sexo", "edad_c12", "socioeco", "liderazgo", "empatia"), ("estado",))
-    specs = {"base": base, "with_360": base.add_terms("liderazgo_360", "empatia_360"),
-             "global": base.add_terms("liderazgo_360", "empatia_360", "liderazgo_mentor", "empatia_mentor")}
+    """Likelihood-ratio comparison of the four mixed models on common rows."""
+    specs = {k: s.to_random("estado") for k, s in family().items()}
     data = glmm.common_rows(linked_model_frame(spark, sf_dir), list(specs.values())).persist()
     try:
         fits = {k: glmm.fit_glmm(data, s) for k, s in specs.items()}
