@@ -33,7 +33,6 @@ from __future__ import annotations
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -439,8 +438,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     return _classed_rows(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: set_fingerprint(shingle_set(t))).astype("int64")
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array([set_fingerprint(shingle_set(t)) for t in texts.to_pylist()], pa.int64())
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
@@ -455,6 +454,6 @@ def keep_one_per_component(docs: DataFrame) -> DataFrame:
     wide = docs.select(row, docs["doc_id"].cast("long").alias("_id"))
     kept = wide.join(ids.select("_id"), "_id", "left_anti").select("_row")
     gone = rows.where(smaller).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).join(several, "_id").distinct()
-    fingerprint = F.pandas_udf(_fingerprints, "long")(F.col("_row.text").cast("string"))
+    fingerprint = F.arrow_udf(_fingerprints, "long")(F.col("_row.text").cast("string"))
     split = wide.join(several, "_id").withColumn("_fp", fingerprint).join(gone, ["_id", "_fp"], "left_anti").select("_row")
     return kept.unionByName(split).select("_row.*")
