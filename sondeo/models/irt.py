@@ -3,27 +3,29 @@
 P(X = k | theta) is proportional to exp(sum_{v<=k} a (theta - b_v)), k = 0..m-1,
 theta ~ N(0, 1) on a fixed quadrature grid (Bock & Aitkin EM; Muraki 1992).
 
-Execution: responses are collapsed to distinct patterns with counts (one
-aggregate; at most (m+1)^k rows whatever the number of respondents) and
-cached. Each EM cycle is one ``mapInPandas`` pass over the patterns that emits
-partial expected counts (items x categories x nodes) and the log-likelihood;
-the driver sums the partials and runs a small Newton step per item. Person
-scores (EAP) are a ``mapInPandas`` projection over the respondent rows with the
-fitted parameters shipped in the closure.
+Execution: responses are collapsed to distinct patterns with counts (one scan and one
+aggregate for all scales; at most (m+1)^k rows whatever the number of respondents) and
+cached. Each EM cycle is one pass over the patterns: expected counts (items x categories x nodes)
+and the log-likelihood are added up per task and summed by Spark, so what reaches the driver is one number per cell, however many
+patterns there are; the driver runs a small Newton step per item. Person scores (EAP) are a
+projection over the respondent rows with the fitted parameters shipped in the closure.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import col
+from ..operators.partials import summed
 from ..session import reliable_cache
 
+NODES, BOUND = 61, 6.0
+
 
 @dataclass
 class GpcmFit:
@@ -35,6 +37,8 @@ class GpcmFit:
     iterations: int
     converged: bool
     n: int
+    n_nodes: int = NODES
+    node_mass: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # (k, nodes): answers of each item by node, of the last cycle
 
     @property
     def thresholds(self) -> np.ndarray:
@@ -42,7 +46,7 @@ class GpcmFit:
         return -(np.diff(self.intercepts, axis=1)) / self.slope[:, None]
 
 
-def quadrature(n_nodes: int = 61, bound: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
+def quadrature(n_nodes: int = NODES, bound: float = BOUND) -> tuple[np.ndarray, np.ndarray]:
     nodes = np.linspace(-bound, bound, n_nodes)
     w = np.exp(-0.5 * nodes**2)
     return nodes, w / w.sum()
@@ -59,51 +63,54 @@ def _log_probs(slope: np.ndarray, d: np.ndarray, nodes: np.ndarray) -> np.ndarra
 
 def response_patterns(df: DataFrame, scales: dict[str, Sequence[str]], low: int = 1) -> DataFrame:
     """Distinct response patterns per scale (categories shifted to 0..m-1, NULL kept)
-    with counts: columns ``scale, i0..i{k-1}, n`` (shorter scales padded with NULL)."""
+    with counts: columns ``scale`` (its number), ``i0..i{k-1}``, ``n`` (shorter scales padded with NULL)."""
     kmax = max(len(v) for v in scales.values())
-    parts = []
-    for name, items in scales.items():
-        cols = [(F.col(i) - F.lit(low)).cast("int").alias(f"i{j}") for j, i in enumerate(items)]
+    rows = []
+    for number, items in enumerate(scales.values()):
+        cols = [(col(i) - F.lit(low)).cast("int").alias(f"i{j}") for j, i in enumerate(items)]
         cols += [F.lit(None).cast("int").alias(f"i{j}") for j in range(len(items), kmax)]
-        parts.append(df.select(F.lit(name).alias("scale"), *cols))
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    return stacked.groupBy("scale", *[f"i{j}" for j in range(kmax)]).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _estep_fn(logps: dict[str, np.ndarray], log_prior: np.ndarray):
-    def run(batches):
-        for pdf in batches:
-            for scale, sub in pdf.groupby("scale", sort=False):
-                logp = logps.get(scale)
-                if logp is None:
-                    continue
-                k, m, q = logp.shape
-                x = sub[[f"i{j}" for j in range(k)]].to_numpy(dtype=float)
-                cnt = sub["n"].to_numpy(dtype=float)
-                ll = np.zeros((len(sub), q))
-                for i in range(k):
-                    xi = x[:, i]
-                    ok = ~np.isnan(xi)
-                    ll[ok] += logp[i, xi[ok].astype(int), :]
-                lp = ll + log_prior[None, :]
-                mx = lp.max(axis=1, keepdims=True)
-                post = np.exp(lp - mx)
-                s = post.sum(axis=1, keepdims=True)
-                post /= s
-                loglik = float((cnt * (np.log(s[:, 0]) + mx[:, 0])).sum())
-                wpost = post * cnt[:, None]
-                r = np.zeros((k, m, q))
-                for i in range(k):
-                    xi = x[:, i]
-                    for c in range(m):
-                        sel = xi == c
-                        if sel.any():
-                            r[i, c] = wpost[sel].sum(axis=0)
-                yield pd.DataFrame({"scale": [scale], "ll": [loglik], "r": [r.ravel()]})
-
-    return run
+        rows.append(F.struct(F.lit(number).alias("scale"), *cols))
+    return df.select(F.inline(F.array(*rows))).groupBy("scale", *[f"i{j}" for j in range(kmax)]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _posterior(x: list[np.ndarray], logp: np.ndarray, log_prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior over the nodes and log-likelihood of each row of answers (NaN: not answered)."""
+    lp = np.tile(log_prior, (len(x[0]), 1))
+    for i, xi in enumerate(x):
+        ok = ~np.isnan(xi)
+        lp[ok] += logp[i, xi[ok].astype(int)]
+    top = lp.max(axis=1, keepdims=True)
+    post = np.exp(lp - top)
+    total = post.sum(axis=1, keepdims=True)
+    return post / total, (np.log(total) + top)[:, 0]
+
+
+def expected_counts(patterns: DataFrame, logps: dict[int, np.ndarray], log_prior: np.ndarray) -> dict[int, tuple[float, np.ndarray]]:
+    """Log-likelihood and expected counts (items x categories x nodes) of the scales in ``logps``, in one pass over the patterns."""
+    at, size = {}, 0
+    for s, logp in logps.items():
+        at[s] = size
+        size += 1 + logp.size
+
+    def add(batch, total):
+        scale = batch.column("scale").to_numpy(zero_copy_only=False)
+        n = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
+        for s, logp in logps.items():
+            rows = np.flatnonzero(scale == s)
+            if not len(rows):
+                continue
+            k, m, q = logp.shape
+            x = [batch.column(f"i{i}").to_numpy(zero_copy_only=False).astype(float)[rows] for i in range(k)]
+            post, ll = _posterior(x, logp, log_prior)
+            total[at[s]] += n[rows] @ ll
+            weighted = post * n[rows, None]
+            cells = total[at[s] + 1 : at[s] + 1 + logp.size].reshape(k, m, q)
+            for i in range(k):
+                for c in range(m):
+                    cells[i, c] += weighted[x[i] == c].sum(axis=0)
+
+    sums = summed(patterns, size, add)
+    return {s: (float(sums[at[s]]), sums[at[s] + 1 : at[s] + 1 + p.size].reshape(p.shape)) for s, p in logps.items()}
 
 
 def _mstep_item(r: np.ndarray, nodes: np.ndarray, a: float, d: np.ndarray, iters: int = 25) -> tuple[float, np.ndarray]:
@@ -143,14 +150,13 @@ def fit_gpcm_scales(
     scales: dict[str, Sequence[str]],
     n_categories: int = 4,
     low: int = 1,
-    n_nodes: int = 61,
+    n_nodes: int = NODES,
     tol: float = 1e-4,
     max_iter: int = 500,
 ) -> dict[str, GpcmFit]:
     """EM fits of one GPCM per scale (K6), all scales sharing each E-step pass.
 
-    Every cycle is one ``mapInPandas`` job over the cached pattern table of all
-    scales; a scale whose parameters moved less than ``tol`` is frozen, so each
+    Every cycle is one pass over the cached pattern table of all scales; a scale whose parameters moved less than ``tol`` is frozen, so each
     result equals the scale's own fit.
     """
     scales = {k: list(v) for k, v in scales.items()}
@@ -165,38 +171,30 @@ def fit_gpcm_scales(
             F.sum("n").alias("N"),
         ).collect()
         marg = {r["scale"]: r for r in marg_rows}
-        state = {}
-        for name, items in scales.items():
-            k = len(items)
-            d = np.zeros((k, m))
+        state = []
+        for number, (name, items) in enumerate(scales.items()):
+            d = np.zeros((len(items), m))
             for j, it in enumerate(items):
-                counts = np.array([marg[name][f"c{j}_{c}"] or 0 for c in range(m)], dtype=float)
+                counts = np.array([(marg[number][f"c{j}_{c}"] or 0) if number in marg else 0 for c in range(m)], dtype=float)
                 if (counts == 0).any():
                     raise ValueError(f"item {it} of scale {name} has an empty category; merge categories before fitting")
                 d[j] = np.log(counts / counts[0])
-            state[name] = {"slope": np.ones(k), "d": d, "ll": float("nan"), "it": 0, "done": False}
-        schema = "scale string, ll double, r array<double>"
+            state.append({"slope": np.ones(len(items)), "d": d, "ll": float("nan"), "it": 0, "done": False, "mass": np.zeros((len(items), n_nodes))})
         for cycle in range(1, max_iter + 1):
-            active = [s_ for s_, st in state.items() if not st["done"]]
+            active = [i for i, st in enumerate(state) if not st["done"]]
             if not active:
                 break
-            logps = {s_: _log_probs(state[s_]["slope"], state[s_]["d"], nodes) for s_ in active}
-            parts = pats.mapInPandas(_estep_fn(logps, log_prior), schema).collect()
-            for s_ in active:
-                st = state[s_]
-                k = len(scales[s_])
-                mine = [p for p in parts if p["scale"] == s_]
-                st["ll"] = sum(p["ll"] for p in mine)
-                r = np.sum([np.asarray(p["r"]) for p in mine], axis=0).reshape(k, m, n_nodes)
+            counts = expected_counts(pats, {i: _log_probs(state[i]["slope"], state[i]["d"], nodes) for i in active}, log_prior)
+            for number, (ll, r) in counts.items():
+                st = state[number]
+                st["ll"], st["mass"], st["it"] = ll, r.sum(axis=1), cycle
                 old = np.concatenate([st["slope"], st["d"].ravel()])
-                for i in range(k):
+                for i in range(len(r)):
                     st["slope"][i], st["d"][i] = _mstep_item(r[i], nodes, st["slope"][i], st["d"][i])
-                st["it"] = cycle
-                if np.max(np.abs(np.concatenate([st["slope"], st["d"].ravel()]) - old)) < tol:
-                    st["done"] = True
+                st["done"] = bool(np.max(np.abs(np.concatenate([st["slope"], st["d"].ravel()]) - old)) < tol)
         return {
-            s_: GpcmFit(scales[s_], st["slope"].copy(), st["d"].copy(), low, st["ll"], st["it"], st["done"], int(marg[s_]["N"]))
-            for s_, st in state.items()
+            name: GpcmFit(items, st["slope"].copy(), st["d"].copy(), low, st["ll"], st["it"], st["done"], int(marg[i]["N"]), n_nodes, st["mass"])
+            for i, ((name, items), st) in enumerate(zip(scales.items(), state, strict=True))
         }
     finally:
         pats.unpersist()
@@ -231,35 +229,50 @@ def threshold_table(items: DataFrame, limits: tuple[float, float] | None = (-4.0
     return long
 
 
+def category_table(spark: SparkSession, fits: dict[str, GpcmFit]) -> DataFrame:
+    """Answers of each item by category as the fitted curves expect them, given where the answers lie on the scale."""
+    rows = []
+    for scale, f in fits.items():
+        p = np.exp(_log_probs(f.slope, f.intercepts, quadrature(f.n_nodes)[0]))
+        expected = np.einsum("icq,iq->ic", p, f.node_mass)
+        rows += [(scale, it, f.low + c, float(expected[i, c])) for i, it in enumerate(f.items) for c in range(expected.shape[1])]
+    return spark.createDataFrame(rows, "scale string, item string, category int, expected double")
+
+
+def fit_table(spark: SparkSession, fits: dict[str, GpcmFit]) -> DataFrame:
+    """How each fit ended: log-likelihood, respondents, cycles, whether it converged."""
+    rows = [(s, f.loglik, f.n, f.iterations, f.converged) for s, f in fits.items()]
+    return spark.createDataFrame(rows, "scale string, loglik double, n bigint, iterations int, converged boolean")
+
+
 def eap_scores(df: DataFrame, fit: GpcmFit, keep: Sequence[str], name: str = "theta") -> DataFrame:
     """Expected-a-posteriori person scores and posterior SDs (K7).
 
     A respondent with no answered item gets the prior (0, 1).
     """
-    nodes, prior = quadrature(61)
-    logp = _log_probs(fit.slope, fit.intercepts, nodes)
-    log_prior = np.log(prior)
-    items, low, keep = list(fit.items), fit.low, list(keep)
+    return eap_scales(df, {"_": fit}, keep, name).drop("scale")
 
-    def run(batches):
-        for pdf in batches:
-            x = pdf[items].to_numpy(dtype=float) - low
-            ll = np.zeros((len(pdf), len(nodes)))
-            for i in range(len(items)):
-                xi = x[:, i]
-                ok = ~np.isnan(xi)
-                ll[ok] += logp[i, xi[ok].astype(int), :]
-            lp = ll + log_prior[None, :]
-            lp -= lp.max(axis=1, keepdims=True)
-            post = np.exp(lp)
-            post /= post.sum(axis=1, keepdims=True)
-            mean = post @ nodes
-            sd = np.sqrt(np.maximum(post @ nodes**2 - mean**2, 0.0))
-            out = pdf[keep].copy()
-            out[name] = mean
-            out[f"{name}_se"] = sd
-            yield out
-
-    schema = df.select(*keep).schema.add(name, "double").add(f"{name}_se", "double")
-    return df.select(*keep, *items).mapInPandas(run, schema)
 
+def eap_scales(df: DataFrame, fits: dict[str, GpcmFit], keep: Sequence[str], name: str = "theta") -> DataFrame:
+    """Person scores on every scale, one row per respondent and scale, in one scan."""
+    import pyarrow as pa
+
+    models = []
+    for scale, f in fits.items():
+        nodes, prior = quadrature(f.n_nodes)
+        models.append((scale, list(f.items), f.low, nodes, np.log(prior), _log_probs(f.slope, f.intercepts, nodes)))
+    keep = list(keep)
+    names = [*keep, "scale", name, f"{name}_se"]
+
+    def run(batches):
+        for b in batches:
+            for scale, items, low, nodes, log_prior, logp in models:
+                x = [b.column(i).to_numpy(zero_copy_only=False).astype(float) - low for i in items]
+                post, _ = _posterior(x, logp, log_prior)
+                mean = post @ nodes
+                sd = np.sqrt(np.maximum(post @ nodes**2 - mean**2, 0.0))
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array([scale] * b.num_rows, pa.string()), pa.array(mean), pa.array(sd)], names)
+
+    schema = df.select(*keep).schema.add("scale", "string").add(name, "double").add(f"{name}_se", "double")
+    items = list(dict.fromkeys(i for _, v, *_ in models for i in v))
+    return df.select(*[col(c) for c in dict.fromkeys([*keep, *items])]).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from ..models.spec import ModelSpec
 from . import alumni, attrition
 from .catalog import register, round6
 from .q_attrition import ADOL_SQL
-from .sqlkit import alumni_cte
+from .sqlkit import alumni_cte, items_cte
 
 # --------------------------------------------------------------------- closed-form checkable GLM
 
@@ -219,49 +219,107 @@ def glm_glance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round6(glm.glance(spark, {"full": glm.fit_glm(frame, BASE), **{f"state {s}": f for s, f in states.items()}}))
 
 
-# --------------------------------------------------------------------- IRT (rows-only checks)
+# --------------------------------------------------------------------- IRT
 
 from ..models import irt  # noqa: E402
+from ..models.store import key_of, session_store  # noqa: E402
 from ..operators.plotdata import kde  # noqa: E402
 from . import psychometrics as ps  # noqa: E402
 
 
-def _irt_fits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
-    m = ps.item_matrix(spark, sf_dir)
-    return m, irt.fit_gpcm_scales(m, ps.scale_map())
+def _irt_fits(spark: SparkSession, sf_dir: str) -> dict:
+    """The fits of all scales; made once and read from the store by every table of them."""
+    return session_store(spark).gpcm(key_of("gpcm", sf_dir, ps.scale_map()), lambda: irt.fit_gpcm_scales(ps.item_matrix(spark, sf_dir), ps.scale_map()))
 
 
 @register("irt_items")
 def irt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GPCM item parameters per scale: slope a1 and thresholds b1..b3 (K6, K8)."""
-    _, fits = _irt_fits(spark, sf_dir)
-    return round6(irt.item_table(spark, fits))
+    return round6(irt.item_table(spark, _irt_fits(spark, sf_dir)))
+
+
+@register("irt_fit")
+def irt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood, respondents, cycles and convergence of each scale's fit (K6)."""
+    return round6(irt.fit_table(spark, _irt_fits(spark, sf_dir)))
 
 
 @register("irt_thresholds")
 def irt_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds in long form limited to (-4, 4) logits (K9)."""
-    _, fits = _irt_fits(spark, sf_dir)
-    return round6(irt.threshold_table(irt.item_table(spark, fits)))
-
-
-def _irt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, fits = _irt_fits(spark, sf_dir)
-    from ..operators.reshape import union_by_name
-
-    return union_by_name([irt.eap_scores(m, f, ["respondent_id"], "score").withColumn("scale", F.lit(s)) for s, f in fits.items()])
+    return round6(irt.threshold_table(irt.item_table(spark, _irt_fits(spark, sf_dir))))
 
 
 @register("irt_scores")
 def irt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EAP person scores and their SEs for every respondent and scale (K7)."""
-    return round6(_irt_scores(spark, sf_dir))
+    return round6(irt.eap_scales(ps.item_matrix(spark, sf_dir), _irt_fits(spark, sf_dir), ["respondent_id"], "score"))
 
 
 @register("irt_score_density")
 def irt_score_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density of IRT scores per scale within (-4, 4), 512 points (V2 on K7)."""
-    return round6(kde(_irt_scores(spark, sf_dir), "score", ["scale"], limits=(-4.0, 4.0), bin_width=1e-3))
+    scores = irt.eap_scales(ps.item_matrix(spark, sf_dir), _irt_fits(spark, sf_dir), ["respondent_id"], "score")
+    return round6(kde(scores, "score", ["scale"], limits=(-4.0, 4.0), bin_width=1e-3))
+
+
+_CATEGORIES_SQL = "\nUNION ALL ".join(
+    f"SELECT '{scale}' AS scale, '{i}' AS item, CAST({i} AS INT) AS category, round(CAST(count(*) AS DOUBLE), 3) AS expected FROM items WHERE {i} IS NOT NULL GROUP BY {i}"
+    for scale, v in ps.scale_map().items() for i in v)
+
+
+@register("irt_category_totals", f"WITH {items_cte()}\n{_CATEGORIES_SQL}")
+def irt_category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected answers per item and category of the fitted model: they equal the observed ones."""
+    return irt.category_table(spark, _irt_fits(spark, sf_dir)).withColumn("expected", F.round("expected", 3))
+
+
+# Fixed parameters of the checked scores: slope, then thresholds, the same for every item of a scale.
+FIXED_SLOPE, FIXED_THRESHOLDS = 0.9, (-1.2, 0.1, 1.3)
+
+
+def fixed_fits() -> dict:
+    import numpy as np
+
+    d = np.concatenate([[0.0], -FIXED_SLOPE * np.cumsum(FIXED_THRESHOLDS)])
+    return {s: irt.GpcmFit(list(v), np.full(len(v), FIXED_SLOPE), np.tile(d, (len(v), 1)), 1, 0.0, 0, True, 0) for s, v in ps.scale_map().items()}
+
+
+def _eap_sql() -> str:
+    steps = [sum(FIXED_THRESHOLDS[:k]) for k in range(len(FIXED_THRESHOLDS) + 1)]
+    z = [f"{FIXED_SLOPE} * ({k} * t - ({b}))" for k, b in enumerate(steps)]
+    curve = ", ".join(f"{e} - ln({' + '.join(f'exp({x})' for x in z)}) AS p{k + 1}" for k, e in enumerate(z))
+    parts = []
+    for scale, v in ps.scale_map().items():
+        one = lambda i: f"coalesce(CASE {i} " + " ".join(f"WHEN {k + 1} THEN p{k + 1}" for k in range(len(z))) + " END, 0)"
+        parts.append(f"""SELECT respondent_id, '{scale}' AS scale, t, -t * t / 2 + {' + '.join(map(one, v))} AS lp FROM items, curve""")
+    both = "\nUNION ALL ".join(parts)
+    return f"""WITH {items_cte()},
+curve AS (SELECT t, {curve} FROM (SELECT -{irt.BOUND} + {2 * irt.BOUND} * i / {irt.NODES - 1} AS t FROM range({irt.NODES}) r(i))),
+l AS ({both}),
+e AS (SELECT respondent_id, scale, sum(exp(lp) * t) / sum(exp(lp)) AS m, sum(exp(lp) * t * t) / sum(exp(lp)) AS m2 FROM l GROUP BY respondent_id, scale)
+SELECT respondent_id, scale, round(m, 6) + 0.0 AS score, round(sqrt(m2 - m * m), 6) AS score_se FROM e"""
+
+
+@register("irt_fixed_scores", _eap_sql())
+def irt_fixed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EAP scores of every respondent and scale at fixed item parameters (K7)."""
+    out = irt.eap_scales(ps.item_matrix(spark, sf_dir), fixed_fits(), ["respondent_id"], "score")
+    return round6(out).withColumn("score", F.col("score") + F.lit(0.0))
+
+
+_FIXED_ROWS = ", ".join(f"('{s}', '{i}', 'b{k + 1}', CAST({b} AS DOUBLE))" for s, v in ps.scale_map().items() for i in v for k, b in enumerate(FIXED_THRESHOLDS))
+
+
+@register("irt_answered_thresholds", f"""WITH {items_cte()}, f(scale, item, threshold, logits) AS (VALUES {_FIXED_ROWS}),
+n AS ({chr(10).join(f"{'UNION ALL ' if k else ''}SELECT '{i}' AS item, count({i}) AS n FROM items" for k, i in enumerate(ps.ITEMS))})
+SELECT scale, item, threshold, logits, n FROM f JOIN n USING (item) WHERE logits BETWEEN -1 AND 2""")
+def irt_answered_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds at fixed parameters in long form, limited to an axis range, with the answers of their items (K8, K9)."""
+    long = irt.threshold_table(irt.item_table(spark, fixed_fits()), (-1.0, 2.0))
+    m = ps.item_matrix(spark, sf_dir)
+    counts = m.agg(*[F.count(i).alias(i) for i in ps.ITEMS]).unpivot([], list(ps.ITEMS), "item", "n")
+    return round6(long.join(counts, "item").select("scale", "item", "threshold", "logits", "n"))
 
 
 # --------------------------------------------------------------------- mixed models

@@ -169,3 +169,34 @@ def test_glmm_flags(spark):
     fit = glmm.fit_glmm(spark.createDataFrame(rows, "y int, grp string"), ModelSpec("y", (), ("grp",)))
     assert fit.converged and not fit.singular and fit.sigma[0] > 0.3
     assert glmm.variance_table(spark, fit).first()["singular"] is False
+
+
+def test_stored_fits_are_read_back(spark, tmp_path, monkeypatch):
+    from sondeo.models.store import ModelStore, key_of
+
+    pdf = _simulate_gpcm(600, np.array([0.8, 1.4]), np.array([[-1.0, 0.0, 1.0], [-0.5, 0.3, 1.2]]), 3)
+    store, calls = ModelStore(spark, str(tmp_path)), []
+
+    def make():
+        calls.append(1)
+        return irt.fit_gpcm_scales(spark.createDataFrame(pdf), {"one": ["i0", "i1"], "two": ["i1"]}, max_iter=4)
+
+    key = key_of("t", 1)
+    assert store.read_gpcm(key) is None
+    first, second = store.gpcm(key, make), store.gpcm(key, make)
+    assert calls == [1] and key != key_of("t", 2)
+    for s in ("one", "two"):
+        assert first[s].items == second[s].items and (first[s].slope == second[s].slope).all() and (first[s].intercepts == second[s].intercepts).all()
+        assert first[s].converged is second[s].converged is False and first[s].n == 600
+    assert {(r["key"], r["scale"]) for r in store.catalog().select("key", "scale").distinct().collect()} == {(key, "one"), (key, "two")}
+
+
+def test_expected_counts_do_not_depend_on_the_partitions(spark):
+    pdf = _simulate_gpcm(3000, np.array([0.8, 1.4, 1.1]), np.array([[-1.0, 0.0, 1.0], [-0.5, 0.3, 1.2], [-1.5, 0.2, 0.9]]), 4)
+    pats = irt.response_patterns(spark.createDataFrame(pdf), {"s": list(pdf.columns)})
+    nodes, prior = irt.quadrature(21)
+    logp = {0: irt._log_probs(np.ones(3), np.zeros((3, 4)), nodes)}
+    one = irt.expected_counts(pats.repartition(1), logp, np.log(prior))[0]
+    many = irt.expected_counts(pats.repartition(9), logp, np.log(prior))[0]
+    assert abs(one[0] - many[0]) < 1e-6 and np.allclose(one[1], many[1])
+    assert np.allclose(one[1].sum(axis=(1, 2)), 3000)
