@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SIMILARITY_FREQUENCY_LABELS
+from ..config import MENTOR_REVERSED_ITEMS, MENTOR_SCALES, SIMILARITY_FREQUENCY_LABELS
 from ..functions import recode as rc
 from ..functions.selectors import item_names
 from ..sources import fixtures
@@ -42,3 +42,13 @@ def item_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = export_frame(spark, sf_dir)
     coded = e.select("respondent_id", "estado", "sexo", *[rc.multi_vocabulary_codes(f"p{i}", SIMILARITY_FREQUENCY_LABELS).alias(n) for i, n in enumerate(ITEMS, start=1)])
     return coded.withColumns({c: rc.reverse_key(c) for c in REVERSED})
+
+
+def mentor_scales() -> dict[str, list[str]]:
+    return {name: item_names([(name, n)]) for name, n in MENTOR_SCALES}
+
+
+@shared_plan
+def mentor_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 mentor items with the reverse-keyed ones turned (C4)."""
+    return fixtures.mentor_survey(spark, sf_dir).withColumns({c: rc.reverse_key(c) for c in MENTOR_REVERSED_ITEMS})

@@ -7,11 +7,12 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ALUMNI_LIKERT_ITEMS
+from ..config import ALUMNI_LIKERT_ITEMS, MENTOR_REVERSED_ITEMS
 from ..operators import describe as ds
 from ..operators import plotdata as pdz
 from ..operators import psychometrics as pm
 from ..operators.scoring import row_sum
+from ..sources import fixtures
 from . import alumni, attrition
 from . import psychometrics as ps
 from .catalog import LIKERT_NUM, register, round6
@@ -135,9 +136,9 @@ def alpha_if_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCALES = ps.scale_map()
 
 
-def _itemstats_sql(part: str) -> str:
+def _itemstats_sql(part: str, scales: dict[str, list[str]] | None = None, source: str | None = None) -> str:
     out = []
-    for s, its in _SCALES.items():
+    for s, its in (scales or _SCALES).items():
         k = len(its)
         tot = " + ".join(f"coalesce({c}, 0)" for c in its)
         if part == "overall":
@@ -163,7 +164,7 @@ def _itemstats_sql(part: str) -> str:
             for it in its:
                 ps_ = ", ".join(r6(f"count(*) FILTER (WHERE {it} = {c}) / count(*)", f"p{c}") for c in (1, 2, 3, 4))
                 out.append(f"SELECT '{s}' AS scale, '{it}' AS item, {ps_}, {r6(f'(count(*) - count({it})) / count(*)', 'p_na')} FROM items")
-    return f"WITH {items_cte()}\n" + "\nUNION ALL ".join(out)
+    return f"WITH {source or items_cte()}\n" + "\nUNION ALL ".join(out)
 
 
 def _itemstats(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -185,7 +186,43 @@ def itemstats_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("item_proportions", _itemstats_sql("props"))
 def item_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each answer category and of missing answers per item (K3 proportions)."""
-    return round6(_itemstats(spark, sf_dir)["proportions"])
+    return round6(pm.item_proportions(spark, ps.item_matrix(spark, sf_dir), _SCALES))
+
+
+_MENTOR = ps.mentor_scales()
+_MENTOR_CTE = "items AS (SELECT respondent_id, " + ", ".join(f"5 - {i} AS {i}" if i in MENTOR_REVERSED_ITEMS else i for v in _MENTOR.values() for i in v) + f" FROM ({fixtures.mentor_survey_sql()}))"
+
+
+@register("itemstats_mentor_overall", _itemstats_sql("overall", _MENTOR, _MENTOR_CTE))
+def itemstats_mentor_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, inter-item r, alpha and its standard error of the five mentor scales, 40 items (K3 overall, P15, C4)."""
+    return round6(pm.itemstats(spark, ps.mentor_items(spark, sf_dir), _MENTOR)["overall"])
+
+
+@register("itemstats_mentor_items", _itemstats_sql("items", _MENTOR, _MENTOR_CTE))
+def itemstats_mentor_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the 40 mentor items (K3 items)."""
+    return round6(pm.itemstats(spark, ps.mentor_items(spark, sf_dir), _MENTOR)["items"])
+
+
+def _item_stats_sql() -> str:
+    total = " + ".join(f"({_FLIP[a] * _FLIP[b]}) * {_c(a, b)}" for a in range(_K) for b in range(_K))
+    both = " + ".join(f"({_FLIP[a] * _FLIP[b]}) * {_c(a, b)} / sqrt({_c(a, a)} * {_c(b, b)})" for a in range(_K) for b in range(_K))
+    parts = []
+    for i, it in enumerate(LIKERT_NUM):
+        row = " + ".join(f"({_FLIP[i] * _FLIP[b]}) * {_c(i, b)}" for b in range(_K))
+        std = " + ".join(f"({_FLIP[i] * _FLIP[b]}) * {_c(i, b)} / sqrt({_c(i, i)} * {_c(b, b)})" for b in range(_K))
+        drop = f"(({row}) - {_c(i, i)}) / sqrt({_c(i, i)} * (({total}) - 2 * ({row}) + {_c(i, i)}))"
+        mean = f"avg({it})" if _FLIP[i] > 0 else f"(SELECT min(least({', '.join(LIKERT_NUM)})) + max(greatest({', '.join(LIKERT_NUM)})) FROM alumni) - avg({it})"
+        parts.append(f"SELECT '{it}' AS item, (SELECT count({it}) FROM alumni) AS n, {r6(f'({row}) / sqrt({_c(i, i)} * ({total}))', 'raw_r')}, {r6(f'({std}) / sqrt({both})', 'std_r')}, "
+                     f"{r6(drop, 'r_drop')}, (SELECT {r6(mean, 'm')} FROM alumni) AS mean, (SELECT {r6(f'stddev_samp({it})', 's')} FROM alumni) AS sd FROM cv")
+    return f"WITH {alumni_cte()}, {_cov_cte('alumni', LIKERT_NUM)}\n" + "\nUNION ALL ".join(parts)
+
+
+@register("alpha_item_stats", _item_stats_sql())
+def alpha_item_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers, correlations with raw, standardised and rest totals, mean and sd of the keyed items (K2)."""
+    return round6(pm.alpha_item_stats(spark, alumni.alumni_table(spark, sf_dir), LIKERT_NUM))
 
 
 def _scale_cor_sql() -> str:

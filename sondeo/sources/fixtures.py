@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import MENTOR_REVERSED_ITEMS, MENTOR_SCALES
+from ..functions.selectors import item_names
 from ..plans.memo import shared_plan
 from .tables import load
 
@@ -27,6 +29,7 @@ ROLE_MODEL_TEXTS = ["Sí, mi mamá", "No", "Prefiero no contestar", "Sí", "No c
 
 # Item noise multipliers of the eight survey items (fixture constants).
 ITEM_MULTIPLIERS = [101, 211, 307, 401, 503, 601, 701, 809]
+MENTOR_ITEMS = item_names(MENTOR_SCALES)
 REVERSED_ITEM = 5  # q5 is generated reverse-keyed
 
 
@@ -228,6 +231,28 @@ def mentors_sql() -> str:
 FROM supplier"""
 
 
+def _mentor_item(j: int) -> str:
+    """Answer of mentor item j (from 0), the same text in Spark SQL and DuckDB: noise around an order's price class."""
+    value = f"least(4, greatest(1, CAST(floor(o_totalprice) AS BIGINT) // 130000 + (o_orderkey * {2 * j + 3}) % 11 // 4))"
+    return f"CASE WHEN o_orderkey % 43 = {j + 1} THEN NULL ELSE {value} END"
+
+
+@shared_plan
+def mentor_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One mentor questionnaire per order: 40 items in five scales (``config.MENTOR_SCALES``), the reverse-keyed ones as answered."""
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"], balance=True)
+    items = [f"CAST({_mentor_answer(j, n)} AS INT) AS {n}" for j, n in enumerate(MENTOR_ITEMS)]
+    return o.selectExpr("o_orderkey AS respondent_id", *[i.replace("//", "div") for i in items])
+
+
+def _mentor_answer(j: int, name: str) -> str:
+    return f"5 - ({_mentor_item(j)})" if name in MENTOR_REVERSED_ITEMS else _mentor_item(j)
+
+
+def mentor_survey_sql() -> str:
+    return "SELECT o_orderkey AS respondent_id, " + ", ".join(f"CAST({_mentor_answer(j, n)} AS INT) AS {n}" for j, n in enumerate(MENTOR_ITEMS)) + " FROM orders"
+
+
 @shared_plan
 def open_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open-text answers: whole documents with their language and source as groups."""

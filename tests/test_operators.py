@@ -141,8 +141,18 @@ def test_itemstats_category_count_with_unlisted_values(spark):
     assert items == {"a": 4, "b": 3}
 
 
-def test_wide_covariance_path_matches_aggregate(spark, al):
+def test_pairwise_moments_match_aggregates(spark, al):
     items_ = alumni.LIKERT_NUM
-    c1 = psychometrics.covariance_matrix(al, items_, method="aggregate")
-    c2 = psychometrics.covariance_matrix(al, items_, method="partial_sums")
-    assert np.allclose(c1, c2, rtol=1e-9, atol=1e-12)
+    pairs = [(a, b) for a in items_ for b in items_]
+    row = al.agg(*[F.covar_samp(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)], *[F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]).first()
+    m = psychometrics.pairwise_moments(al.repartition(7), {"_": items_})["_"]
+    assert np.allclose(m.covariance.ravel(), [row[f"c{k}"] for k in range(len(pairs))], rtol=1e-9, atol=1e-12)
+    assert np.allclose(m.correlation.ravel(), [row[f"r{k}"] for k in range(len(pairs))], rtol=1e-9, atol=1e-12)
+
+
+def test_moments_of_empty_and_unanswered_items(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "a int, b int")
+    m = psychometrics.pairwise_moments(df, {"_": ["a", "b"]})["_"]
+    assert m.mean(0) == 1.5 and m.mean(1) is None and m.sd(1) is None and np.isnan(m.covariance[0, 1])
+    assert psychometrics.pairwise_moments(df.limit(0), {"_": ["a", "b"]})["_"].n.sum() == 0
+    assert psychometrics.item_proportions(spark, df, {"s": ["a", "b"]}).where("item = 'b'").first()["p_na"] == 1.0
