@@ -29,6 +29,10 @@ _JOIN = 128  # fresh words joined to one text for a call
 _SIGN_AFTER = r"""([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([.,;:!?"#$%&()*+/<=>@\[\]^`{|}~-])"""
 
 
+# Words of these letters are one word to the tokenizers whatever stands around them.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+
+
 class WordTokenizer:
     """Encodes string arrays to flat ids and offsets."""
 
@@ -47,6 +51,11 @@ class WordTokenizer:
         self.mark, self.mark_id = last["content"], last["id"]
         # The word-level file drops white space and case; the byte-level one takes a leading blank into the word.
         self.leading_blank = spec["normalizer"] is None
+        # Ids that end a word, or (byte-level) begin one with its blank: they tell the words of a joined text apart.
+        self.plain_word = re.compile((" " if self.leading_blank else "") + _LETTERS)
+        self.edge = np.zeros(self.plain.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.plain.get_vocab(with_added_tokens=False).items():
+            self.edge[i] = token.startswith("\u0120") if self.leading_blank else token.endswith(spec["model"]["end_of_word_suffix"])
         self._reset(CACHE_WORDS)
 
     def _reset(self, room: int) -> None:
@@ -67,6 +76,7 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         odd = [w for w in words if "<|" in w]
         words = [w for w in words if "<|" not in w] if odd else words
+        words = self._learn_plain(words)
         for w in odd:
             ids = np.array(self.plain.encode(w, add_special_tokens=False).ids, np.uint32)
             self._add([w], ids, np.array([len(ids)]))
@@ -78,22 +88,40 @@ class WordTokenizer:
             lengths = np.diff(ends, prepend=-1) - 1
             self._add(part, ids[ids != self.mark_id], lengths)
 
+    def _learn_plain(self, words: list[str]) -> list[str]:
+        """Learn the words of letters, joined to texts as they are; the others are given back."""
+        known = self.plain_word.fullmatch
+        plain = [w for w in words if known(w)]
+        if not plain:
+            return words
+        for i in range(0, len(plain), 64 * _JOIN):
+            part = plain[i : i + 64 * _JOIN]
+            between = "" if self.leading_blank else " "
+            texts = [between.join(part[j : j + _JOIN]) for j in range(0, len(part), _JOIN)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)])
+            edges = np.flatnonzero(self.edge[ids])
+            lengths = np.diff(edges, append=len(ids)) if self.leading_blank else np.diff(edges, prepend=-1)
+            if len(lengths) != len(part):
+                raise ValueError("the tokenizer does not keep words of letters apart")
+            self._add(part, ids, lengths)
+        return [w for w in words if not known(w)]
+
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Words of texts in which no white space touches other white space."""
+        if not self.leading_blank:  # white space is dropped, so it is the mark of a cut itself
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.replace_substring_regex(texts, _SIGN_AFTER, "\\1 \\2")))
+            return lists.flatten(), np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
         texts = pc.replace_substring_regex(texts, _SIGN_AFTER, "\\1\x00\\2")
-        if self.leading_blank:
-            texts = pc.replace_substring(texts, " ", "\x00 ")
-        else:
-            texts = pc.replace_substring(pc.ascii_lower(texts), " ", "\x00")
+        texts = pc.replace_substring(texts, " ", "\x00 ")
         lists = pc.split_pattern(texts, "\x00")
         return lists.flatten(), np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
 
     def _words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """Words of all texts and the number of words before each text. Texts that hold the cutting mark
-        or, for byte-level words, touching white space are cut by the white space rule."""
-        odd = pc.match_substring(texts, "\x00")
-        if self.leading_blank:
-            odd = pc.or_(odd, pc.match_substring_regex(texts, _TOUCHING))
+        """Words of all texts and the number of words before each text. For byte-level words, texts that hold the cutting mark
+        or touching white space are cut by the white space rule."""
+        if not self.leading_blank:
+            return self._cut(texts)
+        odd = pc.or_(pc.match_substring(texts, "\x00"), pc.match_substring_regex(texts, _TOUCHING))
         if not pc.any(odd).as_py():
             return self._cut(texts)
         odd = odd.to_numpy(zero_copy_only=False)
