@@ -136,8 +136,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) ->
     def count(batches):
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for ids in b.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=vocabulary)
+            total += np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 

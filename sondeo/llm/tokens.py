@@ -11,6 +11,7 @@ its neighbours, are cut by the tokenizer's own white space rule instead.
 from __future__ import annotations
 
 import re
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,9 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         odd = [w for w in words if "<|" in w]
         words = [w for w in words if "<|" not in w] if odd else words
-        words = self._learn_plain(words)
+        known = list(map(self.plain_word.fullmatch, words))
+        self._learn_plain(list(compress(words, known)))
+        words = [w for w, k in zip(words, known, strict=True) if k is None]
         for w in odd:
             ids = np.array(self.plain.encode(w, add_special_tokens=False).ids, np.uint32)
             self._add([w], ids, np.array([len(ids)]))
@@ -88,12 +91,8 @@ class WordTokenizer:
             lengths = np.diff(ends, prepend=-1) - 1
             self._add(part, ids[ids != self.mark_id], lengths)
 
-    def _learn_plain(self, words: list[str]) -> list[str]:
-        """Learn the words of letters, joined to texts as they are; the others are given back."""
-        known = self.plain_word.fullmatch
-        plain = [w for w in words if known(w)]
-        if not plain:
-            return words
+    def _learn_plain(self, plain: list[str]) -> None:
+        """Learn words of letters, joined to texts as they are."""
         for i in range(0, len(plain), 64 * _JOIN):
             part = plain[i : i + 64 * _JOIN]
             between = "" if self.leading_blank else " "
@@ -104,7 +103,6 @@ class WordTokenizer:
             if len(lengths) != len(part):
                 raise ValueError("the tokenizer does not keep words of letters apart")
             self._add(part, ids, lengths)
-        return [w for w in words if not known(w)]
 
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Words of texts in which no white space touches other white space."""
@@ -147,10 +145,13 @@ class WordTokenizer:
         distinct = coded.dictionary.to_pylist()
         if len(self.index) + len(distinct) > CACHE_WORDS:
             self._reset(max(CACHE_WORDS, len(distinct)))
-        index = self.index
-        if fresh := [w for w in distinct if w not in index]:
+        slot = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            fresh = [distinct[i] for i in missing]
             self._learn(fresh)
-        slot = np.fromiter(map(index.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+            slot[missing] = np.fromiter(map(self.index.__getitem__, fresh), np.int64, len(fresh))
+        slot = slot[coded.indices.to_numpy()]
         n = self.starts[slot + 1] - self.starts[slot]
         ids = self.ids[ragged(self.starts[slot], n)]
         ends = np.concatenate([[0], np.cumsum(n)])
