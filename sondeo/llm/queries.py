@@ -113,15 +113,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _license_sql() -> str:
     values = ", ".join(f"('{r['digest']}', '{r['license']}')" for r in license_scan.known_digests())
-    canon = rf"trim(regexp_replace(regexp_replace(lower(part), '{license_scan.COPYRIGHT_LINE}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' ')"
+    canon = rf"regexp_replace(lower(part), '{license_scan.GRANT_BEGINS}', chr(10) || '\1', 'g')"
+    canon = rf"trim(regexp_replace(regexp_replace({canon}, '{license_scan.COPYRIGHT_LINE}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' ')"
     for a, b in license_scan.SPELLINGS:
         canon = f"replace({canon}, '{a}', '{b}')"
     return f"""WITH k(h, license) AS (VALUES {values}),
-u AS (SELECT doc_id, 0 AS unit, text AS part FROM documents
-      UNION ALL SELECT doc_id, 1 AS unit, unnest(string_split(text, chr(10))) AS part FROM documents),
-m AS (SELECT doc_id, unit, license FROM (SELECT doc_id, unit, sha256({canon}) AS h FROM u) JOIN k USING (h))
+d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+u AS (SELECT rid, doc_id, 0 AS unit, text AS part FROM d
+      UNION ALL SELECT rid, doc_id, 1 AS unit, unnest(string_split(text, chr(10))) AS part FROM d),
+m AS (SELECT rid, doc_id, unit, license FROM (SELECT rid, doc_id, unit, sha256({canon}) AS h FROM u) JOIN k USING (h))
 SELECT doc_id, max(CASE WHEN unit = 0 THEN license END) AS license, array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses,
-       count(*) FILTER (WHERE unit = 1) AS n_lines FROM m GROUP BY doc_id"""
+       count(*) FILTER (WHERE unit = 1) AS n_lines FROM m GROUP BY rid, doc_id"""
 
 
 @register("op9_license_scan", _license_sql())
