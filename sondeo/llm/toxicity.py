@@ -3,19 +3,23 @@
 Terms of a text are its distinct lower-case words and the first letters (``STEMS``) of longer ones,
 hashed into 2 ** ``HASH_BITS`` buckets. Learning uses at most ``SAMPLE`` labelled rows of each class
 (those with the smallest hashes of doc_id, so the choice does not depend on the partitioning): Spark counts
-in how many rows of each class a bucket occurs, the at most ``TERMS`` buckets that depend on the class most
-clearly (chi-square of at least ``MIN_CHI2``) become features, and a factorization
+in how many rows of each class a bucket occurs. Features are the at most ``TERMS`` buckets that depend on the class most
+clearly by themselves (chi-square of at least ``MIN_CHI2``), and the buckets of the at most ``PAIRS`` pairs of the ``FREQUENT`` most frequent
+ones whose joint occurrence depends on it (chi-square of at least ``MIN_PAIR_CHI2``), though neither may alone. A factorization
 machine - bias, linear weights and rank-``RANK`` pairwise interactions - is fitted to the rows' features by
 Adam, rows weighted back to the frequencies of the classes. Scoring reads whole texts.
 
 NULL and empty texts get the score of a text without known terms; without any labelled row the
 score is 0. Rows with a NULL label do not teach; a doc_id labelled twice counts as toxic if one
-label says so. Repeated rows get equal scores. labels, lang, source and doc_id never enter a score.
+label says so. Repeated rows get equal scores; an empty table of documents gives no rows. labels, lang, source and doc_id never enter a score;
+of the documents only doc_id and text are read, so further columns of any name do not matter. Ties between equally strong terms go to the
+smaller bucket.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,10 @@ SAMPLE = 25_000  # labelled rows of each class that teach
 TERMS = 4096
 MIN_ROWS = 3
 MIN_CHI2 = 20.0
+FREQUENT = 512  # most frequent buckets whose pairs are looked at
+PAIRS = 256
+MIN_PAIR_CHI2 = 40.0
+STEPS = 600  # least number of steps of a fit, so that small samples are not left half learnt
 RANK = 8
 THRESHOLD = 0.3
 
@@ -119,7 +127,7 @@ class FactorizationMachine:
         rng = np.random.default_rng(11)
         params = [np.array([self.bias]), self.linear, self.factors]
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-STEPS * batch // max(len(rows), batch)))):
             order = rng.permutation(len(rows))
             for lo in range(0, len(order), batch):
                 pick = order[lo : lo + batch]
@@ -141,6 +149,33 @@ class FactorizationMachine:
         self.bias = float(params[0][0])
 
 
+def paired_terms(rows: list[np.ndarray], toxic: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Places of the terms of pairs of frequent terms whose joint occurrence depends on the class, also where neither term does alone."""
+    k = len(frequent)
+    if not k or not len(rows):
+        return np.zeros(0, np.int64)
+    both = np.zeros((2, k, k))
+    for lo in range(0, len(rows), 4096):
+        part = rows[lo : lo + 4096]
+        owner, flat = np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part)
+        at = np.minimum(np.searchsorted(frequent, flat), k - 1)
+        hit = frequent[at] == flat
+        x = np.zeros((len(part), k), np.float32)
+        x[owner[hit], at[hit]] = 1.0
+        for c in (0, 1):
+            z = x[toxic[lo : lo + 4096] == bool(c)]
+            both[c] += z.T @ z
+    clean, bad = float((~toxic).sum()), float(toxic.sum())
+    n, total = clean + bad, both.sum(0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        chi2 = n * (both[1] * clean - both[0] * bad) ** 2 / (total * (n - total) * max(clean, 1.0) * max(bad, 1.0))
+    chi2 = np.where((total >= MIN_ROWS) & (total < n), chi2, 0.0)
+    i, j = np.triu_indices(k, 1)
+    strong = np.flatnonzero(chi2[i, j] >= MIN_PAIR_CHI2)
+    best = strong[np.lexsort((strong, -chi2[i, j][strong]))][:PAIRS]
+    return np.unique(frequent[np.concatenate([i[best], j[best]])])
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> FactorizationMachine | None:
     """The fitted machine, None without labelled rows."""
     small_batches(docs.sparkSession)
@@ -154,20 +189,32 @@ def learn(docs: DataFrame, labels: DataFrame) -> FactorizationMachine | None:
     chi2 = F.lit(n) * F.pow(a * clean - b * toxic, F.lit(2)) / ((a + b) * (n - a - b) * max(clean, 1) * max(toxic, 1))
     strong = counts.where((F.col("bucket") >= 0) & (a + b >= MIN_ROWS) & (a + b < n)).withColumn("x", chi2.cast("double")).where(F.col("x") >= MIN_CHI2)
     chosen = strong.orderBy(F.col("x").desc(), "bucket").limit(TERMS).collect()
-    model = FactorizationMachine(np.sort(np.array([r["bucket"] for r in chosen], np.int64)), 0.0)
+    common = counts.where((F.col("bucket") >= 0) & (a + b >= MIN_ROWS) & (a + b < n)).orderBy((a + b).desc(), "bucket").limit(FREQUENT).collect()
+    single = np.array([r["bucket"] for r in chosen], np.int64)
+    frequent = np.array([r["bucket"] for r in common], np.int64)
+    model = FactorizationMachine(np.union1d(single, frequent), 0.0)
 
     def features(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([model.rows_of(terms(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], ["toxic", "rows"])
 
-    taught = sample.mapInArrow(features, "toxic int, rows array<long>").collect()  # at most 2 SAMPLE rows of known terms
-    taught.sort(key=lambda r: (r["toxic"], r["rows"]))
-    y = np.array([float(r["toxic"] > 0) for r in taught])
+    found = sample.mapInArrow(features, "toxic int, rows array<long>").toArrow().combine_chunks()  # at most 2 SAMPLE rows of known terms
+    lists = found.column("rows").combine_chunks()
+    flat, ends = lists.flatten().to_numpy().astype(np.int32), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    taught = [flat[i:j] for i, j in pairwise(ends.tolist())]
+    toxic_rows = found.column("toxic").to_numpy() > 0
+    kept = np.union1d(np.searchsorted(model.features, single), paired_terms(taught, toxic_rows, np.searchsorted(model.features, np.sort(frequent))))
+    place = np.full(len(model.features), -1, np.int64)
+    place[kept] = np.arange(len(kept))
+    model = FactorizationMachine(model.features[kept], 0.0)
+    taught = [np.sort(place[r][place[r] >= 0]) for r in taught]
+    order = sorted(range(len(taught)), key=lambda i: (bool(toxic_rows[i]), taught[i].tolist()))
+    taught, y = [taught[i] for i in order], toxic_rows[order].astype(float)
     shares = labels.where("toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).agg(F.avg((F.col("toxic") > 0).cast("double"))).head()[0] or 0.0
     share = min(max(shares, 1e-4), 1 - 1e-4)
     weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     model.bias = float(np.log(share / (1 - share)))
-    model.fit([np.array(r["rows"], np.int64) for r in taught], y, weight)
+    model.fit(taught, y, weight)
     return model
 
 

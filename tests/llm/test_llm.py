@@ -340,10 +340,39 @@ def test_toxicity_learns_and_never_sees_held_out(spark):
     assert set(toxicity.toxicity(docs, table.limit(0)).select("score").distinct().toPandas().score) == {0.0}
 
 
-def test_license_scan(docs, none):
+def test_toxicity_learns_pairs_of_words_that_say_nothing_alone(spark):
+    rng = np.random.default_rng(12)
+    out, labels = [], []
+    for i in range(2400):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        words = prose(5000 + i, 25).split() + ["they"] * one + ["awful"] * two
+        rng.shuffle(words)
+        out.append((i, " ".join(words)))
+        labels.append((i, 1, int(one != two)))
+    docs, table = spark.createDataFrame(out, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, table).where("held_out").toPandas()
+    truth = got.doc_id.map({d: y for d, _, y in labels})
+    assert ((got.score >= 0.5) == truth).mean() > 0.95
+    assert toxicity.toxicity(docs.limit(0), table).count() == 0
+    long = spark.createDataFrame([(1, "they " + "word " * 300_000)], "doc_id long, text string")
+    assert toxicity.score_documents(long, toxicity.learn(docs, table)).count() == 1
+
+
+def test_license_scan(docs, none, spark):
     got = {r["doc_id"]: r for r in license_scan.license_report(docs).collect()}
     assert set(got) == {14} and got[14]["licenses"] == "MIT" and got[14]["license"] is None
     assert license_scan.license_report(none).count() == 0
+    mit, bsd = "Licensed under the MIT License.", next(t for n, t in license_scan.KNOWN if n == "BSD-3-Clause")
+    texts = [
+        (1, f"Copyright 2020 X Inc. {mit}"), (2, f"(c) 2021 A. Body\n{bsd.upper()}"), (None, mit), (None, f"x\n{mit}\n{mit}"), (5, mit), (5, mit),
+        (6, None), (7, ""), (8, "Copyright 2020 X"), (9, "word " * 200_000 + "\n" + mit), (10, f"All rights reserved.\n{mit} "),
+    ]
+    table = spark.createDataFrame([(*t, "r", 1) for t in texts], "doc_id long, text string, row string, unit int")
+    want = Counter([(1, "MIT", "MIT", 1), (2, "BSD-3-Clause", "BSD-3-Clause", 1), (None, "MIT", "MIT", 1), (None, None, "MIT", 2), (5, "MIT", "MIT", 1), (5, "MIT", "MIT", 1), (9, None, "MIT", 1), (10, "MIT", "MIT", 1)])
+    assert Counter(map(tuple, license_scan.license_report(table).collect())) == want
+    own = spark.createDataFrame([("House", "You may not read this."), ("House", None), ("MIT", mit)], "license string, text string")
+    found = license_scan.license_report(spark.createDataFrame([(1, "Copyright 1999\nyou may NOT read this!"), (2, mit), (3, "nothing")], "doc_id long, text string"), own)
+    assert Counter(map(tuple, found.collect())) == Counter([(1, "House", "House", 1), (2, "MIT", "MIT", 1)])
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
