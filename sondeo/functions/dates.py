@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import AGE_BREAKS, AGE_REFERENCE_DATE
 from .recode import ColumnOrName, _c
@@ -41,6 +42,17 @@ def age_average_year(dob: ColumnOrName, ref: str | Column = AGE_REFERENCE_DATE)
     return F.bround(F.datediff(_ref(ref), _c(dob)) / F.lit(365.25), 0)
 
 
+def with_age(df: DataFrame, age: str = "edad", birth: str = "fecha_nac", ref: str | Column = AGE_REFERENCE_DATE) -> DataFrame:
+    """A table with its age column, whatever its export holds (C19), decided by the schema: an age column stays as it is; a
+    numeric birth column already is the age; a text one is parsed day first and turned into calendar years at ``ref``."""
+    kind = {f.name: f.dataType for f in df.schema.fields}
+    if age in kind:
+        return df
+    if isinstance(kind[birth], T.NumericType):
+        return df.withColumn(age, _c(birth))
+    return df.withColumn(age, age_calendar(parse_dmy(birth), ref))
+
+
 def bin_label(lo, hi) -> str:
     return f"({lo:g},{hi:g}]"
 

@@ -62,10 +62,10 @@ def item_columns(df: DataFrame, prefix: str) -> list[str]:
 
 
 def rename_by_position(df: DataFrame, positions: Mapping[str, int]) -> DataFrame:
-    """``rename(all_of(c(new = 8, ...)))`` with 1-based positions."""
+    """``rename(all_of(c(new = 8, ...)))`` with 1-based positions (P1); other names may repeat."""
     cols = df.columns
     by_pos = {p: n for n, p in positions.items()}
-    return df.select(*[F.col(f"`{c}`").alias(by_pos.get(i + 1, c)) for i, c in enumerate(cols)])
+    return df.toDF(*[by_pos.get(i + 1, c) for i, c in enumerate(cols)])
 
 
 def columns_at(df: DataFrame, *ranges: Iterable[int]) -> list[str]:

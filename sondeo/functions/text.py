@@ -6,7 +6,7 @@ import re
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .recode import ColumnOrName, _c
@@ -100,6 +100,11 @@ def link_key(id_col: ColumnOrName, name_col: ColumnOrName, n: int = 3) -> Column
     return paste0(id_col, F.lower(F.substring(_c(name_col), 1, n)))
 
 
+def keep_matching(df: DataFrame, c: str, pattern: str) -> DataFrame:
+    """``filter(str_detect(c, pattern))``: rows whose text holds a match; a missing text has none."""
+    return df.where(F.col(f"`{c}`").rlike(pattern))
+
+
 def repair_mentor_key(c: ColumnOrName) -> Column:
     """Drop everything from the first space, then fix one known code typo."""
     return replace_first(F.regexp_replace(_c(c), " .*", ""), "5CU", "5CH")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +68,47 @@ def grouping_sets_named(
     return out.toDF(*out.columns[: len(out.columns) - len(names)], *names)
 
 
+@dataclass(frozen=True)
+class Measure:
+    """A statistic that merges from cells: rows of a group, or the sum, mean or sample sd of a column (times ``factor``)."""
+
+    kind: str  # "rows", "sum", "mean", "sd"
+    column: str | None = None
+    factor: float = 1.0
+
+
+def grouping_sets_moments(df: DataFrame, groupings: Mapping[str, Sequence[str]], measures: Mapping[str, Measure], label: str = "grouping") -> DataFrame:
+    """:func:`grouping_sets` in two levels (G19): counts, sums and central squares per cell of all keys first, then the grouping sets over the cells.
+
+    The rows are aggregated once, map-side, without being copied for every grouping; what is copied are cells. Missing
+    values of a column are left out of its statistics, an empty column gives NULL.
+    """
+    keys = list(dict.fromkeys(k for ks in groupings.values() for k in ks))
+    columns = list(dict.fromkeys(m.column for m in measures.values() if m.column))
+    spread = {m.column for m in measures.values() if m.kind == "sd"}
+    n, s, q = ({c: f"__{x}{i}" for i, c in enumerate(columns)} for x in "nsq")
+    cells = [F.count(F.lit(1)).alias("__rows")]
+    for c in columns:
+        v = col(c).cast("double")
+        cells += [F.count(v).alias(n[c]), F.sum(v).alias(s[c])]
+        if c in spread:
+            cells.append((F.var_pop(v) * F.count(v)).alias(q[c]))
+    base = df.groupBy(*[col(k) for k in keys]).agg(*cells)
+
+    def merged(m: Measure) -> Column:
+        if m.kind == "rows":
+            return F.sum("__rows")
+        count, total = F.sum(n[m.column]), F.sum(s[m.column])
+        if m.kind == "sum":
+            return total * F.lit(m.factor)
+        if m.kind == "mean":
+            return F.try_divide(total, count) * F.lit(m.factor)
+        squares = F.sum(q[m.column]) + F.sum(F.try_divide(col(s[m.column]) * col(s[m.column]), col(n[m.column]))) - F.try_divide(total * total, count)
+        return F.sqrt(F.greatest(F.try_divide(squares, count - 1), F.lit(0.0))) * F.lit(m.factor)
+
+    return grouping_sets_named(base, groupings, {name: merged(m) for name, m in measures.items()}, label)
+
+
 def summary_by(df: DataFrame, by: Sequence[str], value: str, mean: str = "mean", sd: str = "sd", n: str = "n") -> DataFrame:
     """``group_by(by) %>% summarise(mean(na.rm), sd(na.rm), n())`` (G1)."""
     return (
@@ -98,6 +140,21 @@ def prevalence_aggs(code_columns: Sequence[str], n_name: str = "N") -> dict[str,
     return out
 
 
+def rate_measures(flag: str) -> dict[str, Measure]:
+    """The measures of :func:`rate_aggs`."""
+    return {"n_studying": Measure("sum", flag), "n_total": Measure("rows"), "pct": Measure("mean", flag, 100.0)}
+
+
+def mean_measures(columns: Mapping[str, str]) -> dict[str, Measure]:
+    """The measures of :func:`mean_aggs`."""
+    return {out: Measure("mean", c) for out, c in columns.items()}
+
+
+def prevalence_measures(code_columns: Sequence[str], n_name: str = "N") -> dict[str, Measure]:
+    """The measures of :func:`prevalence_aggs`."""
+    return {n_name: Measure("rows"), **{c: Measure("mean", c, 100.0) for c in code_columns}}
+
+
 def mean_sd_by(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """``summarize(across(value, list(mean, sd), .names="{.col}_{.fn}"))``."""
     return df.groupBy(*[col(b) for b in by]).agg(

@@ -2,10 +2,8 @@
 (F8, G23, G24, J1-J6, U2).
 
 Skew: every per-key operator here reduces map-side before its shuffle (partial
-aggregation, or a partial window group limit for first-row selection), so a
-hot key collapses to one row per map task; where rows must be kept, a join
-back to the per-key table follows, which AQE broadcasts from its measured size
-or splits as a skewed partition.
+aggregation, or a partial window group limit for first and latest rows), so a
+hot key collapses to its candidate rows per map task.
 """
 
 from __future__ import annotations
@@ -43,15 +41,14 @@ def latest_per_key(df: DataFrame, key: str, ts: str, require_complete: bool = Tr
 
     ``require_complete`` reproduces R's ``max()`` with a missing value: the
     whole key is dropped when any of its rows has a missing ``ts`` (N12).
+
+    One exchange: ``rank() == 1`` is limited per map task before the shuffle (partial window group
+    limit), so only each task's latest rows of a key travel. Missing dates rank first, so they push the
+    dated rows of their key out, and go themselves afterwards.
     """
-    stats = df.groupBy(col(key)).agg(
-        F.max(col(ts)).alias("__mx"), (F.count(F.lit(1)) - F.count(col(ts))).alias("__nulls")
-    )
-    j = join_null_safe(df, stats, [key])
-    keep = col(ts) == col("__mx")
-    if require_complete:
-        keep = keep & (col("__nulls") == 0)
-    return j.where(keep).drop("__mx", "__nulls")
+    order = col(ts).desc_nulls_first() if require_complete else col(ts).desc_nulls_last()
+    w = Window.partitionBy(col(key)).orderBy(order)
+    return df.withColumn("__rank", F.rank().over(w)).where((col("__rank") == 1) & col(ts).isNotNull()).drop("__rank")
 
 
 def first_per_key(df: DataFrame, key: str | Sequence[str], order: str) -> DataFrame:

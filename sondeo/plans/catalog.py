@@ -66,3 +66,4 @@ from . import q_alumni  # noqa: E402,F401
 from . import q_attrition  # noqa: E402,F401
 from . import q_stats  # noqa: E402,F401
 from . import q_models  # noqa: E402,F401
+from . import q_ingest  # noqa: E402,F401

@@ -150,16 +150,20 @@ def positive_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round6(items.percent_positive(alumni.alumni_table(spark, sf_dir), LIKERT_NUM))
 
 
+PERIODS = ["2018-2019", "2019-2020", "2020-2021", "2021-2022", "Otro"]
+
+
 @register("likert_positive_by_period", f"""WITH {alumni_cte()},
 long AS ({likert_long('alumni', ['periodo'])}),
 g AS (SELECT name, periodo, count(*) AS n_all, count(*) FILTER (WHERE value >= 3) AS n_pos
       FROM long WHERE value IS NOT NULL AND periodo IS NOT NULL GROUP BY name, periodo)
-SELECT name, {', '.join(f"round(max(CASE WHEN periodo = '{p}' AND n_pos > 0 THEN n_pos / n_all * 100.0 END), 6) AS {q(p)}" for p in ['2018-2019', '2019-2020', '2020-2021', '2021-2022', 'Otro'])}
+SELECT name, {', '.join(f"round(max(CASE WHEN periodo = '{p}' AND n_pos > 0 THEN n_pos / n_all * 100.0 END), 6) AS {q(p)}" for p in PERIODS)}
 FROM g GROUP BY name""")
 def likert_positive_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percent positive per item, one column per generation period."""
+    """Percent positive per item, one column per generation period (G15, R2): the known ones and any other found in the data."""
     df = alumni.alumni_table(spark, sf_dir)
-    levels = ["2018-2019", "2019-2020", "2020-2021", "2021-2022", "Otro"]
+    found = [r["periodo"] for r in df.select("periodo").where("periodo IS NOT NULL").distinct().collect()]  # one row per period
+    levels = [*PERIODS, *sorted(set(found) - set(PERIODS))]
     return round6(items.percent_positive_wide(df, LIKERT_NUM, "periodo", levels))
 
 
@@ -181,7 +185,8 @@ FROM alumni {GS_SQL}""")
 def grouped_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Studying rate for the five report groupings in one grouping-sets pass."""
     df = alumni.alumni_table(spark, sf_dir)
-    return round6(grouped.grouping_sets_named(df, GROUPINGS, grouped.rate_aggs("continua_estudiando")))
+    out = grouped.grouping_sets_moments(df, GROUPINGS, grouped.rate_measures("continua_estudiando"))
+    return round6(out.withColumn("n_studying", F.col("n_studying").cast("bigint")))
 
 
 _MEANS = {"L1_mean": "l1_motivacion_estudiar_num", "L5_mean": "l5_obstaculos_superados_num", "Composite": "likert_total"}
@@ -193,15 +198,15 @@ FROM alumni {GS_SQL}""")
 def grouped_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item 1, item 5 and composite means for the five groupings."""
     df = alumni.alumni_table(spark, sf_dir)
-    return round6(grouped.grouping_sets_named(df, GROUPINGS, grouped.mean_aggs(_MEANS)))
+    return round6(grouped.grouping_sets_moments(df, GROUPINGS, grouped.mean_measures(_MEANS)))
 
 
-def _all_aggs() -> dict:
-    a = {"N": F.count(F.lit(1)), "mean_age": F.avg("edad"), "sd_age": F.stddev_samp("edad")}
-    a.update(grouped.rate_aggs("continua_estudiando"))
-    a.update(grouped.mean_aggs({f"{c}_mean": f"{c}_num" for c in ALUMNI_LIKERT_ITEMS}))
-    a.update(grouped.mean_aggs({"Composite": "likert_total", "Satisfaction": "satisfaction_index"}))
-    return a
+def _all_measures() -> dict:
+    m = {"N": grouped.Measure("rows"), "mean_age": grouped.Measure("mean", "edad"), "sd_age": grouped.Measure("sd", "edad")}
+    m.update(grouped.rate_measures("continua_estudiando"))
+    m.update(grouped.mean_measures({f"{c}_mean": f"{c}_num" for c in ALUMNI_LIKERT_ITEMS}))
+    m.update(grouped.mean_measures({"Composite": "likert_total", "Satisfaction": "satisfaction_index"}))
+    return m
 
 
 def _all_sql() -> str:
@@ -215,7 +220,8 @@ def _all_sql() -> str:
 @register("grouping_sets_all", _all_sql())
 def grouping_sets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every report aggregate over every grouping in a single aggregate."""
-    return round6(grouped.grouping_sets_named(alumni.alumni_table(spark, sf_dir), GROUPINGS, _all_aggs()))
+    out = grouped.grouping_sets_moments(alumni.alumni_table(spark, sf_dir), GROUPINGS, _all_measures())
+    return round6(out.withColumn("n_studying", F.col("n_studying").cast("bigint")))
 
 
 # --------------------------------------------------------------------- C11 + G18
@@ -255,7 +261,7 @@ def coded_text_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N and percent of texts per keyword category for four groupings, one pass."""
     coded = coded_documents(spark, sf_dir)
     code_cols = [c for c in coded.columns if c not in ("doc_id", "lang", "source")]
-    return round6(grouped.grouping_sets_named(coded, _TEXT_GROUPINGS, grouped.prevalence_aggs(code_cols)))
+    return round6(grouped.grouping_sets_moments(coded, _TEXT_GROUPINGS, grouped.prevalence_measures(code_cols)))
 
 
 # --------------------------------------------------------------------- C13

@@ -265,11 +265,13 @@ def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("kde_grid", f"""WITH {ADOL_SQL},
 vals AS (SELECT dim, CAST(score AS DOUBLE) AS v FROM adol_long),
 st AS (SELECT dim, count(*) AS n, stddev_samp(v) AS sd, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, min(v) AS mn, max(v) AS mx FROM vals GROUP BY dim),
-bw AS (SELECT dim, n, 0.9 * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34) WHEN sd > 0 THEN sd ELSE 1.0 END) * power(CAST(n AS DOUBLE), -0.2) AS bw, mn, mx FROM st),
-vc AS (SELECT dim, v, count(*) AS c FROM vals GROUP BY dim, v),
-g AS (SELECT bw.*, r.range AS point, bw.mn + r.range * ((bw.mx - bw.mn) / 511) AS x FROM bw, range(512) r)
-SELECT g.dim, CAST(g.point AS INTEGER) AS point, {r6('g.x', 'x')}, {r6('sum(vc.c * exp(-0.5 * ((g.x - vc.v) / g.bw) * ((g.x - vc.v) / g.bw)) / (g.n * g.bw * sqrt(2 * pi())))', 'density')}
-FROM g JOIN vc ON g.dim = vc.dim GROUP BY g.dim, g.point, g.x""")
+bw AS (SELECT dim, n, 0.9 * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34) WHEN sd > 0 THEN sd ELSE 1.0 END) * power(CAST(n AS DOUBLE), -0.2) AS bw FROM st),
+r AS (SELECT min(v) AS lo, (max(v) - min(v)) / 511 AS step FROM vals),
+p AS (SELECT dim, (v - lo) / step AS pos, least(floor((v - lo) / step), 510) AS cell FROM vals, r),
+vc AS (SELECT dim, bin, sum(w) AS c FROM (SELECT dim, cell AS bin, 1 - (pos - cell) AS w FROM p UNION ALL SELECT dim, cell + 1, pos - cell FROM p) GROUP BY dim, bin),
+g AS (SELECT bw.*, i.range AS point, lo, step FROM bw, r, range(512) i)
+SELECT g.dim, CAST(g.point AS INTEGER) AS point, {r6('lo + point * step', 'x')}, {r6('sum(vc.c * exp(-0.5 * power((g.point - vc.bin) * step / g.bw, 2)) / (g.n * g.bw * sqrt(2 * pi())))', 'density')}
+FROM g JOIN vc ON g.dim = vc.dim GROUP BY g.dim, g.point, lo, step""")
 def kde_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaussian density of scale scores per dimension on a 512-point grid (V2)."""
     return round6(pdz.kde(_adol_long(spark, sf_dir), "score", ["dim"]))

@@ -112,22 +112,43 @@ def read_two_row_header(
     clean: bool = True,
     **options,
 ) -> DataFrame:
-    """Export whose first two rows are a header.
+    """Export whose first two rows are a header (S2, S3, S4), from any number of files in one scan.
 
-    The names come from ``header_path`` (default: the first file; one header
-    may serve several files). Spark's CSV ``header`` option drops the first
-    line of each file; the second one is the first row left of each file,
-    whatever it holds, and is dropped by its ordinal.
+    The names come from ``header_path`` (default: the first path; one header may serve several files).
+    Spark's CSV reader drops the first line of each file; the second one is the first row of the
+    split that begins at the file's first byte, whatever it holds, and is dropped where it is read. The result carries
+    ``_file``, ``_block`` (first byte of the split) and ``_row`` (place of a row in its split): ordered by these three, rows come
+    in file order, without a shuffle here. Paths may hold blanks; a path may be a folder of such files.
     """
     paths = [path] if isinstance(path, str) else list(path)
     top, bottom = header_rows(spark, header_path or paths[0], 2, **options)
     names = merge_header(top, bottom)
     if clean:
         names = clean_names(names)
-    files = spark.read.text(paths).inputFiles()
-    rows = [with_ordinal(spark.read.options(header=True, **options).csv(f).toDF(*names)) for f in files]
-    df = reduce(DataFrame.union, [r.where("_row > 0") for r in rows])
-    return df.withColumn("_row", F.monotonically_increasing_id())
+    fields = [f"c{i}" for i in range(len(names))]
+    rows = spark.read.options(header=True, enforceSchema=True, **options).schema(", ".join(f"{f} string" for f in fields)).csv(paths)
+    placed = rows.select(*fields, F.url_decode(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    schema = ", ".join(f"{f} string" for f in fields) + ", _file string, _block long, _row long"
+    return placed.mapInArrow(_drop_second_line, schema).toDF(*names, "_file", "_block", ROW)
+
+
+def _drop_second_line(batches):
+    """Number the rows of each split (rows of a task come split by split, in order) and drop the first one of splits at byte 0."""
+    import numpy as np
+    import pyarrow as pa
+
+    last, seen = None, 0
+    for b in batches:
+        files, blocks = b.column("_file").to_pylist(), b.column("_block").to_pylist()
+        place = np.zeros(b.num_rows, np.int64)
+        for i, key in enumerate(zip(files, blocks, strict=True)):
+            if key != last:
+                last, seen = key, 0
+            place[i] = seen
+            seen += 1
+        keep = (place > 0) | (np.array(blocks, np.int64) > 0)
+        out = pa.RecordBatch.from_arrays([*b.columns, pa.array(place)], [*b.schema.names, ROW])
+        yield out.filter(pa.array(keep))
 
 
 def ingest_waves(frames: Mapping[str, DataFrame], transform: Callable[[DataFrame], DataFrame] | None = None, wave_col: str = "wave") -> DataFrame:

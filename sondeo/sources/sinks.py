@@ -16,6 +16,27 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = N
     w.parquet(path)
 
 
+def write_two_row_export(df: DataFrame, path: str, top: Sequence[str], bottom: Sequence[str], mode: str = "overwrite") -> None:
+    """Delimited files with a header of two rows, as survey tools write them: the inverse of ``exports.read_two_row_header``.
+
+    Every file begins with both rows; columns are written as text in the order of ``top``. Repeated names are allowed.
+    """
+    import pyarrow as pa
+
+    fields = [f"c{i}" for i in range(len(top))]
+    header = [list(top), list(bottom)]
+    text = df.select(*[F.col(f"`{c}`").cast("string").alias(f) for c, f in zip(df.columns, fields, strict=True)])
+
+    def with_header(batches):
+        for i, b in enumerate(batches):
+            if i == 0:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()) for names in zip(*header, strict=True)], fields)
+            yield pa.RecordBatch.from_arrays(b.columns, fields)
+
+    lines = text.mapInArrow(with_header, ", ".join(f"{f} string" for f in fields))
+    lines.write.mode(mode).option("header", False).option("emptyValue", "").csv(path)
+
+
 def write_results(tables: Mapping[str, DataFrame], root: str, mode: str = "overwrite") -> dict[str, str]:
     """Persist named result tables (coefficients, item statistics, ...)."""
     out = {}
