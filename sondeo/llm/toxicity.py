@@ -5,7 +5,7 @@ hashed into 2 ** ``HASH_BITS`` buckets. Learning uses at most ``SAMPLE`` labelle
 (those with the smallest hashes of doc_id, so the choice does not depend on the partitioning): Spark counts
 in how many rows of each class a bucket occurs. Features are the at most ``TERMS`` buckets that depend on the class most
 clearly by themselves (chi-square of at least ``MIN_CHI2``), and the buckets of the at most ``PAIRS`` pairs of the ``FREQUENT`` most frequent
-ones whose joint occurrence depends on it (chi-square of at least ``MIN_PAIR_CHI2``), though neither may alone. A factorization
+ones whose joint occurrence depends on it (chi-square of at least ``MIN_PAIR_CHI2``, and ``PAIR_GAIN`` times that of either alone). A factorization
 machine - bias, linear weights and rank-``RANK`` pairwise interactions - is fitted to the rows' features by
 Adam, rows weighted back to the frequencies of the classes. Scoring reads whole texts.
 
@@ -19,15 +19,16 @@ smaller bucket.
 from __future__ import annotations
 
 import re
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from ..operators.partials import summed
+from .common import save, small_batches
 
 HASH_BITS = 20
 STEMS = (4, 5)
@@ -35,9 +36,10 @@ SAMPLE = 25_000  # labelled rows of each class that teach
 TERMS = 4096
 MIN_ROWS = 3
 MIN_CHI2 = 20.0
-FREQUENT = 512  # most frequent buckets whose pairs are looked at
+FREQUENT = 256  # most frequent buckets whose pairs are looked at
 PAIRS = 256
 MIN_PAIR_CHI2 = 40.0
+PAIR_GAIN = 4.0  # times as much as either term of the pair alone
 STEPS = 600  # least number of steps of a fit, so that small samples are not left half learnt
 RANK = 8
 THRESHOLD = 0.3
@@ -149,29 +151,37 @@ class FactorizationMachine:
         self.bias = float(params[0][0])
 
 
-def paired_terms(rows: list[np.ndarray], toxic: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Places of the terms of pairs of frequent terms whose joint occurrence depends on the class, also where neither term does alone."""
+def paired_terms(taught: DataFrame, frequent: np.ndarray) -> np.ndarray:
+    """Places of the terms of pairs of frequent terms whose joint occurrence depends on the class, also where neither term does alone.
+    Tasks count pairs by class, Spark sums the counts."""
     k = len(frequent)
-    if not k or not len(rows):
+    if not k:
         return np.zeros(0, np.int64)
-    both = np.zeros((2, k, k))
-    for lo in range(0, len(rows), 4096):
-        part = rows[lo : lo + 4096]
-        owner, flat = np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part)
+
+    def add(batch, total):
+        both = total[2:].reshape(2, k, k)
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
+        lists = batch.column("rows")
+        owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
         at = np.minimum(np.searchsorted(frequent, flat), k - 1)
         hit = frequent[at] == flat
-        x = np.zeros((len(part), k), np.float32)
+        x = np.zeros((batch.num_rows, k), np.float32)
         x[owner[hit], at[hit]] = 1.0
         for c in (0, 1):
-            z = x[toxic[lo : lo + 4096] == bool(c)]
+            z = x[toxic == bool(c)]
+            total[c] += len(z)
             both[c] += z.T @ z
-    clean, bad = float((~toxic).sum()), float(toxic.sum())
+
+    sums = summed(taught, 2 + 2 * k * k, add)
+    clean, bad, both = sums[0], sums[1], sums[2:].reshape(2, k, k)
     n, total = clean + bad, both.sum(0)
     with np.errstate(invalid="ignore", divide="ignore"):
         chi2 = n * (both[1] * clean - both[0] * bad) ** 2 / (total * (n - total) * max(clean, 1.0) * max(bad, 1.0))
     chi2 = np.where((total >= MIN_ROWS) & (total < n), chi2, 0.0)
+    alone = np.diagonal(chi2)
     i, j = np.triu_indices(k, 1)
-    strong = np.flatnonzero(chi2[i, j] >= MIN_PAIR_CHI2)
+    strong = np.flatnonzero((chi2[i, j] >= MIN_PAIR_CHI2) & (chi2[i, j] >= PAIR_GAIN * np.maximum(alone[i], alone[j])))
     best = strong[np.lexsort((strong, -chi2[i, j][strong]))][:PAIRS]
     return np.unique(frequent[np.concatenate([i[best], j[best]])])
 
@@ -192,24 +202,28 @@ def learn(docs: DataFrame, labels: DataFrame) -> FactorizationMachine | None:
     common = counts.where((F.col("bucket") >= 0) & (a + b >= MIN_ROWS) & (a + b < n)).orderBy((a + b).desc(), "bucket").limit(FREQUENT).collect()
     single = np.array([r["bucket"] for r in chosen], np.int64)
     frequent = np.array([r["bucket"] for r in common], np.int64)
-    model = FactorizationMachine(np.union1d(single, frequent), 0.0)
+    wide = FactorizationMachine(np.union1d(single, frequent), 0.0)
 
     def features(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([model.rows_of(terms(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], ["toxic", "rows"])
-
-    found = sample.mapInArrow(features, "toxic int, rows array<long>").toArrow().combine_chunks()  # at most 2 SAMPLE rows of known terms
-    lists = found.column("rows").combine_chunks()
-    flat, ends = lists.flatten().to_numpy().astype(np.int32), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-    taught = [flat[i:j] for i, j in pairwise(ends.tolist())]
-    toxic_rows = found.column("toxic").to_numpy() > 0
-    kept = np.union1d(np.searchsorted(model.features, single), paired_terms(taught, toxic_rows, np.searchsorted(model.features, np.sort(frequent))))
-    place = np.full(len(model.features), -1, np.int64)
+            rows = [wide.rows_of(terms(t)).astype(np.int32) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "rows"])
+
+    table = save(sample.mapInArrow(features, "toxic int, rows array<int>"), "taught")
+    kept = np.union1d(np.searchsorted(wide.features, single), paired_terms(table, np.searchsorted(wide.features, np.sort(frequent))))
+    place = np.full(len(wide.features) + 1, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    model = FactorizationMachine(model.features[kept], 0.0)
-    taught = [np.sort(place[r][place[r] >= 0]) for r in taught]
-    order = sorted(range(len(taught)), key=lambda i: (bool(toxic_rows[i]), taught[i].tolist()))
-    taught, y = [taught[i] for i in order], toxic_rows[order].astype(float)
+    model = FactorizationMachine(wide.features[kept], 0.0)
+
+    def narrow(batches):
+        for batch in batches:
+            rows = [np.sort(r[r >= 0]) for r in (place[x] for x in (np.array(x, np.int32) for x in batch.column("rows").to_pylist()))]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "rows"])
+
+    found = table.mapInArrow(narrow, "toxic int, rows array<int>").collect()  # at most 2 SAMPLE rows of known terms
+    found.sort(key=lambda r: (r["toxic"], r["rows"]))
+    y = np.array([float(r["toxic"] > 0) for r in found])
+    taught = [np.array(r["rows"], np.int64) for r in found]
     shares = labels.where("toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).agg(F.avg((F.col("toxic") > 0).cast("double"))).head()[0] or 0.0
     share = min(max(shares, 1e-4), 1 - 1e-4)
     weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
