@@ -75,9 +75,8 @@ PERSONAL_COLUMNS = [
 ]
 PERSON_NAME_COLUMNS = ["nombre", "nombre_s", "apellido_paterno", "apellido_materno"]
 
-# --- fixed values: mentor and adolescent scales (name, number of items) ---
+# --- fixed values: mentor scales (name, number of items) ---
 MENTOR_SCALES = [("agencia", 10), ("equipo", 9), ("liderazgo", 7), ("empatia", 5), ("decision", 9)]
-ADOLESCENT_SCALES = [("liderazgo", 5), ("decision", 6), ("empatia", 7), ("equipo", 6)]
 MENTOR_REVERSED_ITEMS = [
     "equipo_1",
     "equipo_9",
@@ -119,3 +118,12 @@ MUNICIPALITY_PATTERNS = [
 # --- fixed values: age bins (right-closed) and the reference date for age ---
 AGE_BREAKS = [0, 11, 12, 13, 14, 15, 16, 99]
 AGE_REFERENCE_DATE = "2023-06-06"
+
+# --- fixed values: groupings of the alumni report, label -> key columns ("General" is the whole table) ---
+REPORT_GROUPINGS: dict[str, list[str]] = {
+    "General": [],
+    "Estado": ["estado"],
+    "Género": ["sexo"],
+    "Estado y género": ["estado", "sexo"],
+    "Generación": ["periodo"],
+}

@@ -129,8 +129,3 @@ def refusals_to_null(df: DataFrame, values: Sequence[str], columns: Sequence[str
     """Every string column: refusal labels -> NULL (C7). One projection."""
     cols = columns if columns is not None else [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     return df.withColumns({c: F.when(~isin_safe(c, values), F.col(c)) for c in cols})
-
-
-def safe_divide(num: ColumnOrName, den: ColumnOrName) -> Column:
-    """0/0 and x/0 -> NULL."""
-    return F.try_divide(_c(num), _c(den))

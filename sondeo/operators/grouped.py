@@ -8,17 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import REPORT_GROUPINGS
 from .common import col, key_order
 
-# Groupings of the alumni report: label -> key columns ("General" is the whole table).
-REPORT_GROUPINGS: dict[str, list[str]] = {
-    "General": [],
-    "Estado": ["estado"],
-    "Género": ["sexo"],
-    "Estado y género": ["estado", "sexo"],
-    "Generación": ["periodo"],
-}
-
+__all__ = ["REPORT_GROUPINGS", "Measure", "grouping_sets", "grouping_sets_moments", "grouping_sets_named", "mean_measures", "mean_sd_by", "prevalence_measures", "rate_aggs", "rate_measures", "summary_by"]
 
 def grouping_sets(
     df: DataFrame,
@@ -127,31 +120,18 @@ def rate_aggs(flag: str, count_name: str = "n_studying", total_name: str = "n_to
     }
 
 
-def mean_aggs(columns: Mapping[str, str]) -> dict[str, Column]:
-    """``{out_name: mean(column, na.rm=TRUE)}``."""
-    return {out: F.avg(col(c)) for out, c in columns.items()}
-
-
-def prevalence_aggs(code_columns: Sequence[str], n_name: str = "N") -> dict[str, Column]:
-    """``N = n()`` plus ``mean(code) * 100`` for every 0/1 code column."""
-    out: dict[str, Column] = {n_name: F.count(F.lit(1))}
-    for c in code_columns:
-        out[c] = F.avg(col(c)) * F.lit(100.0)
-    return out
-
-
 def rate_measures(flag: str) -> dict[str, Measure]:
     """The measures of :func:`rate_aggs`."""
     return {"n_studying": Measure("sum", flag), "n_total": Measure("rows"), "pct": Measure("mean", flag, 100.0)}
 
 
 def mean_measures(columns: Mapping[str, str]) -> dict[str, Measure]:
-    """The measures of :func:`mean_aggs`."""
+    """``{out_name: mean(column, na.rm=TRUE)}``."""
     return {out: Measure("mean", c) for out, c in columns.items()}
 
 
 def prevalence_measures(code_columns: Sequence[str], n_name: str = "N") -> dict[str, Measure]:
-    """The measures of :func:`prevalence_aggs`."""
+    """``N = n()`` plus ``mean(code) * 100`` for every 0/1 code column."""
     return {n_name: Measure("rows"), **{c: Measure("mean", c, 100.0) for c in code_columns}}
 
 

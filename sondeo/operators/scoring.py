@@ -26,25 +26,6 @@ def scale_scores(df: DataFrame, scales: Mapping[str, Sequence[str]]) -> DataFram
     return df.withColumns({name: row_sum(items) for name, items in scales.items()})
 
 
-def scale_scores_long(
-    df: DataFrame,
-    keep: Sequence[str],
-    scales: Mapping[str, Sequence[str]],
-    dim: str = "dim",
-    score: str = "score",
-    dim_suffix: str = "",
-) -> DataFrame:
-    """Long (keep..., dim, score) table of scale totals (W1 rewritten).
-
-    The original sums item responses per (id, dim) with a grouped mutate and
-    then de-duplicates. With one row per respondent (guaranteed upstream by
-    first-wins de-duplication) that equals a row sum, so the scores are a
-    projection plus an in-row stack: no shuffle at all.
-    """
-    structs = [F.struct(F.lit(f"{name}{dim_suffix}").alias(dim), row_sum(items).alias(score)) for name, items in scales.items()]
-    return df.select(*[col(k) for k in keep], F.inline(F.array(*structs)))
-
-
 def scores_from_long(df: DataFrame, keys: Sequence[str], dim: str, value: str, score: str = "score") -> DataFrame:
     """Scale totals from an already-long item table: ``coalesce(sum, 0)`` per (keys, dim)."""
     return df.groupBy(*[col(k) for k in keys], col(dim)).agg(F.coalesce(F.sum(col(value)), F.lit(0)).alias(score))

@@ -12,7 +12,7 @@ from ..config import EDUCATION_CODES, MUNICIPALITY_PATTERNS, NA_PATTERN, SKILLS,
 from ..functions import recode as rc
 from ..functions import text as tx
 from ..operators.common import col
-from ..operators.linkage import first_per_key, membership_flag
+from ..operators.linkage import first_per_key, join_null_safe, membership_flag
 from ..operators.reshape import ITEM_NAME
 from ..operators.scoring import row_sum, standardize
 from ..sources import fixtures
@@ -110,7 +110,7 @@ def mentors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared_plan
 def linked_long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adolescent x 360 x mentor long scores (J1): every adolescent dimension
+    """Adolescent x 360 x mentor long scores (J1; a missing key matches a missing key, N9): every adolescent dimension
     paired with every 360 and every mentor dimension.
 
     Joins run on one-row-per-entity tables (adolescent and 360 on ``id``, then
@@ -127,7 +127,7 @@ def linked_long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     a2 = a.select("id", "estado", "status", score_array(sa, "dim", "score").alias("_a"))
     r2 = r.select("id", "id_mentor", score_array(sr, "dim_360", "score_360", "_360").alias("_r"))
     m2 = m.select("id_mentor", score_array(sm, "dim_mentor", "score_mentor", "_mentor").alias("_m"))
-    j = a2.join(r2, "id").join(m2, "id_mentor")
+    j = join_null_safe(join_null_safe(a2, r2, ["id"]), m2, ["id_mentor"])
     out = j.select("id", "estado", "status", "id_mentor", "_r", "_m", F.inline("_a"))
     out = out.select("*", F.inline("_r")).drop("_r")
     out = out.select("*", F.inline("_m")).drop("_m")
@@ -148,7 +148,7 @@ def linked_wide_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = wide_scores(adolescents(spark, sf_dir), ["id", "sexo", "estado", "status", "socioeco"], extra_z=["socioeco"])
     r = wide_scores(ratings_360(spark, sf_dir), ["id", "id_mentor"], "_360")
     m = wide_scores(mentors(spark, sf_dir), ["id_mentor", "sexo_mentor"], "_mentor")
-    return m.join(r, "id_mentor").join(a, "id")
+    return join_null_safe(join_null_safe(m, r, ["id_mentor"]), a, ["id"])
 
 
 def skill_totals(items: dict[str, Sequence[str]], suffix: str = "") -> list[Column]:
@@ -184,7 +184,7 @@ def linked_model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     r = side(ratings_360(spark, sf_dir), ["id", "id_mentor"], "_360")
     m = side(mentors(spark, sf_dir), ["id_mentor", "sexo_mentor"], "_mentor")
-    return model_frame(spark, sf_dir).join(r, "id").join(m, "id_mentor")
+    return join_null_safe(join_null_safe(model_frame(spark, sf_dir), r, ["id"]), m, ["id_mentor"])
 
 
 @shared_plan

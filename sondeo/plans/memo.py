@@ -9,23 +9,15 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
-
-_PLANS: dict[tuple, DataFrame] = {}
-
+from pyspark.sql import SparkSession
 
 def shared_plan(fn):
     @functools.wraps(fn)
     def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
-        try:
-            session = spark.sparkContext.applicationId
-        except Exception:  # Spark Connect has no SparkContext
-            session = id(spark)
-        key = (fn.__module__, fn.__qualname__, session, sf_dir, args, tuple(sorted(kwargs.items())))
-        df = _PLANS.get(key)
-        if df is None:
-            df = fn(spark, sf_dir, *args, **kwargs)
-            _PLANS[key] = df
-        return df
+        plans = spark.__dict__.setdefault("_sondeo_plans", {})  # a plan belongs to its session, not to the application
+        key = (fn.__module__, fn.__qualname__, sf_dir, args, tuple(sorted(kwargs.items())))
+        if key not in plans:
+            plans[key] = fn(spark, sf_dir, *args, **kwargs)
+        return plans[key]
 
     return wrapper

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PERSONAL_COLUMNS, PERSON_NAME_COLUMNS, SIMILARITY_FREQUENCY_LABELS
@@ -81,7 +81,7 @@ def ingest_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     origin = F.when(F.col("_file").contains("/Online "), "online").otherwise("vaciado")
     yes = F.col("`¿Aceptas participar en esta encuesta?`")
     return df.groupBy(origin.alias("origin")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("_file", "_block", "_row").alias("n_ordinals"),
+        F.count(F.lit(1)).alias("n"), F.count_distinct("_file", "_block", "_place").alias("n_ordinals"),
         F.count_if(yes == "Sí").alias("n_accepted"), F.count_if(yes.isin("Response", "Open-Ended Response")).alias("n_header_rows"),
     )
 
@@ -89,6 +89,17 @@ def ingest_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------- S6-S8: stored tables
 
 
+@register("typed_export", f"""WITH {survey_cte()} SELECT respondent_id, CAST(edad AS DOUBLE) AS edad, sexo, true AS in_order FROM survey""")
+def typed_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delimited export with one header row read into a typed table with an ordinal that follows the file."""
+    path = scratch(spark, "exportación 1")
+    rows = fixtures.survey_base(spark, sf_dir).select("respondent_id", "edad", "sexo")
+    rows.repartitionByRange("respondent_id").sortWithinPartitions("respondent_id").write.option("header", True).csv(path)
+    df = exports.read_export(spark, path, schema="respondent_id bigint, edad double, sexo string")
+    before = F.lag("respondent_id").over(Window.partitionBy("_file").orderBy(exports.ROW))
+    return df.select("respondent_id", "edad", "sexo", (F.coalesce(before, F.lit(-1)) < F.col("respondent_id")).alias("in_order"))
+
+
 @register("wave_partitions", f"""WITH {survey_cte()} SELECT wave, sexo, count(*) AS n FROM survey GROUP BY wave, sexo""")
 def wave_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The survey written as one partition per wave and read back."""
@@ -131,6 +142,16 @@ def link_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", tx.link_key("c_custkey", "nombre").alias("link"))
 
 
+@register("repaired_keys", """WITH k AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '5CU' ELSE '5CH' END || c_custkey || ' 5CU ' || coalesce(c_mktsegment, '') AS raw FROM customer)
+SELECT c_custkey, regexp_replace(regexp_replace(raw, ' .*', ''), '5CU', '5CH') AS id_mentor FROM k""")
+def repaired_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentor keys with trailing text removed and the known code typo mended."""
+    c = load(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
+    code = F.when(F.col("c_custkey") % 5 == 0, F.lit("5CU")).otherwise(F.lit("5CH"))
+    raw = F.concat(code, F.col("c_custkey").cast("string"), F.lit(" 5CU "), F.coalesce("c_mktsegment", F.lit("")))
+    return c.select("c_custkey", tx.repair_mentor_key(raw).alias("id_mentor"))
+
+
 @register("rounded_rates", f"""WITH {ADOL_SQL}
 SELECT estado, round_even(avg(edad), 1) AS mean_age, round_even(avg(status) * 100.0, 1) AS pct, CAST(sum(status) AS BIGINT) AS completed FROM adol GROUP BY estado""")
 def rounded_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

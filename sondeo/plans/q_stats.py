@@ -11,7 +11,7 @@ from ..config import ALUMNI_LIKERT_ITEMS, MENTOR_REVERSED_ITEMS
 from ..operators import describe as ds
 from ..operators import plotdata as pdz
 from ..operators import psychometrics as pm
-from ..operators.scoring import row_sum
+from ..operators.scoring import scale_scores
 from ..sources import fixtures
 from . import alumni, attrition
 from . import psychometrics as ps
@@ -235,7 +235,7 @@ def _scale_cor_sql() -> str:
 @register("scale_correlations", _scale_cor_sql())
 def scale_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pearson correlations between scale totals (K4, K5)."""
-    m = ps.item_matrix(spark, sf_dir).select(*[row_sum(its).alias(s) for s, its in _SCALES.items()])
+    m = scale_scores(ps.item_matrix(spark, sf_dir), _SCALES).select(*_SCALES)
     return round6(pm.correlation_long(m, list(_SCALES)))
 
 
@@ -340,6 +340,47 @@ def box_socio_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round6(pdz.box_stats(a, "socioeco", ["status"]))
 
 
+def _boxes_sql(facet: str | None, known: str) -> str:
+    """Boxes of scale scores by dimension and outcome, per ``facet``, over respondents whose ``known`` is given."""
+    head = f"CAST(a.{facet} AS DOUBLE) AS {facet}" if facet == "edad" else f"a.{facet}"
+    keys = [*([facet] if facet else []), "dim", "status"]
+    g = ", ".join(keys)
+    on = " AND ".join(f"l.{k} = f.{k}" for k in keys)
+    return f"""WITH {ADOL_SQL},
+l AS (SELECT {head + ', ' if facet else ''}l.dim, l.status, CAST(l.score AS DOUBLE) AS v FROM adol_long l JOIN adol a ON a.id = l.id WHERE a.{known} IS NOT NULL),
+q AS (SELECT {g}, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM l GROUP BY ALL),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT {', '.join('f.' + k for k in keys)}, f.n, {r6('min(CASE WHEN v >= lo THEN v END)', 'whisker_low')}, {r6('f.q1', 'q1')}, {r6('f.median', 'median')},
+  {r6('f.q3', 'q3')}, {r6('max(CASE WHEN v <= hi THEN v END)', 'whisker_high')}, count(*) FILTER (WHERE v < lo OR v > hi) AS n_outliers
+FROM l JOIN f ON {on} GROUP BY {', '.join('f.' + k for k in keys)}, f.n, f.q1, f.median, f.q3"""
+
+
+def _scores_with(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Scale scores in long form with some columns of the respondent."""
+    a = attrition.adolescents(spark, sf_dir)
+    long = attrition.score_array(attrition.scales_from_names(a.columns), "dim", "score")
+    return a.select("status", *columns, F.inline(long))
+
+
+@register("box_by_status", _boxes_sql(None, "municipio"))
+def box_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box statistics of scale scores by dimension and outcome, respondents with a known place (V1)."""
+    return round6(pdz.box_stats(_scores_with(spark, sf_dir, "municipio").where("municipio IS NOT NULL"), "score", ["dim", "status"]))
+
+
+@register("box_by_place", _boxes_sql("municipio", "municipio"))
+def box_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box statistics of scale scores by dimension and outcome, one facet per place (V1)."""
+    return round6(pdz.box_stats(_scores_with(spark, sf_dir, "municipio").where("municipio IS NOT NULL"), "score", ["municipio", "dim", "status"]))
+
+
+@register("box_by_age", _boxes_sql("edad", "edad"))
+def box_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box statistics of scale scores by dimension and outcome, one facet per age (V1)."""
+    known = _scores_with(spark, sf_dir, "edad").where("edad IS NOT NULL").withColumn("edad", F.col("edad").cast("double"))
+    return round6(pdz.box_stats(known, "score", ["edad", "dim", "status"]))
+
+
 @register("distinct_profiles", f"""WITH {ADOL_SQL} SELECT DISTINCT estado, sexo, status FROM adol""")
 def distinct_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (state, sex, outcome) rows."""

@@ -117,8 +117,8 @@ def read_two_row_header(
     The names come from ``header_path`` (default: the first path; one header may serve several files).
     Spark's CSV reader drops the first line of each file; the second one is the first row of the
     split that begins at the file's first byte, whatever it holds, and is dropped where it is read. The result carries
-    ``_file``, ``_block`` (first byte of the split) and ``_row`` (place of a row in its split): ordered by these three, rows come
-    in file order, without a shuffle here. Paths may hold blanks; a path may be a folder of such files.
+    ``_file``, ``_block`` (first byte of the split) and ``_place`` (place of a row in its split): ordered by these three, rows come
+    in file order, without a shuffle here; ``_row`` is one number that tells all rows apart. Paths may hold blanks; a path may be a folder of such files.
     """
     paths = [path] if isinstance(path, str) else list(path)
     top, bottom = header_rows(spark, header_path or paths[0], 2, **options)
@@ -128,8 +128,9 @@ def read_two_row_header(
     fields = [f"c{i}" for i in range(len(names))]
     rows = spark.read.options(header=True, enforceSchema=True, **options).schema(", ".join(f"{f} string" for f in fields)).csv(paths)
     placed = rows.select(*fields, F.url_decode(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-    schema = ", ".join(f"{f} string" for f in fields) + ", _file string, _block long, _row long"
-    return placed.mapInArrow(_drop_second_line, schema).toDF(*names, "_file", "_block", ROW)
+    schema = ", ".join(f"{f} string" for f in fields) + ", _file string, _block long, _place long"
+    rows = placed.mapInArrow(_drop_second_line, schema).toDF(*names, "_file", "_block", "_place")
+    return rows.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def _drop_second_line(batches):
@@ -147,7 +148,7 @@ def _drop_second_line(batches):
             place[i] = seen
             seen += 1
         keep = (place > 0) | (np.array(blocks, np.int64) > 0)
-        out = pa.RecordBatch.from_arrays([*b.columns, pa.array(place)], [*b.schema.names, ROW])
+        out = pa.RecordBatch.from_arrays([*b.columns, pa.array(place)], [*b.schema.names, "_place"])
         yield out.filter(pa.array(keep))
 
 

@@ -29,9 +29,10 @@ def test_first_per_key_limits_before_exchange(skewed):
     assert out.where("k = 0").count() == 1 and out.count() == 20001
 
 
-def test_latest_per_key_aggregates_partially(skewed):
+def test_latest_per_key_limits_before_exchange(skewed):
     out = linkage.latest_per_key(skewed, "k", "d")
-    assert "partial_max" in _plan(out)
+    plan = _plan(out)
+    assert "WindowGroupLimit" in plan and "Partial" in plan and "Join" not in plan
     assert out.where("k = 0").count() == skewed.where("k = 0 AND d = 6").count()
 
 
