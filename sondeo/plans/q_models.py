@@ -36,6 +36,19 @@ def glm_single_factor_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round6(glm.tidy(spark, fit, with_p=False))
 
 
+@register("glm_p_values", f"""{_G_SQL},
+t AS (SELECT '(Intercept)' AS term, ln(ref.s / ref.f) / sqrt(1 / ref.s + 1 / ref.f) AS z FROM ref
+      UNION ALL SELECT 'estatus' || g.estatus, (ln(g.s / g.f) - ln(ref.s / ref.f)) / sqrt(1 / g.s + 1 / g.f + 1 / ref.s + 1 / ref.f)
+      FROM g, ref WHERE g.estatus <> ref.estatus),
+area AS (SELECT term, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power(z * i / 4000, 2) / 2)) * abs(z) / 4000 / 3 / sqrt(2 * pi()) AS half
+  FROM t, range(4001) r(i) GROUP BY term, z)
+SELECT term, round(greatest(1 - 2 * half, 0), 6) + 0.0 AS p_value FROM area""")
+def glm_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-sided Wald p-values of the single-factor model, against a numerical integral of the normal density (M5)."""
+    fit = glm.fit_glm(alumni.alumni_table(spark, sf_dir), ModelSpec("status", ("estatus",)))
+    return round6(glm.tidy(spark, fit).select("term", "p_value")).withColumn("p_value", F.col("p_value") + F.lit(0.0))
+
+
 @register("glm_deviance", f"""{_G_SQL},
 tot AS (SELECT sum(s) AS S, sum(f) AS F, count(*) AS k FROM g),
 d AS (SELECT -2 * (S * ln(S / (S + F)) + F * ln(F / (S + F))) AS null_deviance,
