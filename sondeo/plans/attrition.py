@@ -92,7 +92,7 @@ def adolescents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     df = rc.refusals_to_null(df, NA_PATTERN)
     df = membership_flag(df, "customer_id", endlines(spark, sf_dir), "o_custkey", "status")
-    return first_per_key(df, "id", "id")
+    return first_per_key(df, "id", "fecha")  # the earliest record of an id
 
 
 @shared_plan
