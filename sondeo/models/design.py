@@ -21,7 +21,7 @@ from ..operators.common import col
 from ..session import reliable_cache
 
 _DISCRETE = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-ROW_BLOCK = 16_384  # rows of the dense design that a task holds at once
+ROW_BLOCK = 16_384  # rows of the dense design that a task holds at once; the encoded rows are kept in blocks of so many at most
 
 
 class Design:
@@ -53,7 +53,7 @@ class Design:
             found = data.agg(*[F.collect_set(f"f{i}").alias(f"f{i}") for i in range(len(coded))], F.sum("__w").alias("n")).first()
             self.n = int(round(found["n"] or 0))
             self.levels = {c: sorted(found[f"f{i}"]) for i, c in enumerate(coded)}
-            self.frame = reliable_cache(_encode(data, [self.levels[c] for c in coded], len(self.numbers)), row_bytes=4 * len(coded) + 8 * len(self.numbers) + 16)
+            self.frame = reliable_cache(_encode(data, [self.levels[c] for c in coded], len(self.numbers)), row_bytes=ROW_BLOCK * (4 * len(coded) + 8 * len(self.numbers) + 16))
         finally:
             data.unpersist()
         self.code = {c: f"f{i}" for i, c in enumerate(coded)}
@@ -78,8 +78,8 @@ class Design:
         segment = self.code[self.segment] if self.segment else None
 
         def blocks(batch: pa.RecordBatch):
-            for lo in range(0, batch.num_rows, ROW_BLOCK):
-                part = batch.slice(lo, ROW_BLOCK)
+            for block in batch.column("block"):
+                part = pa.ipc.open_stream(block.as_buffer()).read_next_batch()
                 get = lambda name: part.column(name).to_numpy(zero_copy_only=False)
                 x = np.zeros((part.num_rows, width))
                 x[:, 0] = 1.0
@@ -97,12 +97,18 @@ class Design:
 
 
 def _encode(data: DataFrame, levels: list[list[str]], numbers: int) -> DataFrame:
+    """The encoded rows, many in a value: the passes over them read whole columns instead of converting every row again."""
+    names = ["y", "w", *[f"f{i}" for i in range(len(levels))], *[f"x{i}" for i in range(numbers)]]
+
     def run(batches):
         sets = [pa.array(v, pa.string()) for v in levels]
         for b in batches:
             codes = [pc.index_in(b.column(f"f{i}"), value_set=v) for i, v in enumerate(sets)]
-            arrays = [b.column("__y"), b.column("__w"), *codes, *[b.column(f"x{i}") for i in range(numbers)]]
-            yield pa.RecordBatch.from_arrays(arrays, ["y", "w", *[f"f{i}" for i in range(len(levels))], *[f"x{i}" for i in range(numbers)]])
-
-    schema = ", ".join(["y double", "w double", *[f"f{i} int" for i in range(len(levels))], *[f"x{i} double" for i in range(numbers)]])
-    return data.mapInArrow(run, schema)
+            encoded = pa.RecordBatch.from_arrays([b.column("__y"), b.column("__w"), *codes, *[b.column(f"x{i}") for i in range(numbers)]], names)
+            for lo in range(0, b.num_rows, ROW_BLOCK):
+                part, sink = encoded.slice(lo, ROW_BLOCK), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+    return data.mapInArrow(run, "block binary")
