@@ -1,9 +1,9 @@
-"""The work of the iterative fits: points and passes of the mixed models."""
+"""The work of the iterative fits: points and passes of the mixed models, partitions of the pattern table."""
 
 import numpy as np
 import pytest
 
-from sondeo.models import glmm
+from sondeo.models import glmm, irt
 from sondeo.models.spec import ModelSpec
 from test_glmm_laplace import CASES, dense_deviance, simulate
 
@@ -44,3 +44,12 @@ def test_models_of_a_family_share_rows(spark):
         one = glmm.fit_glmm(glmm.common_rows(df, list(specs.values())), s)
         assert both[k].n == one.n == 810 and both[k].terms == one.terms
         assert abs(both[k].deviance - one.deviance) < 1e-6 and np.allclose(both[k].beta, one.beta, atol=1e-6)
+
+
+def test_pattern_table_has_the_partitions_of_its_rows(spark, monkeypatch):
+    """A cycle over some patterns is one task, however many partitions the respondents were dealt over."""
+    seen, counts = [], irt.expected_counts
+    monkeypatch.setattr(irt, "expected_counts", lambda pats, *a: seen.append(pats.rdd.getNumPartitions()) or counts(pats, *a))
+    df = spark.range(4000, numPartitions=40).selectExpr("cast(id % 4 + 1 as int) AS a", "cast((id + id div 7 % 2) % 4 + 1 as int) AS b")
+    irt.fit_gpcm(df, ["a", "b"], max_iter=2)
+    assert set(seen) == {1}
