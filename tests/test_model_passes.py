@@ -1,4 +1,6 @@
-"""The work of the iterative fits: points and passes of the mixed models, partitions of the pattern table."""
+"""The work of the iterative fits: points and passes of the mixed models, partitions of the pattern table and of the summed cells."""
+
+import re
 
 import numpy as np
 import pytest
@@ -53,3 +55,21 @@ def test_pattern_table_has_the_partitions_of_its_rows(spark, monkeypatch):
     df = spark.range(4000, numPartitions=40).selectExpr("cast(id % 4 + 1 as int) AS a", "cast((id + id div 7 % 2) % 4 + 1 as int) AS b")
     irt.fit_gpcm(df, ["a", "b"], max_iter=2)
     assert set(seen) == {1}
+
+
+def test_cells_are_dealt_over_the_partitions_they_need(spark, monkeypatch):
+    """A task of a pass writes one file, not one for each partition set for the shuffles of rows; many cells keep many partitions."""
+    from sondeo.operators import partials
+
+    df, plans = spark.range(300, numPartitions=3), []
+    arrow = type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or arrow(self))
+    monkeypatch.setattr(partials, "TASK_CELLS", 100)
+    at = {}
+    for size in (100, 250, 100_000):  # 1 and 3 partitions; more than the 8 of the session
+        at[size] = partials.summed(df, size, lambda batch, total: np.add.at(total, batch.column("id").to_numpy() % len(total), 1.0))
+        assert at[size].sum() == 300 and np.array_equal(at[size], np.bincount(np.arange(300) % size, minlength=size))
+    one, three, many = plans
+    assert "SinglePartition" in one and "hashpartitioning" not in one
+    assert re.findall(r"Exchange hashpartitioning\(cell#\d+L?, (\d+)\)", three) == ["3"]
+    assert re.findall(r"Exchange hashpartitioning\(cell#\d+L?, (\d+)\)", many) == ["8"]
